@@ -122,7 +122,10 @@ class Tables:
             self.to_urdu[ord(x)] = ord(y)
         self.bar = np.zeros(size, bool)
         self.bar[[ord(c) for c in BARS]] = True
-        self.loud = (self.length != 1) | (self.offset >= 0) | self.bar | (self.kind == LOOKS_LATIN) | (self.to_urdu != np.arange(size))
+        stable = [unicodedata.normalize("NFKC", chr(c)) == chr(c) for c in np.flatnonzero(self.offset >= 0).tolist()]
+        self.composed = self.offset >= 0
+        self.composed[np.flatnonzero(self.composed)[~np.array(stable)]] = False
+        self.loud = ((self.length != 1) | (self.offset >= 0)) & ~self.composed | self.bar | (self.kind == LOOKS_LATIN) | (self.to_urdu != np.arange(size))
         self.loud[[RETURN, COLON]] = True
         self.second = np.zeros(size, bool)
         self.second[(np.concatenate([self.pair_keys, self.vowel_keys]) & 0x1FFFFF)] = True
@@ -207,7 +210,7 @@ def _compose(cps: np.ndarray, row: np.ndarray, t: Tables) -> tuple[np.ndarray, n
         head = np.where(ccc == 0, prev, starter)
         adjacent = np.arange(len(cps)) == head + 1
         free = ~new_row & (adjacent | (ccc > 0) & (prev_ccc < ccc) & (prev_ccc > 0)) & (ccc[head] == 0)
-        at = np.flatnonzero(free & (original > last[original[head]]))
+        at = np.flatnonzero(free & t.second[cps] & (original > last[original[head]]))
         if not len(at):
             break
         made = _paired(t.pair_keys, t.pair_to, cps[head[at]], cps[at])
@@ -317,6 +320,7 @@ def _suspects(cps: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     odd = t.loud[cps]
     ccc, second = t.ccc[cps], t.second[cps]
     odd[1:] |= (ccc[:-1] > 0) & (ccc[1:] > 0) & ((ccc[:-1] > ccc[1:]) | second[1:])
+    odd[1:] |= t.composed[cps[:-1]] & (ccc[1:] > 0)
     at = np.flatnonzero(second)
     at = at[at > 0]
     left, right = cps[at - 1], cps[at]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lekhspark.llm import bpe, pieces, plainform
+from lekhspark.llm import bpe, langid, pieces, plainform, truncation
 from lekhspark.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,39 @@ SELECT DISTINCT 'article' AS kind, id AS item_id FROM articles_canonical WHERE l
 """
 
 
+# 2: languages
+
+
+@query
+def p2_found(spark, d):
+    return langid.found(table(spark, d, "articles_canonical"), langid.fit(table(spark, d, "documents")))
+
+
+@query
+def p2_segments(spark, d):
+    """Every stretch of every article with its language and confidence."""
+    articles = table(spark, d, "articles_canonical").select("id", "content_hi").distinct()
+    return langid.segment(articles, langid.fit(table(spark, d, "documents")))
+
+
+@query
+def p2_articles(spark, d):
+    return langid.label_articles(table(spark, d, "articles_canonical"), table(spark, d, "quality_report"), langid.fit(table(spark, d, "documents")))
+
+
+# 4: cut texts
+
+
+@query
+def p4_found(spark, d):
+    return truncation.found(table(spark, d, "articles_canonical"))
+
+
+@query
+def p4_rates(spark, d):
+    return truncation.rates(table(spark, d, "articles_canonical"))
+
+
 # 5: one plain form
 
 
