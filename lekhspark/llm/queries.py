@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lekhspark.llm import bpe, langid, pieces, plainform, truncation
+from lekhspark.llm import bpe, knn, langid, leakage, pieces, plainform, truncation
 from lekhspark.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,9 +96,43 @@ def p5_plain_titles(spark, d):
     return titles.unionByName(asked).groupBy("field", "plain").agg(F.count("*").alias("n_rows"), F.countDistinct("text").alias("n_spellings"))
 
 
+# 7: nearest vectors
+
+
+@query
+def p7_found(spark, d):
+    return knn.found(table(spark, d, "article_vectors"), table(spark, d, "chunk_vectors"))
+
+
+@query
+def p7_neighbours(spark, d):
+    """Five nearest keys of every key that can be among another's neighbours, both tables."""
+    parts = []
+    for kind, name, key in (("article", "article_vectors", "id"), ("chunk", "chunk_vectors", "chunk_id")):
+        parts.append(knn.members(knn.neighbours(table(spark, d, name), key)).select(F.lit(kind).alias("kind"), "a", "rank", "b", "cos"))
+    return parts[0].unionByName(parts[1])
+
+
 # 8: tokenizer
 
 
 @query
 def p8_ids(spark, d):
     return bpe.encode_corpus(table(spark, d, "documents"))
+
+
+# 9: leaked evaluation items
+
+
+@query
+def p9_found(spark, d):
+    return leakage.found(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@query
+def p9_items(spark, d):
+    """Per item: documents that hold it and the longest stretch among them; items that never leaked show 0."""
+    items = table(spark, d, "eval_items").select("item_id", "lang", "task").distinct()
+    hits = leakage.detect(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    per_item = hits.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("n_words").alias("longest"))
+    return items.join(per_item, "item_id", "left").na.fill(0, ["n_docs", "longest"])
