@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lekhspark.llm import bpe, knn, langid, leakage, pieces, plainform, truncation
+from lekhspark.llm import abuse, bpe, knn, langid, leakage, pieces, plainform, truncation
 from lekhspark.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,23 @@ def p9_items(spark, d):
     hits = leakage.detect(table(spark, d, "documents"), table(spark, d, "eval_items"))
     per_item = hits.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("n_words").alias("longest"))
     return items.join(per_item, "item_id", "left").na.fill(0, ["n_docs", "longest"])
+
+
+# 10: abusive content
+
+
+@query
+def p10_found(spark, d):
+    return abuse.found(table(spark, d, "documents"), table(spark, d, "abuse_labels"))
+
+
+@query
+def p10_scores(spark, d):
+    """Every document's score."""
+    documents = table(spark, d, "documents")
+    return abuse.score(documents, abuse.fit(documents, table(spark, d, "abuse_labels")))
+
+
+@query
+def p10_rates(spark, d):
+    return abuse.rates(table(spark, d, "documents"), table(spark, d, "abuse_labels"))
