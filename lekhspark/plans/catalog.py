@@ -5,10 +5,53 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lekhspark.operators import multivalue, rejects
+from lekhspark.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return p3_found(spark, sf_dir)
+
+
+# 3: rows that fail to parse
+
+
+@query
+def p3_found(spark, d):
+    return rejects.found(table(spark, d, "articles"), table(spark, d, "raw_records"))
+
+
+@query
+def p3_loaded(spark, d):
+    """The valid rows of both sources, typed."""
+    a = rejects.valid(rejects.check_rows(table(spark, d, "articles"))).withColumn("src", F.lit("articles")).withColumnRenamed("src_row", "row_no")
+    r = rejects.valid(rejects.check_lines(table(spark, d, "raw_records"))).withColumn("src", F.lit("raw_records")).withColumnRenamed("rec_no", "row_no").drop("file_name", "line_no")
+    both = a.unionByName(r)
+    return both.withColumn("ID", rejects.clean_id(F.col("ID"))).withColumn("Date", rejects.parse_timestamp(F.col("Date")))
+
+
+# 6: several values in one field
+
+
+@query
+def p6_found(spark, d):
+    return multivalue.found(table(spark, d, "articles"), table(spark, d, "gazetteer"))
+
+
+@query
+def p6_value_counts(spark, d):
+    """How many fields hold each value, single values included."""
+    sound = rejects.check_rows(table(spark, d, "articles"))
+    sound = sound.where(~F.coalesce(rejects.reason(F.col("errors")).isin("columns", "quoting"), F.lit(False)))
+    values = multivalue.explode_values(sound, table(spark, d, "gazetteer"))
+    return values.groupBy("field", "value").agg(F.countDistinct("src_row").alias("n_rows"), F.min("pos").alias("first_pos"))
