@@ -1,4 +1,7 @@
-"""Registered queries over the tables, and the SQL each must agree with."""
+"""Registered queries over the tables, and the SQL each must agree with.
+
+Searches take as queries every row of the query log, or every vector, whose id is divisible by 50, against all rows.
+"""
 
 from __future__ import annotations
 
@@ -7,51 +10,623 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lekhspark.operators import multivalue, rejects
+from lekhspark.functions import dates, text, unicode
+from lekhspark.operators import canonical, chunking, feedback, gazetteer, lexical, multivalue, quality, ranking, rejects, vectors
+from lekhspark.plans import hybrid, sql
 from lekhspark.session import table
+from lekhspark.sources.upsert import latest, upsert
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: The moment that ages are measured from in registered queries.
+NOW = 1_735_689_600
 
 
-def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[f.__name__] = f
-    return f
-
+def query(oracle: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p3_found(spark, sf_dir)
+    return register
 
 
-# 3: rows that fail to parse
+# ---- Problem 3: rows that fail to parse
 
 
-@query
+@query()
 def p3_found(spark, d):
     return rejects.found(table(spark, d, "articles"), table(spark, d, "raw_records"))
 
 
-@query
+@query()
 def p3_loaded(spark, d):
     """The valid rows of both sources, typed."""
     a = rejects.valid(rejects.check_rows(table(spark, d, "articles"))).withColumn("src", F.lit("articles")).withColumnRenamed("src_row", "row_no")
     r = rejects.valid(rejects.check_lines(table(spark, d, "raw_records"))).withColumn("src", F.lit("raw_records")).withColumnRenamed("rec_no", "row_no").drop("file_name", "line_no")
     both = a.unionByName(r)
-    return both.withColumn("ID", rejects.clean_id(F.col("ID"))).withColumn("Date", rejects.parse_timestamp(F.col("Date")))
+    return both.withColumn("ID", rejects.clean_id(F.col("ID"))).withColumn("Date", dates.parse_timestamp(F.col("Date")))
+
 
+# ---- Problem 6: several values in one field
 
-# 6: several values in one field
 
+def _sound(spark, d) -> DataFrame:
+    checked = rejects.check_rows(table(spark, d, "articles"))
+    return checked.where(~F.coalesce(rejects.reason(F.col("errors")).isin("columns", "quoting"), F.lit(False)))
 
-@query
+
+@query()
 def p6_found(spark, d):
     return multivalue.found(table(spark, d, "articles"), table(spark, d, "gazetteer"))
 
 
-@query
+@query()
 def p6_value_counts(spark, d):
     """How many fields hold each value, single values included."""
-    sound = rejects.check_rows(table(spark, d, "articles"))
-    sound = sound.where(~F.coalesce(rejects.reason(F.col("errors")).isin("columns", "quoting"), F.lit(False)))
-    values = multivalue.explode_values(sound, table(spark, d, "gazetteer"))
+    values = multivalue.explode_values(_sound(spark, d), table(spark, d, "gazetteer"))
     return values.groupBy("field", "value").agg(F.countDistinct("src_row").alias("n_rows"), F.min("pos").alias("first_pos"))
+
+
+# ---- Text of posts
+
+
+@query(f"SELECT src_row, {sql.html('Content')} AS clean_text, coalesce(length(Content), 0) AS original_len, length({sql.html('Content')}) AS clean_len FROM articles")
+def html_clean(spark, d):
+    t = table(spark, d, "articles").select("src_row", text.html_to_text(F.col("Content")).alias("clean_text"), text.html_stats(F.col("Content")).alias("s"))
+    return t.select("src_row", "clean_text", "s.original_len", "s.clean_len")
+
+
+@query(f"SELECT src_row, {sql.collapse(sql.sub("coalesce(Content, '')", '(?s)<[^>]+>', ' '))} AS stripped FROM articles")
+def html_fallback(spark, d):
+    return table(spark, d, "articles").select("src_row", text.strip_tags(F.col("Content")).alias("stripped"))
+
+
+@query(f"SELECT doc_id, CASE WHEN {sql.blank('text')} THEN NULL ELSE {sql.normal('text')} END AS normal_text FROM documents")
+def text_normalize(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.normal_text(F.col("text")).alias("normal_text"))
+
+
+@query(
+    f"""SELECT doc_id, n AS len, round(CASE WHEN n = 0 THEN 0 ELSE {sql.count('text', r'\p{Devanagari}')}::DOUBLE / n END, 6) AS dev_pct,
+    round(CASE WHEN n = 0 THEN 0 ELSE {sql.count('text', r'\p{Latin}')}::DOUBLE / n END, 6) AS latin_pct
+    FROM (SELECT doc_id, text, CASE WHEN {sql.blank('text')} THEN 0 ELSE length(text) END AS n FROM documents)"""
+)
+def script_stats(spark, d):
+    s = table(spark, d, "documents").select("doc_id", text.script_stats(F.col("text")).alias("s"))
+    return s.select("doc_id", "s.len", F.round("s.dev_pct", 6).alias("dev_pct"), F.round("s.latin_pct", 6).alias("latin_pct"))
+
+
+@query(
+    f"""SELECT src_row, coalesce({sql.non_blank('_yoast_wpseo_title')}, {sql.non_blank('Title')}, '') AS title,
+    coalesce({sql.non_blank('wph_summary')}, {sql.non_blank('_yoast_wpseo_metadesc')}, substring({sql.html('Content')}, 1, 400)) AS summary FROM articles"""
+)
+def title_summary_choice(spark, d):
+    return table(spark, d, "articles").select("src_row", canonical.title().alias("title"), canonical.summary(text.html_to_text(F.col("Content"))).alias("summary"))
+
+
+@query(f"SELECT id, {sql.n_words('content_hi')} AS n_words, CASE WHEN {sql.n_words('content_hi')} > 384 THEN array_to_string(list_slice({sql.words('content_hi')}, 1, 384), ' ') ELSE coalesce(content_hi, '') END AS cut_text FROM articles_canonical")
+def truncate_tokens(spark, d):
+    t = table(spark, d, "articles_canonical").select("id", text.truncate_words(F.col("content_hi"), 384).alias("t"))
+    return t.select("id", F.col("t.tokens").cast("long").alias("n_words"), F.col("t.text").alias("cut_text"))
+
+
+# ---- Loading, dates, metadata
+
+
+@query(
+    f"""SELECT count(*) AS n_rows, count(*) FILTER (WHERE {sql.blank('ID')}) AS n_null_id, count(*) FILTER (WHERE NOT {sql.blank('ID')} AND {sql.blank('Permalink')}) AS n_null_url,
+    count(DISTINCT CASE WHEN NOT {sql.blank('ID')} THEN {sql.trim('ID')} END) AS n_distinct_id FROM articles"""
+)
+def load_report(spark, d):
+    return canonical.load_report(canonical.load_raw(table(spark, d, "articles")))
+
+
+_DUCK_FORMATS = ("%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%SZ", "%m/%d/%Y", "%B %d, %Y")
+_TS = "coalesce(" + ", ".join(f"try_strptime(trim(Date), '{f}')" for f in _DUCK_FORMATS) + ")"
+
+
+@query(f"SELECT src_row, strftime({_TS}, '%Y-%m-%dT%H:%M:%S') AS iso, coalesce(epoch({_TS})::BIGINT, 0) AS epoch_s FROM articles")
+def date_epoch(spark, d):
+    iso = dates.to_iso(F.col("Date"))
+    return table(spark, d, "articles").select("src_row", iso.alias("iso"), dates.to_epoch(iso).alias("epoch_s"))
+
+
+@query(f"SELECT id, round(CASE WHEN published_ts <= 0 THEN 0 ELSE greatest(0.0, 1.0 - greatest(0.0, ({NOW} - published_ts) / 86400.0) / 1095.0) END, 6) AS recency FROM articles_canonical")
+def recency(spark, d):
+    return table(spark, d, "articles_canonical").select("id", F.round(dates.recency(F.col("published_ts"), F.lit(NOW)), 6).alias("recency"))
+
+
+def _pipe_sql(f: str) -> str:
+    return f"list_filter(list_transform(string_split(coalesce({f}, ''), '|'), lambda x: {sql.trim('x')}), lambda x: x <> '')"
+
+
+@query("SELECT src_row, " + ", ".join(f"array_to_string({_pipe_sql(f)}, '¦') AS {f.lower()}_values" for f in canonical.MULTI_FIELDS) + " FROM articles")
+def pipe_metadata(spark, d):
+    return table(spark, d, "articles").select("src_row", *[F.array_join(text.split_pipe(F.col(f)), "¦").alias(f"{f.lower()}_values") for f in canonical.MULTI_FIELDS])
+
+
+@query("SELECT " + ", ".join(f"count(*) FILTER (WHERE len({_pipe_sql(f)}) = 0) AS empty_{f.lower()}" for f in canonical.MULTI_FIELDS) + " FROM articles")
+def empty_metadata(spark, d):
+    lists = table(spark, d, "articles").select(*[text.split_pipe(F.col(f)).alias(f.lower()) for f in canonical.MULTI_FIELDS])
+    return quality.empty_lists(lists, tuple(f.lower() for f in canonical.MULTI_FIELDS))
+
+
+@query()
+def clean_tokens(spark, d):
+    """Case-folded values without combining marks (no SQL: DuckDB strips vowel signs of Devanagari as well)."""
+    lists = table(spark, d, "articles").select("src_row", unicode.clean_tokens(text.split_pipe(F.col("Tags"))).alias("raw"))
+    return lists.select("src_row", F.array_join("raw", "¦").alias("tags_raw"), F.array_join(unicode.normal_tokens(F.col("raw")), "¦").alias("tags_norm"))
+
+
+@query()
+def canonical_articles(spark, d):
+    """The whole first phase, raw export to canonical table."""
+    return canonical.canonical(table(spark, d, "articles").drop("src_row"))
+
+
+@query()
+def index_documents(spark, d):
+    """The search index's rows, romanized fields included."""
+    return canonical.index_documents(table(spark, d, "articles_canonical"))
+
+
+@query("SELECT ID, Title, src_row FROM (SELECT *, row_number() OVER (PARTITION BY ID ORDER BY src_row) AS n FROM articles) WHERE n = 1")
+def concat_dedupe_first(spark, d):
+    """Two exports (the second repeats the first) as one, the first row of each ID kept."""
+    a = table(spark, d, "articles").select("ID", "Title", "src_row")
+    return canonical.concat_exports(a, a.withColumn("Title", F.upper("Title")), order=("src_row",))
+
+
+@query("SELECT id, title_hi, published_ts FROM (SELECT id, title_hi || ' +' AS title_hi, published_ts + 1 AS published_ts FROM (SELECT DISTINCT id, title_hi, published_ts FROM articles_canonical) WHERE published_ts % 2 = 0 UNION ALL SELECT DISTINCT id, title_hi, published_ts FROM articles_canonical WHERE published_ts % 2 <> 0)")
+def upsert_last_wins(spark, d):
+    old = table(spark, d, "articles_canonical").select("id", "title_hi", "published_ts").distinct()
+    new = old.where(F.col("published_ts") % 2 == 0).select("id", F.concat("title_hi", F.lit(" +")).alias("title_hi"), (F.col("published_ts") + 1).alias("published_ts"))
+    return upsert(old, new, ["id"])
+
+
+@query("SELECT ID, src_row, Title FROM (SELECT *, row_number() OVER (PARTITION BY ID ORDER BY src_row DESC) AS n FROM articles) WHERE n = 1")
+def latest_by_key(spark, d):
+    return latest(table(spark, d, "articles").select("ID", "src_row", "Title"), ["ID"], [F.col("src_row")])
+
+
+# ---- Reports
+
+
+@query(
+    "SELECT count(*) AS n_rows, " + ", ".join(f"count(*) FILTER (WHERE {c} IS NULL) AS null_{c}" for c in quality.REPORTED)
+    + ", min(content_hi_len) AS len_min, " + ", ".join(f"trunc(quantile_cont(content_hi_len, {q}))::INT AS len_p{p}" for q, p in ((0.25, 25), (0.5, 50), (0.75, 75))) + ", max(content_hi_len) AS len_max FROM articles_canonical"
+)
+def quality_report(spark, d):
+    return quality.quality_report(table(spark, d, "articles_canonical"))
+
+
+@query("SELECT id, url, coalesce(length(content_hi), 0) AS clean_len FROM articles_canonical WHERE coalesce(length(content_hi), 0) < 200")
+def short_articles(spark, d):
+    return quality.short_articles(table(spark, d, "articles_canonical"))
+
+
+@query(
+    f"""SELECT id, round(latin, 6) AS latin_pct, round(dev, 6) AS dev_pct, substring(content_hi, 1, 200) AS snippet FROM (SELECT id, content_hi, {sql.count('content_hi', r'\p{Latin}')}::DOUBLE / length(content_hi) AS latin,
+    {sql.count('content_hi', r'\p{Devanagari}')}::DOUBLE / length(content_hi) AS dev FROM articles_canonical WHERE NOT {sql.blank('content_hi')}) WHERE latin > 0.10"""
+)
+def contaminated_articles(spark, d):
+    return quality.contaminated(table(spark, d, "articles_canonical"))
+
+
+@query(
+    " UNION ALL ".join(f"SELECT '{f}' AS field, v AS value, count(*) AS n FROM (SELECT unnest(list_distinct({f})) AS v FROM articles_canonical) WHERE v IS NOT NULL GROUP BY v" for f in ("categories_norm", "tags_norm", "locations_norm", "contributors_norm"))
+    + " UNION ALL SELECT 'partner_label', partner_label, count(*) FROM articles_canonical WHERE partner_label IS NOT NULL GROUP BY partner_label"
+)
+def facet_counts(spark, d):
+    return quality.facet_counts(table(spark, d, "articles_canonical"), "categories_norm", "tags_norm", "locations_norm", "contributors_norm", "partner_label")
+
+
+# ---- Queries
+
+
+@query(f"SELECT id, {sql.roman_index('query_raw')} AS roman_a, {sql.roman_loose('query_raw')} AS roman_b FROM query_log")
+def roman_normalize(spark, d):
+    q = F.col("query_raw")
+    return table(spark, d, "query_log").select("id", text.roman_index(q).alias("roman_a"), text.roman_loose(q).alias("roman_b"))
+
+
+@query(f"SELECT id, {sql.mode('query_raw')} AS mode, CASE WHEN {sql.mode('query_raw')} = 'roman' THEN {sql.roman_index('query_raw')} ELSE CASE WHEN {sql.blank('query_raw')} THEN query_raw ELSE {sql.normal('query_raw')} END END AS q FROM query_log WHERE NOT {sql.blank('query_raw')}")
+def query_canonicalize(spark, d):
+    q = table(spark, d, "query_log").select("id", F.col("query_raw").alias("query"))
+    return hybrid.canonical_queries(q, compose=False).select("id", "mode", F.col("query_used").alias("q"))
+
+
+@query(f"SELECT id, array_to_string({sql.tokens('query_raw')}, '¦') AS tokens, len({sql.tokens('query_raw')}) AS n_tokens FROM query_log")
+def tokenize_queries(spark, d):
+    t = text.tokens(F.col("query_raw"))
+    return table(spark, d, "query_log").select("id", F.array_join(t, "¦").alias("tokens"), F.size(t).cast("long").alias("n_tokens"))
+
+
+@query("SELECT date_trunc('hour', created_at)::TIMESTAMP AS window_start, query_mode, count(*) AS n FROM query_log WHERE created_at IS NOT NULL GROUP BY ALL")
+def queries_by_hour(spark, d):
+    """The stream's windowed count, over the log as a batch."""
+    from lekhspark.streaming.logs import query_counts
+
+    return query_counts(table(spark, d, "query_log")).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "query_mode", "n")
+
+
+# ---- Chunks
+
+
+@query(f"SELECT id, i AS pos, ps[i] AS paragraph, {sql.n_words('ps[i]')} AS n_words FROM (SELECT id, ps, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT id, {sql.paragraphs('content_hi')} AS ps FROM articles_canonical))")
+def paragraph_split(spark, d):
+    p = table(spark, d, "articles_canonical").select("id", F.posexplode(text.paragraphs(F.col("content_hi"))).alias("i", "paragraph"))
+    return p.select("id", (F.col("i") + 1).cast("long").alias("pos"), "paragraph", text.count_words(F.col("paragraph")).cast("long").alias("n_words"))
+
+
+def _sentence_sql(x: str) -> str:
+    t = sql.trim(f"coalesce({x}, '')")
+    parts = f"CASE WHEN {t} = '' THEN [] ELSE [{t}] END"
+    for i, sep in enumerate(text.SENTENCE_SEPARATORS):
+        segs = f"list_filter(list_transform(string_split(p{i}, {sql.lit(sep)}), lambda s{i}: {sql.trim(f's{i}')}), lambda s{i}: s{i} <> '')"
+        tail = f"lambda u{i}: u{i} || {sql.lit(sep if sep in text.KEPT_SEPARATORS else '')}"
+        parts = f"flatten(list_transform({parts}, lambda p{i}: CASE WHEN len({segs}) <= 1 THEN [p{i}] ELSE list_transform({segs}, {tail}) END))"
+    return f"list_filter(list_transform({parts}, lambda z: {sql.trim('z')}), lambda z: z <> '')"
+
+
+@query(f"SELECT chunk_id, array_to_string({_sentence_sql('chunk_text')}, '¦') AS sentences FROM chunks")
+def sentence_split(spark, d):
+    return table(spark, d, "chunks").select("chunk_id", F.array_join(text.sentence_parts(F.col("chunk_text")), "¦").alias("sentences"))
+
+
+@query(f"SELECT id, w AS from_token, least(w + 384, n) AS to_token FROM (SELECT id, n, unnest(CASE WHEN n = 0 THEN [] WHEN n <= 384 THEN [0] ELSE range(0, n, 344) END) AS w FROM (SELECT id, {sql.n_words('content_hi')} AS n FROM articles_canonical))")
+def chunk_windows(spark, d):
+    bounds = chunking.window_bounds(text.count_words(F.col("content_hi")))
+    w = table(spark, d, "articles_canonical").select("id", F.explode(bounds).alias("w"))
+    return w.select("id", F.col("w.start").cast("long").alias("from_token"), F.col("w.end").cast("long").alias("to_token"))
+
+
+@query(
+    f"""WITH a AS (SELECT DISTINCT id, {sql.paragraphs('content_hi')} AS ps FROM articles_canonical),
+    p AS (SELECT id, i, {sql.n_words('ps[i]')} AS n FROM (SELECT id, ps, unnest(range(1, len(ps) + 1)) AS i FROM a))
+    , r AS (SELECT id, i, n, n AS held, 0 AS grp FROM p WHERE i = 1
+      UNION ALL SELECT p.id, p.i, p.n, CASE WHEN r.held + p.n <= 200 THEN r.held + p.n ELSE p.n END, CASE WHEN r.held + p.n <= 200 THEN r.grp ELSE r.grp + 1 END FROM r JOIN p ON p.id = r.id AND p.i = r.i + 1)
+    SELECT id, grp AS pos, count(*) AS n_paragraphs, sum(n)::BIGINT AS n_words FROM r WHERE id NOT IN (SELECT id FROM p WHERE n > 200) GROUP BY id, grp""".replace("WITH a", "WITH RECURSIVE a", 1)
+)
+def chunk_pack(spark, d):
+    """Greedy packing of articles whose paragraphs all fit."""
+    a = table(spark, d, "articles_canonical").select("id", text.paragraphs(F.col("content_hi")).alias("ps")).distinct()
+    fit = a.where(~F.exists("ps", lambda p: text.count_words(p) > 200))
+    c = fit.select("id", F.posexplode(chunking.pack(F.col("ps"))).alias("pos", "chunk"))
+    return c.select("id", "pos", F.size(text.paragraphs(F.col("chunk"))).cast("long").alias("n_paragraphs"), text.count_words(F.col("chunk")).cast("long").alias("n_words"))
+
+
+def _joined(*xs: str) -> str:
+    return "concat_ws(chr(10) || chr(10), " + ", ".join(f"CASE WHEN NOT {sql.blank(x)} THEN {sql.trim(x)} END" for x in xs) + ")"
+
+
+@query(f"SELECT id, {_joined('title_hi', 'summary_hi', 'lead')} AS context FROM (SELECT id, title_hi, summary_hi, array_to_string(list_slice({sql.paragraphs('content_hi')}, 1, 2), chr(10) || chr(10)) AS lead FROM articles_canonical)")
+def context_chunk(spark, d):
+    return table(spark, d, "articles_canonical").select("id", chunking.context_text(F.col("title_hi"), F.col("summary_hi"), F.col("content_hi")).alias("context"))
+
+
+@query()
+def chunk_articles(spark, d):
+    """The chunk table of all articles."""
+    return chunking.chunk_articles(table(spark, d, "articles_canonical"))
+
+
+@query("SELECT chunk_id, ('0x' || substring(sha1(chunk_id), 1, 16))::UBIGINT::VARCHAR AS point_id, article_id || '::c' || lpad(chunk_index::VARCHAR, 4, '0') AS expected_id FROM chunks")
+def chunk_ids(spark, d):
+    c = table(spark, d, "chunks")
+    return c.select("chunk_id", text.stable_id(F.col("chunk_id")).cast("string").alias("point_id"), text.chunk_id(F.col("article_id"), F.col("chunk_index")).alias("expected_id"))
+
+
+# ---- Gazetteer and entities
+
+_GAZ_SQL = " UNION ALL ".join(
+    f"SELECT '{f}' AS field, row_number() OVER (ORDER BY length(value) DESC, value) - 1 AS ord, value, {sql.roman_loose('value')} AS value_roman FROM (SELECT DISTINCT {sql.trim('v')} AS value FROM (SELECT unnest({f}_norm) AS v FROM articles_canonical)) WHERE value <> ''"
+    for f in ("locations", "categories", "tags", "contributors")
+)
+
+
+@query(_GAZ_SQL)
+def gazetteer_build(spark, d):
+    return gazetteer.build(table(spark, d, "articles_canonical")).withColumn("ord", F.col("ord").cast("long"))
+
+
+def _spaced(x: str) -> str:
+    return sql.sub(f"lower({sql.trim(f"coalesce({x}, '')")})", f"{sql.WS}+", " ")
+
+
+_ENTITY_CTE = f"""q AS (SELECT DISTINCT query_used AS query, query_mode AS mode FROM query_log WHERE query_used IS NOT NULL AND NOT {sql.blank('query_used')}),
+    qq AS (SELECT *, {_spaced('query')} AS s, {sql.roman_loose('query')} AS r, {sql.tokens(_spaced('query'))} AS ts FROM q),
+    g AS (SELECT field, ord, value, {_spaced('value')} AS s, value_roman AS r, {sql.tokens(_spaced('value'))} AS ts FROM gazetteer),
+    hit AS (SELECT query, mode, field, ord, value, CASE WHEN contains(qq.s, g.s) OR (mode <> 'dev' AND g.r <> '' AND contains(qq.r, g.r)) THEN 1 ELSE 2 END AS step FROM qq JOIN g
+      ON contains(qq.s, g.s) OR (mode <> 'dev' AND g.r <> '' AND contains(qq.r, g.r)) OR (field <> 'contributors' AND list_has_any(qq.ts, g.ts))),
+    m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query, mode, field ORDER BY step, ord) AS n FROM hit) WHERE n <= 3),
+    conf AS (SELECT query, mode, field, sum(CASE WHEN step = 1 THEN 2 ELSE 1 END)::INT AS confidence, list(value ORDER BY step, value) AS vs FROM m GROUP BY query, mode, field)"""
+
+
+@query(f"WITH {_ENTITY_CTE} SELECT query, mode, field, step, value FROM m")
+def entity_match(spark, d):
+    return gazetteer.detect(table(spark, d, "query_log"), table(spark, d, "gazetteer")).select("query", "mode", "field", "step", "value")
+
+
+@query(f"WITH {_ENTITY_CTE} SELECT query, mode, field, confidence, array_to_string(vs, '¦') AS matched FROM conf")
+def entity_confidence(spark, d):
+    c = gazetteer.confidence(gazetteer.detect(table(spark, d, "query_log"), table(spark, d, "gazetteer")))
+    return c.withColumn("matched", F.array_join("matched", "¦"))
+
+
+_RULE_SQL = "CASE " + " ".join(f"WHEN field = '{f}' AND confidence >= {n} THEN {i}" for i, (f, _, n) in enumerate(gazetteer.FIELD_RULES)) + " END"
+
+
+@query(f"""WITH {_ENTITY_CTE}, c AS (SELECT query, mode, {_RULE_SQL} AS o, field || '_norm:=[' || array_to_string(list_transform(vs, lambda v: '`' || replace(v, '`', '\\`') || '`'), ',') || ']' AS clause FROM conf)
+    SELECT query, mode, string_agg(CASE WHEN o IS NOT NULL THEN clause END, ' && ' ORDER BY o) AS filter_by FROM c GROUP BY query, mode""")
+def auto_filter(spark, d):
+    return gazetteer.auto_filter(gazetteer.confidence(gazetteer.detect(table(spark, d, "query_log"), table(spark, d, "gazetteer"))))
+
+
+# ---- Lexical search
+
+
+def _lexical_docs(spark, d) -> DataFrame:
+    """Index rows with the fields of Devanagari queries (the romanized ones need an Arrow UDF and have no SQL)."""
+    return table(spark, d, "articles_canonical").select("id", "title_hi", "summary_hi", "content_hi", "published_ts", "locations_norm", "tags_norm").dropDuplicates(["id"])
+
+
+def _asked(spark, d) -> DataFrame:
+    q = table(spark, d, "query_log").where((F.col("id") % 50 == 0) & ~text.is_nullish(F.col("query_used")))
+    return q.select(F.col("id").alias("query_id"), F.col("query_used").alias("query"), F.lit("dev").alias("mode"))
+
+
+_FIELDS = (("title_hi", 6.0), ("summary_hi", 3.0), ("content_hi", 1.0))
+_POSTINGS_CTE = (
+    "docs AS (SELECT id, any_value(title_hi) AS title_hi, any_value(summary_hi) AS summary_hi, any_value(content_hi) AS content_hi, any_value(published_ts) AS ts FROM articles_canonical GROUP BY id), posts AS ("
+    + " UNION ALL ".join(f"SELECT DISTINCT unnest({sql.tokens(f)}) AS token, '{f}' AS field, {w} AS w, id FROM docs" for f, w in _FIELDS)
+    + ")"
+)
+_LEX_CTE = f"""{_POSTINGS_CTE}, asked AS (SELECT id AS query_id, query_used AS query FROM query_log WHERE id % 50 = 0 AND NOT {sql.blank('query_used')}),
+    wanted AS (SELECT DISTINCT query_id, unnest({sql.tokens('query')}) AS qtoken FROM asked), vocab AS (SELECT DISTINCT token FROM posts), qt AS (SELECT DISTINCT qtoken FROM wanted),
+    near AS (SELECT qtoken, token, 1.0 AS m FROM qt JOIN vocab ON qtoken = token UNION ALL
+      SELECT qtoken, token, 0.5 FROM qt JOIN vocab ON length(qtoken) >= 4 AND length(token) >= 4 AND strlen(qtoken) = length(qtoken) AND strlen(token) = length(token) AND abs(length(qtoken) - length(token)) <= 1 AND levenshtein(qtoken, token) = 1),
+    hits AS (SELECT query_id, posts.id, field, w, qtoken, max(m) AS m FROM wanted JOIN near USING (qtoken) JOIN posts USING (token) GROUP BY ALL),
+    scored AS (SELECT query_id, id, sum(m * w) AS lexical_score FROM hits GROUP BY ALL),
+    lex AS (SELECT * FROM (SELECT query_id, scored.id, lexical_score, row_number() OVER (PARTITION BY query_id ORDER BY lexical_score DESC, ts DESC NULLS LAST, scored.id) AS rank FROM scored JOIN docs USING (id)) WHERE rank <= 80)"""
+
+
+@query(f"WITH {_POSTINGS_CTE} SELECT token, field, count(*) AS n_docs FROM posts GROUP BY ALL")
+def postings(spark, d):
+    return lexical.token_statistics(lexical.postings(_lexical_docs(spark, d), tuple(f for f, _ in _FIELDS)))
+
+
+@query(f"WITH {_LEX_CTE} SELECT qtoken, token, m::DOUBLE AS m FROM near")
+def fuzzy_tokens(spark, d):
+    posts = lexical.postings(_lexical_docs(spark, d), tuple(f for f, _ in _FIELDS))
+    wanted = _asked(spark, d).select(F.explode(text.tokens(F.col("query"))).alias("token"))
+    return lexical.fuzzy_tokens(wanted, posts, ascii_only=True)
+
+
+@query(f"WITH {_LEX_CTE} SELECT query_id, id, lexical_score::DOUBLE AS lexical_score, rank FROM lex")
+def lexical_topk(spark, d):
+    r = lexical.search(_asked(spark, d), _lexical_docs(spark, d), ascii_only=True)
+    return r.withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"""WITH {_LEX_CTE}, allm AS (SELECT query_id, scored.id, lexical_score, ts, count(*) OVER (PARTITION BY query_id) AS found, row_number() OVER (PARTITION BY query_id ORDER BY ts DESC NULLS LAST, lexical_score DESC, scored.id) AS place FROM scored JOIN docs USING (id))
+    SELECT query_id, id, found, place FROM allm WHERE place BETWEEN 11 AND 20""")
+def lexical_page_by_date(spark, d):
+    r = lexical.search_page(_asked(spark, d), _lexical_docs(spark, d), page=2, sort_by="published_ts:desc", ascii_only=True)
+    return r.select("query_id", "id", "found", F.col("place").cast("long").alias("place"))
+
+
+_FILTER = "(locations_norm:=[`सोनपुरा`,`धानपुर`] || tags_norm:=`climate`) && published_ts:>=1451606400"
+
+
+@query("SELECT id FROM (SELECT DISTINCT id, locations_norm, tags_norm, published_ts FROM articles_canonical) WHERE (list_has_any(coalesce(locations_norm, []), ['सोनपुरा', 'धानपुर']) OR list_has_any(coalesce(tags_norm, []), ['climate'])) AND published_ts >= 1451606400")
+def filter_by(spark, d):
+    docs = table(spark, d, "articles_canonical").select("id", "locations_norm", "tags_norm", "published_ts").distinct()
+    return docs.where(lexical.parse_filter(_FILTER, docs)).select("id")
+
+
+# ---- Vector search
+
+
+def _query_vectors(spark, d) -> DataFrame:
+    v = table(spark, d, "article_vectors").where(F.col("id").try_cast("long") % 50 == 0)
+    return v.groupBy(F.col("id").cast("long").alias("query_id")).agg(F.first("vector").alias("vector"))
+
+
+_QV = "qv AS (SELECT key::BIGINT AS query_id, v FROM " + sql.unit_vectors("article_vectors", "id") + " WHERE try_cast(key AS BIGINT) % 50 = 0)"
+
+
+def _top_sql(name: str, source: str, k: int, extra: str = "") -> str:
+    e = f", {extra}" if extra else ""
+    return f"""{name} AS (SELECT query_id, key{e}, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM
+      (SELECT query_id, key{e}, round(list_cosine_similarity(qv.v::DOUBLE[], t.v::DOUBLE[]), 9) AS score FROM qv, {source} t)) WHERE rank <= {k})"""
+
+
+_VEC_CTE = f"{_QV}, {_top_sql('art', sql.unit_vectors('article_vectors', 'id'), 40)}, {_top_sql('chk', sql.unit_vectors('chunk_vectors', 'chunk_id', 'article_id'), 80, 'article_id')}"
+
+
+@query(f"WITH {_VEC_CTE} SELECT query_id, key AS id, round(score, 6) AS score, rank FROM art")
+def vector_topk_article(spark, d):
+    r = vectors.top_k(_query_vectors(spark, d), table(spark, d, "article_vectors"), 40, "id")
+    return r.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {_VEC_CTE} SELECT query_id, key AS chunk_id, article_id, round(score, 6) AS score, rank FROM chk")
+def vector_topk_chunk(spark, d):
+    r = vectors.top_k(_query_vectors(spark, d), table(spark, d, "chunk_vectors"), 80, "chunk_id", payload=("article_id",))
+    return r.select("query_id", "chunk_id", "article_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def embed_articles(spark, d):
+    """Vectors of all articles by the default model."""
+    return vectors.embed_articles(table(spark, d, "articles_canonical"), vectors.hashing_embedding())
+
+
+# ---- Fusion, ranking, pages: one request for each of the vectors above, its text the article's title
+
+
+_REQ_CTE = f"""{_VEC_CTE}, meta AS (SELECT id, any_value(title_hi) AS title_hi, any_value(published_ts) AS published_ts, any_value(published_date) AS published_date, any_value(categories_norm) AS categories_norm, any_value(tags_norm) AS tags_norm, any_value(locations_norm) AS locations_norm, any_value(contributors_norm) AS contributors_norm FROM articles_canonical GROUP BY id),
+    asked AS (SELECT query_id, title_hi AS query FROM qv JOIN meta ON meta.id = qv.query_id::VARCHAR), qtok AS (SELECT query_id, list_distinct({sql.tokens('query')}) AS ts FROM asked)"""
+
+
+def _requests_sql() -> str:
+    lex = _LEX_CTE.replace(_POSTINGS_CTE + ", ", _POSTINGS_CTE + ", ", 1)
+    start = lex.index("asked AS (")
+    end = lex.index("wanted AS (")
+    return f"{_REQ_CTE}, {lex[:start]}{lex[end:]}"
+
+
+_FUSE_CTE = f"""{_requests_sql()}, legs AS (SELECT query_id, id AS article_id, 'l' AS leg, lexical_score::DOUBLE AS s, NULL AS chunk_id FROM lex UNION ALL SELECT query_id, key, 'a', score, NULL FROM art UNION ALL SELECT query_id, article_id, 'c', score, key FROM chk WHERE article_id IS NOT NULL),
+    fused0 AS (SELECT query_id, article_id, greatest(coalesce(max(s) FILTER (WHERE leg = 'l'), 0), 0) AS lexical_score, greatest(coalesce(max(s) FILTER (WHERE leg = 'a'), 0), 0) AS sem_article, greatest(coalesce(max(s) FILTER (WHERE leg = 'c'), 0), 0) AS sem_chunk,
+      first(chunk_id ORDER BY s DESC, chunk_id) FILTER (WHERE leg = 'c' AND s > 0) AS best_chunk_id, bool_or(leg = 'l') AS src_lexical, bool_or(leg = 'a') AS src_sem_article, bool_or(leg = 'c') AS src_sem_chunk FROM legs GROUP BY ALL),
+    fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(lexical_score + sem_chunk + sem_article, 9) DESC, article_id) AS pre_rank FROM fused0) WHERE pre_rank <= 200)"""
+
+
+def _request_rows(spark, d) -> DataFrame:
+    titles = table(spark, d, "articles_canonical").select("id", "title_hi").dropDuplicates(["id"])
+    qv = _query_vectors(spark, d)
+    return qv.join(titles, qv["query_id"].cast("string") == titles["id"]).select("query_id", F.col("title_hi").alias("query"), F.lit("dev").alias("mode"))
+
+
+def _fused(spark, d) -> DataFrame:
+    qv = _query_vectors(spark, d)
+    lex = lexical.search(_request_rows(spark, d), _lexical_docs(spark, d), ascii_only=True)
+    art = vectors.top_k(qv, table(spark, d, "article_vectors"), 40, "id")
+    chk = vectors.top_k(qv, table(spark, d, "chunk_vectors"), 80, "chunk_id", payload=("article_id",))
+    return ranking.fuse(lex, art, chk)
+
+
+@query(f"WITH {_FUSE_CTE} SELECT query_id, article_id, round(lexical_score, 6) AS lexical_score, round(sem_article, 6) AS sem_article, round(sem_chunk, 6) AS sem_chunk, best_chunk_id, src_lexical, src_sem_article, src_sem_chunk, pre_rank FROM fused")
+def fuse_candidates(spark, d):
+    r = _fused(spark, d)
+    scores = {c: F.round(c, 6) for c in ("lexical_score", "sem_article", "sem_chunk")}
+    return r.withColumns(scores).withColumn("pre_rank", F.col("pre_rank").cast("long")).select("query_id", "article_id", *scores, "best_chunk_id", "src_lexical", "src_sem_article", "src_sem_chunk", "pre_rank")
+
+
+def _mm(c: str) -> str:
+    w = "OVER (PARTITION BY query_id)"
+    return f"CASE WHEN max({c}) {w} - min({c}) {w} < 1e-9 THEN 0 ELSE ({c} - min({c}) {w}) / (max({c}) {w} - min({c}) {w}) END"
+
+
+def _overlap(field: str, full: float) -> str:
+    return f"least(1.0, len(list_intersect(ts, coalesce({field}, []))) / {full})"
+
+
+_PART_SQL = {
+    "lex": _mm("lexical_score"), "sem_chunk": _mm("sem_chunk"), "sem_article": _mm("sem_article"), **{n: _overlap(f, full) for n, f, full in ranking.OVERLAPS},
+    "recency": f"CASE WHEN coalesce(published_ts, 0) <= 0 THEN 0 ELSE greatest(0.0, 1.0 - greatest(0.0, ({NOW} - published_ts) / 86400.0) / 1095.0) END", "entity_conf": "0.0",
+}
+_RANK_CTE = f"""{_FUSE_CTE}, parts AS (SELECT query_id, article_id, pre_rank, best_chunk_id, published_date, {', '.join(f"({_PART_SQL[n]}) * {w} AS w_{n}" for n, w in ranking.WEIGHTS)} FROM fused LEFT JOIN meta ON meta.id = article_id JOIN qtok USING (query_id)),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pre_rank) AS rank FROM (SELECT *, round({' + '.join(f'w_{n}' for n, _ in ranking.WEIGHTS)}, 9) AS score FROM parts))"""
+
+
+def _ranked(spark, d) -> DataFrame:
+    meta = ranking.article_metadata(table(spark, d, "articles_canonical"))
+    return ranking.rank(ranking.with_metadata(_fused(spark, d), meta), _request_rows(spark, d), NOW)
+
+
+@query(f"WITH {_RANK_CTE} SELECT query_id, article_id, round(score, 6) AS score, rank FROM ranked")
+def rank_v1(spark, d):
+    return _ranked(spark, d).select("query_id", "article_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+_EXPLAIN_LIST = "[" + ", ".join(f"{{'s': w_{n}, 'o': {-i}, 'n': '{n}'}}" for i, (n, _) in enumerate(ranking.WEIGHTS)) + "]"
+
+
+@query(f"WITH {_RANK_CTE} SELECT query_id, article_id, array_to_string(list_transform(list_slice(list_reverse_sort({_EXPLAIN_LIST}), 1, 4), lambda x: x.n), '¦') AS top_parts FROM ranked")
+def explain_top4(spark, d):
+    return _ranked(spark, d).select("query_id", "article_id", F.array_join(F.transform("explanation", lambda x: x["name"]), "¦").alias("top_parts"))
+
+
+@query(f"WITH {_RANK_CTE}, n AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS total FROM ranked) SELECT query_id, article_id, rank, total AS total_results, greatest(1, ceil(total / 10.0))::INT AS total_pages FROM n WHERE rank > 10 AND rank <= 20")
+def search_page(spark, d):
+    """The second page of ten, with the totals."""
+    asked = _request_rows(spark, d).select("query_id", F.lit(2).alias("page"), F.lit(10).alias("per_page"))
+    r = ranking.page(_ranked(spark, d), asked)
+    return r.select("query_id", "article_id", F.col("rank").cast("long").alias("rank"), "total_results", "total_pages")
+
+
+@query(
+    f"""WITH {_RANK_CTE}, txt AS (SELECT chunk_id, any_value(chunk_text) AS chunk_text FROM chunks GROUP BY chunk_id)
+    SELECT query_id, article_id, rank, substring({sql.trim(sql.sub('chunk_text', f'{sql.WS}+', ' '))}, 1, 420) AS snippet FROM ranked LEFT JOIN txt ON chunk_id = best_chunk_id WHERE rank <= 10"""
+)
+def search_snippets(spark, d):
+    r = ranking.with_snippets(_ranked(spark, d).where(F.col("rank") <= 10), table(spark, d, "chunks"))
+    return r.select("query_id", "article_id", F.col("rank").cast("long").alias("rank"), "snippet")
+
+
+def _resorted_sql(way: str) -> str:
+    return f"WITH {_RANK_CTE} SELECT query_id, article_id, row_number() OVER (PARTITION BY query_id ORDER BY try_strptime(published_date, '%Y-%m-%dT%H:%M:%S') {way} NULLS LAST, rank) AS place FROM ranked"
+
+
+@query(_resorted_sql("DESC"))
+def sort_newest(spark, d):
+    return ranking.resort(_ranked(spark, d), "newest").select("query_id", "article_id", F.col("place").cast("long").alias("place"))
+
+
+@query(_resorted_sql("ASC"))
+def sort_oldest(spark, d):
+    return ranking.resort(_ranked(spark, d), "oldest").select("query_id", "article_id", F.col("place").cast("long").alias("place"))
+
+
+@query(f"WITH {_FUSE_CTE} SELECT query_id, count(*) FILTER (WHERE t = 'l') AS lex_n, count(*) FILTER (WHERE t = 'a') AS sem_article_n, count(*) FILTER (WHERE t = 'c') AS sem_chunk_n, count(*) FILTER (WHERE t = 'f') AS cand_n FROM (SELECT query_id, 'l' AS t FROM lex UNION ALL SELECT query_id, 'a' FROM art UNION ALL SELECT query_id, 'c' FROM chk UNION ALL SELECT query_id, 'f' FROM fused) GROUP BY query_id")
+def leg_counts(spark, d):
+    qv = _query_vectors(spark, d)
+    lex = lexical.search(_request_rows(spark, d), _lexical_docs(spark, d), ascii_only=True)
+    art = vectors.top_k(qv, table(spark, d, "article_vectors"), 40, "id")
+    chk = vectors.top_k(qv, table(spark, d, "chunk_vectors"), 80, "chunk_id", payload=("article_id",))
+    return ranking.leg_counts(lex, art, chk, ranking.fuse(lex, art, chk))
+
+
+# ---- Logs and labels: labels made of the log, one of three of them wrong
+
+
+def _labels(spark, d) -> DataFrame:
+    q = table(spark, d, "query_log").select(F.col("id"))
+    return q.select((F.col("id") * 2).alias("id"), (F.col("id") + F.when(F.col("id") % 7 == 0, F.lit(10_000_000)).otherwise(0)).alias("query_id"), F.when(F.col("id") % 5 != 0, F.lit("1")).alias("article_id"), (F.col("id") % 3).cast("int").alias("label"))
+
+
+_LABELS_CTE = "labels AS (SELECT id * 2 AS id, id + CASE WHEN id % 7 = 0 THEN 10000000 ELSE 0 END AS query_id, CASE WHEN id % 5 <> 0 THEN '1' END AS article_id, (id % 3)::INT AS label FROM query_log)"
+
+
+@query(f"WITH {_LABELS_CTE} SELECT id, query_id, (CASE WHEN article_id IS NULL THEN label = 0 ELSE label IN (0, 1) END AND query_id IN (SELECT id FROM query_log)) AS ok FROM labels")
+def label_validate(spark, d):
+    return feedback.check_labels(_labels(spark, d), table(spark, d, "query_log")).select("id", "query_id", (F.size("errors") == 0).alias("ok"))
+
+
+@query(f"WITH {_LABELS_CTE} SELECT id, query_id, label FROM labels WHERE query_id NOT IN (SELECT id FROM query_log WHERE query_mode = 'mixed')")
+def fk_cascade(spark, d):
+    gone = table(spark, d, "query_log").where(F.col("query_mode") == "mixed")
+    return feedback.cascade_delete(_labels(spark, d), gone).select("id", "query_id", "label")
+
+
+@query(f"WITH {_RANK_CTE} SELECT query_id, rank, article_id, round(score, 6) AS score FROM ranked WHERE rank <= 200")
+def candidate_log(spark, d):
+    return feedback.candidate_rows(_ranked(spark, d)).select("query_id", F.col("rank").cast("long").alias("rank"), "article_id", F.round("score", 6).alias("score"))
+
+
+# ---- Everything together
+
+
+def _corpus(spark, d) -> hybrid.Corpus:
+    canon = table(spark, d, "articles_canonical").dropDuplicates(["id"])
+    return hybrid.Corpus(
+        canonical.index_documents(canon), ranking.article_metadata(canon), table(spark, d, "article_vectors"), table(spark, d, "chunk_vectors"), table(spark, d, "chunks"), table(spark, d, "gazetteer"),
+    )
+
+
+@query()
+def hybrid_search(spark, d):
+    """First pages of every 50th logged query: mode, entities, filters, three legs, fusion, ranking, snippets."""
+    requests = table(spark, d, "query_log").where(F.col("id") % 50 == 0).select(F.col("id").alias("query_id"), F.col("query_raw").alias("query"))
+    out = hybrid.search(requests, _corpus(spark, d), hybrid.Settings(now_ts=NOW), embed=vectors.hashing_embedding())
+    return out["page"].select("query_id", "rank", "article_id", "title", "score", "snippet", "total_results", "total_pages", "page", "per_page")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hybrid_search(spark, sf_dir)
+
+

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # The tables of the log.
-QUERY_LOG = T._parse_datatype_string("id bigint, created_at timestamp, query_raw string, query_mode string, query_used string, query_semantic string, filters string, ranker_version string, retrieval_version string, meta string")
-CANDIDATE_LOG = T._parse_datatype_string(
+QUERY_LOG = "id bigint, created_at timestamp, query_raw string, query_mode string, query_used string, query_semantic string, filters string, ranker_version string, retrieval_version string, meta string"
+CANDIDATE_LOG = (
     "id bigint, query_id bigint, rank int, article_id string, url string, title string, published_date string, summary string, primary_category string, "
     "categories array<string>, tags array<string>, location array<string>, partner_label string, contributors array<string>, score double, features string, explanation string"
 )
-RELEVANCE_LABELS = T._parse_datatype_string("id bigint, created_at timestamp, query_id bigint, article_id string, label int, note string")
+RELEVANCE_LABELS = "id bigint, created_at timestamp, query_id bigint, article_id string, label int, note string"
 
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -27,7 +26,7 @@ def upsert(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return latest(both, keys, [F.col("_b")]).drop("_b")
 
 
-def create_log(spark, path: str, schema: T.StructType) -> None:
+def create_log(spark, path: str, schema: str) -> None:
     """An empty log table, if there is none yet."""
     spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
 
