@@ -15,8 +15,12 @@ WS = r"[\s\p{Z}\x{85}]"
 NOT_WS = r"[^\s\p{Z}\x{85}]"
 
 
+#: The characters of the class WS.
+WS_CHARS = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim_all(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.trim(c, F.lit(WS_CHARS))
 
 
 def is_nullish(c: Column) -> Column:

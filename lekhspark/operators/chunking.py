@@ -81,8 +81,10 @@ def chunk_articles(articles: DataFrame, max_tokens: int = MAX_TOKENS, overlap: i
     paras = text.paragraphs(text.join_non_blank(F.col("title_hi"), F.col("summary_hi"), F.col("content_hi")))
     context = windows(context_text(F.col("title_hi"), F.col("summary_hi"), F.col("content_hi")), hard_max, overlap)
     chunks = F.concat(F.slice(context, 1, 1), pack(paras, max_tokens, hard_max, overlap))
-    payload = [F.col("url"), F.col("published_date"), F.coalesce("published_ts", F.lit(0)).alias("published_ts"), F.coalesce("title_hi", F.lit("")).alias("title_hi")]
-    rows = articles.select(F.col("id").cast("string").alias("article_id"), *payload, F.posexplode(chunks).alias("chunk_index", "chunk_text"))
+    rows = articles.select("id", "url", "published_date", "published_ts", "title_hi", chunks.alias("_chunks")).select(
+        F.col("id").cast("string").alias("article_id"), "url", "published_date", F.coalesce("published_ts", F.lit(0)).alias("published_ts"),
+        F.coalesce("title_hi", F.lit("")).alias("title_hi"), F.posexplode("_chunks").alias("chunk_index", "chunk_text"),
+    )
     return rows.select(
         text.chunk_id(F.col("article_id"), F.col("chunk_index")).alias("chunk_id"), "article_id", "chunk_index", "chunk_text",
         text.count_words(F.col("chunk_text")).alias("chunk_tokens"), "url", "published_date", "published_ts", "title_hi",

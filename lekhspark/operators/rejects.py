@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lekhspark.functions.dates import parse_timestamp
+from lekhspark.functions.text import trim_all as _trim
 
 # The export's columns in their order.
 EXPORT_COLUMNS = (
@@ -37,7 +38,6 @@ EXPORT_COLUMNS = (
 MARKERS = ("null", "(null)", "none", "nil", "nan", "n/a", "na", "undefined", "\\n", "#n/a", "#ref!", "#value!", "#name?", "#div/0!", "#num!", "#null!", "#error!", "false", "true", "nat")
 _MARKER_FORMS = r"(?i)^(?:error(?:[ :#]*\d+|:.{0,60})|#[A-Z/0-9]+[!?]?|\[object \w+\]|(?:fatal error|warning|exception|traceback)\b.{0,60})$"
 _URL = r"^\s*https?://\S+\s*$"
-_WS = r"[\s\p{Z}]"
 
 
 def _quotes(text: Column) -> Column:
@@ -98,10 +98,6 @@ def parse_lines(raw: DataFrame, text_col: str = "raw", columns: tuple[str, ...]
     return parsed.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_fields", "quote_error", *[F.get("fields", F.lit(i)).alias(c) for i, c in enumerate(columns)])
 
 
-def _trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{_WS}+|{_WS}+$", "")
-
-
 def value_rules() -> list[tuple[Column, str]]:
     """Conditions under which a row of the right columns is wrong, with the error each gives."""
     ident, date, content = F.col("ID"), F.col("Date"), _trim(F.col("Content"))

@@ -14,6 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,15 +25,19 @@ from lekhspark.functions import text
 BLOCK = 4_096
 
 
-def _matrix(vs: list, dims: int) -> tuple[np.ndarray, np.ndarray]:
+def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Unit rows of the usable vectors, and their places."""
-    ok = [i for i, v in enumerate(vs) if v is not None and len(v) == dims]
-    if not ok:
-        return np.zeros((0, dims)), np.zeros(0, int)
-    x = np.array([[np.nan if e is None else e for e in vs[i]] for i in ok], np.float64).reshape(-1, dims)
     norm = np.linalg.norm(x, axis=1)
     use = np.isfinite(norm) & (norm > 0)
-    return x[use] / norm[use, None], np.array(ok)[use]
+    return x[use] / norm[use, None], np.flatnonzero(use)
+
+
+def _arrow_rows(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a list column that have ``dims`` numbers, as a matrix, and their places; null numbers become NaN."""
+    lengths = np.nan_to_num(pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(float), nan=-1)
+    at = np.flatnonzero(lengths == dims)
+    flat = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(at), dims), at
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, key_col: str, vec_col: str = "vector", payload: tuple[str, ...] = (), decimals: int = 9) -> DataFrame:
@@ -41,6 +47,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, key_col: str, vec_col:
     names = [key_col, *payload]
     kinds = [vectors.schema[c].dataType.simpleString() for c in names]
     qkind = queries.schema["query_id"].dataType.simpleString()
+    if qkind not in ("bigint", "string"):
+        raise ValueError("query_id must be a bigint or a string")
     schema = ", ".join([f"query_id {qkind}", *[f"c{i} {t}" for i, t in enumerate(kinds)], "score double"])
     source = vectors.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], F.col(vec_col).alias("v")).where(F.col("c0").isNotNull())
     out = None
@@ -51,33 +59,31 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, key_col: str, vec_col:
             by_dims.setdefault(len(v), []).append((q, v))
         blocks = []
         for dims, qs in by_dims.items():
-            m, at = _matrix([v for _, v in qs], dims)
+            m, at = _unit(np.array([[np.nan if e is None else e for e in v] for _, v in qs], np.float64).reshape(len(qs), dims))
             blocks.append((dims, [qs[i][0] for i in at], m))
         shared = spark.sparkContext.broadcast(blocks)
 
-        def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                f = f.sort_values("c0", kind="stable").reset_index(drop=True)
-                vs = list(f["v"])
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in batches:
                 for dims, ids, q in shared.value:
-                    x, at = _matrix(vs, dims)
+                    raw, own = _arrow_rows(b.column(b.num_columns - 1), dims)
+                    x, at = _unit(raw)
                     if not len(x) or not len(q):
                         continue
-                    s = np.round(q @ x.T, decimals)
-                    # Repeats of a key may fill places, so a few more are kept before the merge makes keys distinct.
-                    keep = min(len(x), k)
-                    key = f["c0"].to_numpy()[at]
-                    first = ~pd.Series(key).duplicated().to_numpy()
-                    s, place = s[:, first], at[first]
-                    keep = min(keep, s.shape[1])
+                    rows = own[at]
+                    # Key order makes the smaller key win a tie; repeats of a key would fill places.
+                    keys = np.array(b.column(0).take(pa.array(rows)).to_pylist(), dtype=object)
+                    order = pd.Series(keys).sort_values(kind="stable").drop_duplicates().index.to_numpy()
+                    s = np.round(q @ x[order].T, decimals)
+                    keep = min(k, s.shape[1])
                     best = np.argsort(-s, axis=1, kind="stable")[:, :keep]
-                    flat = place[best.ravel()]
-                    part = {"query_id": np.repeat(np.array(ids, dtype=object), keep)}
-                    part |= {f"c{i}": f[f"c{i}"].to_numpy()[flat] for i in range(len(names))}
-                    part["score"] = np.take_along_axis(s, best, 1).ravel()
-                    yield pd.DataFrame(part)
+                    place = pa.array(rows[order][best.ravel()])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat(np.array(ids, dtype=object), keep).tolist(), pa.int64() if qkind == "bigint" else pa.string()), *[b.column(i).take(place) for i in range(len(names))], pa.array(np.take_along_axis(s, best, 1).ravel())],
+                        names=["query_id", *[f"c{i}" for i in range(len(names))], "score"],
+                    )
 
-        found = source.mapInPandas(run, schema)
+        found = source.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     merged = out.groupBy("query_id", "c0").agg(F.max("score").alias("score"), *[F.first(f"c{i}").alias(f"c{i}") for i in range(1, len(names))])
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "c0")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lekhspark.functions import dates, text, unicode
 from lekhspark.operators import canonical, chunking, feedback, gazetteer, lexical, multivalue, quality, ranking, rejects, vectors
 from lekhspark.plans import hybrid, sql
-from lekhspark.session import table
+from lekhspark.session import cut_lineage, table
 from lekhspark.sources.upsert import latest, upsert
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -613,8 +613,10 @@ def candidate_log(spark, d):
 
 def _corpus(spark, d) -> hybrid.Corpus:
     canon = table(spark, d, "articles_canonical").dropDuplicates(["id"])
+    docs = cut_lineage(canonical.index_documents(canon))
+    light = docs.select("id", "published_ts", *[f"{f.lower()}_norm" for f in canonical.MULTI_FIELDS], "article_type", "multimedia_type", "partner_label")
     return hybrid.Corpus(
-        canonical.index_documents(canon), ranking.article_metadata(canon), table(spark, d, "article_vectors"), table(spark, d, "chunk_vectors"), table(spark, d, "chunks"), table(spark, d, "gazetteer"),
+        light, cut_lineage(lexical.postings(docs, lexical.ALL_FIELDS)), ranking.article_metadata(canon), table(spark, d, "article_vectors"), table(spark, d, "chunk_vectors"), table(spark, d, "chunks"), table(spark, d, "gazetteer"),
     )
 
 

@@ -17,9 +17,10 @@ from lekhspark.session import cut_lineage
 
 @dataclass(frozen=True)
 class Corpus:
-    """The tables a search needs."""
+    """The tables a search needs; ``postings`` are those of the index rows in ``docs``."""
 
     docs: DataFrame
+    postings: DataFrame
     metadata: DataFrame
     article_vectors: DataFrame
     chunk_vectors: DataFrame
@@ -70,11 +71,8 @@ def search(requests: DataFrame, corpus: Corpus, settings: Settings, query_vector
     q = cut_lineage(q)  # requests are few; every leg starts from them
     asked = q.select("query_id", F.col("query_used").alias("query"), "mode")
     filtered = lexical.allowed_pairs(q.select("query_id", F.col("filter_by_final").alias("filter_by")), corpus.docs)
-    free = q.where(F.col("filter_by_final").isNull()).select("query_id", "query_used", "mode")
-    kw = {"k": settings.lexical_k, "ascii_only": settings.ascii_typos}
-    lex = lexical.search(free.withColumnRenamed("query_used", "query"), corpus.docs, **kw).unionByName(
-        lexical.search(asked.join(q.where(F.col("filter_by_final").isNotNull()).select("query_id"), "query_id", "left_semi"), corpus.docs, allowed=filtered, **kw)
-    )
+    flagged = q.select("query_id", F.col("query_used").alias("query"), "mode", F.col("filter_by_final").isNotNull().alias("filtered"))
+    lex = lexical.search(flagged, corpus.docs, settings.lexical_k, ascii_only=settings.ascii_typos, allowed=filtered, posts=corpus.postings)
     if query_vectors is None:
         query_vectors = q.select("query_id", embed(text.prefixed(F.col("query_semantic"), "query")).alias("vector"))
     art = vectors.top_k(query_vectors, corpus.article_vectors, settings.article_k, "id")
@@ -118,7 +116,7 @@ class Layout:
 
 
 #: Stages in order with what each needs.
-STAGES = ("canonical", "gazetteer", "index_documents", "chunks", "article_vectors", "chunk_vectors")
+STAGES = ("canonical", "gazetteer", "index_documents", "postings", "chunks", "article_vectors", "chunk_vectors")
 
 
 def run_pipeline(spark: SparkSession, raw: DataFrame, layout: Layout, embed=None, rebuild: bool = False) -> Corpus:
@@ -138,10 +136,8 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, layout: Layout, embed=None
     canon = stage("canonical", lambda: canonical.canonical(raw))
     gaz = stage("gazetteer", lambda: gazetteer.build(canon))
     docs = stage("index_documents", lambda: canonical.index_documents(canon))
+    posts = stage("postings", lambda: lexical.postings(docs, lexical.ALL_FIELDS))
     chunks = stage("chunks", lambda: chunking.chunk_articles(canon))
     art = stage("article_vectors", lambda: vectors.embed_articles(canon, embed))
     chk = stage("chunk_vectors", lambda: vectors.embed_chunks(chunks, embed))
-    return Corpus(docs, ranking.article_metadata(canon), art, chk, chunks, gaz)
-
-
-
+    return Corpus(docs, posts, ranking.article_metadata(canon), art, chk, chunks, gaz)
