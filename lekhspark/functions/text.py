@@ -51,9 +51,9 @@ HTML_STEPS = (
     (r"(?is)<style.*?>.*?</style>", " "),
     (r"\[[^\]]+\]", " "),
     (r"(?s)<!--.*?-->", " "),
-    (r"(?is)<br\s*/?\s*>", "\n"),
-    (r"(?is)<li(?:\s[^>]*)?>", "\n- "),
-    (r"(?is)<(?:p|div|h[1-6])(?:\s[^>]*)?>", "\n\n"),
+    (r"(?is)<br\s*/?\s*>", " \n "),
+    (r"(?is)<li(?:\s[^>]*)?>", " \n- "),
+    (r"(?is)<(?:p|div|h[1-6])(?:\s[^>]*)?>", " \n\n "),
     (r"(?s)<[a-zA-Z/!][^>]*>", " "),
 )
 
