@@ -258,6 +258,11 @@ def _by_language(cps: np.ndarray, row: np.ndarray, t: Tables) -> np.ndarray:
     kind = t.kind[cps]
     word = t.word[cps]
     edge = np.append(True, (word[1:] != word[:-1]) | (row[1:] != row[:-1]))
+    # Words of two scripts written together part where the script changes; digits go with what stands before.
+    group = np.where(kind & (LATIN | LOOKS_LATIN | OTHER_LETTER) > 0, 1, np.where(kind > 0, 2, 0))
+    known = np.maximum.accumulate(np.where(group > 0, np.arange(len(cps)), 0))
+    before = np.append(0, group[known][:-1])
+    edge |= word & (group > 0) & (before > 0) & (before != group)
     starts = np.flatnonzero(edge)
     lengths = np.diff(np.append(starts, len(cps)))
     holds = np.bitwise_or.reduceat(np.where(word, kind, 0), starts)
