@@ -158,10 +158,13 @@ def check_rows(rows: DataFrame, order_col: str = "src_row") -> DataFrame:
     is_part = marked_up | running_text
     swallowed = F.coalesce((F.regexp_count(content, F.lit('","|",\\n|",,')) >= 3) | content.rlike(r'"?,"?https?://[^\s,"]+"?,'), F.lit(False))
     loose_quote = F.coalesce((_quotes(content) % 2 == 1) | content.rlike(r'^\s*"[^"]*$|^[^"]*"\s*$'), F.lit(False))
-    judged = rows.select(F.col(order_col).alias("n"), is_part.alias("is_part"), missing_tail.alias("missing_tail")).where(F.col("is_part") | F.col("missing_tail"))
-    # Fragments are few; the join is by equality of row numbers, so it spreads over all partitions.
-    follows = judged.where("is_part").select((F.col("n") - 1).alias("follows_n")).distinct()
-    marked = rows.join(follows, rows[order_col] == F.col("follows_n"), "left")
+    # Only rows that break off after the content without a trace in it depend on the row behind them. They and the
+    # fragments are few, so no other row is shuffled; the join is by equality of row numbers, never over an ordered window.
+    depends = missing_tail & ~is_part & ~loose_quote & ~swallowed
+    follows = rows.where(is_part).select((F.col(order_col) - 1).alias("follows_n")).distinct()
+    alone = rows.where(~depends).withColumn("follows_n", F.lit(None).cast(rows.schema[order_col].dataType))
+    open_rows = rows.where(depends)
+    marked = alone.unionByName(open_rows.join(follows, open_rows[order_col] == F.col("follows_n"), "left"))
     torn = is_part | (missing_tail & (F.col("follows_n").isNotNull() | loose_quote)) | (missing_tail & swallowed)
     quoting = torn | (swallowed & (F.col("Permalink").isNull() | ~F.coalesce(F.col("Permalink").rlike(_URL), F.lit(False))))
     columns = ~quoting & (_shifted() | missing_tail)
