@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lekhspark.functions import dates, text, unicode
 from lekhspark.operators.rejects import EXPORT_COLUMNS
+from lekhspark.session import settle_names
 
 MULTI_FIELDS = ("Categories", "Locations", "Tags", "Contributors")
 
@@ -25,8 +26,7 @@ CANONICAL_COLUMNS = (
 
 def load_raw(df: DataFrame) -> DataFrame:
     """Header names trimmed, missing columns added, blanks null, ID trimmed; rows without ID included."""
-    df = df.toDF(*[c.strip() for c in df.columns])
-    # Spark's names ignore case, so a column such as ``id`` beside ``ID`` is told apart by its exact name.
+    df = settle_names(df.toDF(*[c.strip() for c in df.columns]), EXPORT_COLUMNS)
     missing = [c for c in EXPORT_COLUMNS if c not in df.columns]
     strings = {f.name for f in df.schema.fields if f.dataType.simpleString() == "string"}
     cols = [(text.non_blank(F.col(f"`{c}`")) if c in strings else F.col(f"`{c}`")).alias(c) for c in df.columns]

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lekhspark.session import settle_names
+
 # The signs that separate values.
 DELIMITERS = "|;,،؛、·•\n\r\t¦│，；｜"
 FIELDS = ("Categories", "Tags", "Locations", "Contributors")
@@ -171,6 +173,7 @@ def gazetteer_values(gazetteer: DataFrame, limit: int = MAX_GAZETTEER) -> dict[s
 def explode_values(df: DataFrame, gazetteer: DataFrame | None = None, key_col: str = "src_row", fields: tuple[str, ...] = FIELDS, least: int = 1) -> DataFrame:
     """``key_col, field, pos, value`` of every field with ``least`` values or more; a map without any shuffle."""
     protected = gazetteer_values(gazetteer) if gazetteer is not None else {}
+    df = settle_names(df, (key_col, *fields))
     kind = df.schema[key_col].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

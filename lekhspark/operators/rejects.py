@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from lekhspark.functions.dates import parse_timestamp
 from lekhspark.functions.text import trim_all as _trim
+from lekhspark.session import settle_names
 
 # The export's columns in their order.
 EXPORT_COLUMNS = (
@@ -82,6 +83,9 @@ def split_record(raw: str | None) -> tuple[list[str], str | None]:
 
 def parse_lines(raw: DataFrame, text_col: str = "raw", columns: tuple[str, ...] = EXPORT_COLUMNS) -> DataFrame:
     """All columns of ``raw`` but ``text_col``, then ``n_fields``, ``quote_error`` and the record's fields by name (null where absent)."""
+    raw = settle_names(raw, (text_col, "n_fields", "quote_error", "errors", *columns))
+    clash = {"n_fields", "quote_error", "errors", *columns}
+    raw = raw.withColumnsRenamed({c: f"{c}_extra" for c in raw.columns if c in clash})
     keep = [c for c in raw.columns if c != text_col]
     types = [raw.schema[c].dataType.simpleString() for c in keep]
 
@@ -149,6 +153,7 @@ def _shifted() -> Column:
 
 def check_rows(rows: DataFrame, order_col: str = "src_row") -> DataFrame:
     """Rows of an already loaded export with ``errors``; ``order_col`` numbers them in their order."""
+    rows = settle_names(rows, (*EXPORT_COLUMNS, order_col)).withColumnsRenamed({"errors": "errors_extra", "follows_n": "follows_n_extra"})
     missing_tail = F.lit(True)
     for c in EXPORT_COLUMNS[4:]:
         missing_tail = missing_tail & F.col(f"`{c}`").isNull()

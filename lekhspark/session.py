@@ -50,6 +50,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle_names(df: DataFrame, needed: tuple[str, ...]) -> DataFrame:
+    """``df`` with extra columns renamed (``name_extra0``) whose names repeat another or a needed one but for case; Spark can't tell those apart."""
+    seen: set[str] = set()
+    lower = {n.lower() for n in needed}
+    names = []
+    for i, c in enumerate(df.columns):
+        if c in needed and c.lower() not in seen or c.lower() not in lower and c.lower() not in seen:
+            seen.add(c.lower())
+            names.append(c)
+        else:
+            names.append(f"{c}_extra{i}")
+    return df.toDF(*names) if names != df.columns else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
