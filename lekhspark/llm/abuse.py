@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from lekhspark.llm.arrow import Shared
 from lekhspark.llm.leakage import _INVISIBLE
 from lekhspark.llm.plainform import LATIN_LOOKALIKES
+from lekhspark.session import settle_names
 
 MAX_DOCUMENTS = 20_000
 IN_POSITIVE, SURE, DISCOUNT, CLIP = 0.15, 3.0, 0.75, 5.0
@@ -293,6 +294,7 @@ class Scorer:
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, max_documents: int = MAX_DOCUMENTS) -> list[tuple[str, float]]:
+    documents, labels = settle_names(documents, ("doc_id", "text")), settle_names(labels, ("doc_id", "abusive"))
     votes = labels.where(F.col("abusive").isin(0, 1)).groupBy("doc_id").agg(F.avg("abusive").alias("share"))
     few = votes.orderBy((F.col("share") == 0).cast("int"), F.xxhash64("doc_id"), "doc_id").limit(max_documents)
     rows = documents.select("doc_id", "text").join(F.broadcast(few), "doc_id").where(F.col("text").isNotNull()).dropDuplicates(["text"]).collect()
@@ -301,6 +303,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, max_documents: int
 
 def score(documents: DataFrame, model: bytes, keep: tuple[str, ...] = ("source",)) -> DataFrame:
     """``doc_id``, ``keep``, ``score``, ``evidence``, ``n_abusive``: one row per row of ``documents``, in a map."""
+    documents = settle_names(documents, ("doc_id", *keep, "text"))
     shared = Shared(documents.sparkSession, Scorer, model)
     kinds = [f"k{i} {documents.schema[c].dataType.simpleString()}" for i, c in enumerate(("doc_id", *keep))]
 

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lekhspark.llm.arrow import WS_CLASS, Shared, sliced
+from lekhspark.session import settle_names
 
 #: Where the vocabulary files lie; a parameter of every function here.
 DEFAULT_VOCAB = os.environ.get("LEKHSPARK_BPE_VOCAB", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -165,6 +166,7 @@ def encode_corpus(df: DataFrame, vocab_path: str = DEFAULT_VOCAB, id_col: str =
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
             yield pa.RecordBatch.from_arrays([b.column(0), ids], names=["id", "ids"])
 
+    df = settle_names(df, (id_col, text_col))
     kind = df.schema[id_col].dataType.simpleString()
     return (
         df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -42,6 +42,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lekhspark.llm.arrow import Shared
+from lekhspark.session import settle_names
 
 LANGUAGES = ("hi", "en", "mr", "ne", "bn", "ur", "hi-latn")
 FAMILIES = {"deva": ("hi", "mr", "ne"), "latn": ("en", "hi-latn"), "beng": ("bn",), "arab": ("ur",)}
@@ -49,6 +50,8 @@ FAMILY_OF = {lang: fam for fam, langs in FAMILIES.items() for lang in langs}
 PAIRS = [p for langs in FAMILIES.values() for p in itertools.combinations(langs, 2)]
 
 DIMS = 1 << 17
+#: Longer documents aren't taken for training, so that the sample stays small; they are labelled like all others.
+LONGEST = 100_000
 _SCRIPTS = {
     "deva": re.compile("[ऀ-ॣ॰-ॿ]"),
     "beng": re.compile("[ঀ-৥ৰ-৿]"),
@@ -191,13 +194,14 @@ def normal_label(label: Column) -> Column:
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_language: int = 200, sentences_per_language: int = 900) -> bytes:
     """Pairwise machines as bytes, from at most ``docs_per_language`` documents of each language."""
+    labelled = settle_names(labelled, (id_col, lang_col, text_col))
     w = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     sample = (
         labelled.select(F.col(id_col).alias("id"), normal_label(F.col(lang_col)).alias("lang"), F.col(text_col).alias("text"))
-        .where(F.col("lang").isin(*LANGUAGES) & F.col("text").isNotNull())
+        .where(F.col("lang").isin(*LANGUAGES) & (F.length("text") <= LONGEST))
         .withColumn("n", F.row_number().over(w))
         .where(F.col("n") <= docs_per_language)
-        .select("lang", F.substring("text", 1, 20_000).alias("text"), "n")
+        .select("lang", "text", "n")
         .collect()
     )
     rows: dict[str, list] = {x: [] for x in LANGUAGES}
@@ -254,6 +258,7 @@ SEGMENT_SCHEMA = "seg_no int, from_char int, to_char int, lang string, confidenc
 
 def segment(df: DataFrame, model: bytes, id_col: str = "id", text_col: str = "content_hi", keep: tuple[str, ...] = (), min_words: int = 4) -> DataFrame:
     """One row per stretch: ``id_col``, ``keep`` and SEGMENT_SCHEMA; a map without any shuffle."""
+    df = settle_names(df, (id_col, *keep, text_col))
     shared = Shared(df.sparkSession, load, model)
     kept = [f"{c} {df.schema[c].dataType.simpleString()}" for c in (id_col, *keep)]
     cols = [id_col, *keep]
@@ -294,6 +299,7 @@ def label_articles(articles: DataFrame, quality: DataFrame, model: bytes) -> Dat
 
 def found(articles: DataFrame, model: bytes) -> DataFrame:
     """``id, lang``: languages with a whole sentence in ``content_hi`` that the row doesn't declare."""
+    articles = settle_names(articles, ("id", "content_hi", "lang"))
     rows = articles.select("id", "content_hi", normal_label(F.col("lang")).alias("declared"))
     segs = segment(rows, model, keep=("declared",))
     hit = segs.where((F.col("n_sentences") > 0) & ~F.col("declared").eqNullSafe(F.col("lang")))

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lekhspark.llm.arrow import Shared
+from lekhspark.session import settle_names
 
 MIN_WORDS, SEED_WORDS, MAX_ITEMS = 20, 6, 100_000
 _TAG = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]*>", re.S)
@@ -244,6 +245,7 @@ def detect(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
 
     More than ``max_items`` items are refused: the automaton of that many no longer suits a broadcast.
     """
+    documents, items = settle_names(documents, (id_col, text_col)), settle_names(items, (item_col, passage_col))
     rows = items.select(item_col, passage_col).where(F.col(passage_col).isNotNull() & F.col(item_col).isNotNull()).distinct().limit(max_items + 1).collect()
     if len(rows) > max_items:
         raise ValueError(f"more than {max_items} evaluation items")

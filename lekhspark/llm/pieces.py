@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lekhspark.llm.arrow import JAVA_WS, WS_CLASS
+from lekhspark.session import settle_names
 
 MAX_TOKENS, MAX_CHARS, OVERLAP = 384, 3000, 40
 _TOKEN = re.compile(f"[^{WS_CLASS}]+")
@@ -135,6 +136,7 @@ def split_items(df: DataFrame, id_col: str, text_col: str, max_tokens: int = MAX
 
     Items within the limits stay in the JVM; only oversized texts go to Python.
     """
+    df = settle_names(df, (id_col, text_col))
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("item"), F.col(text_col).cast("string").alias("text"))
     over = F.coalesce(oversized(F.col("text"), max_tokens, max_chars), F.lit(False))

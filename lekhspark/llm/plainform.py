@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lekhspark.llm.arrow import sliced
+from lekhspark.session import settle_names
 
 # Letters that look like a Latin letter, by script, each with that letter.
 LATIN_LOOKALIKES = {
@@ -369,6 +370,7 @@ def plain_array(texts: pa.Array) -> pa.Array:
 def plain_columns(df: DataFrame, key_col: str, *text_cols: str) -> DataFrame:
     """``row_key, field, text, plain``: one row per row and column of ``df``, in one map."""
     names = list(text_cols)
+    df = settle_names(df, (key_col, *names))
     source = df.select(F.col(key_col).cast("string").alias("k"), *[F.col(c).cast("string").alias(f"t{i}") for i, c in enumerate(names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lekhspark.llm import abuse, bpe, knn, langid, leakage, pieces, plainform, truncation
+from lekhspark.plans import sql
 from lekhspark.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,11 +105,25 @@ def p7_found(spark, d):
     return knn.found(table(spark, d, "article_vectors"), table(spark, d, "chunk_vectors"))
 
 
+def _mutual(kind: str, *_: str) -> str:
+    return f"""SELECT '{kind}' AS kind, t.a AS id_a, t.b AS id_b FROM {kind}_top t JOIN {kind}_top u ON t.a = u.b AND t.b = u.a WHERE t.a < t.b"""
+
+
+def _top(kind: str, name: str, key: str) -> str:
+    return f"""{kind}_v AS {sql.unit_vectors(name, key)}, {kind}_top AS (SELECT a, b FROM (SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS n FROM
+      (SELECT x.key AS a, y.key AS b, round(list_cosine_similarity(x.v::DOUBLE[], y.v::DOUBLE[]), 9) AS c FROM {kind}_v x, {kind}_v y WHERE x.key <> y.key)) WHERE n <= 5 AND c >= 0.9)"""
+
+
+_VECTOR_TABLES = (("article", "article_vectors", "id"), ("chunk", "chunk_vectors", "chunk_id"))
+#: Brute force over all pairs, for the small tables the statements run on.
+ORACLE_SQL["p7_found"] = "WITH " + ", ".join(_top(*t) for t in _VECTOR_TABLES) + " " + " UNION ALL ".join(_mutual(*t) for t in _VECTOR_TABLES)
+
+
 @query
 def p7_neighbours(spark, d):
     """Five nearest keys of every key that can be among another's neighbours, both tables."""
     parts = []
-    for kind, name, key in (("article", "article_vectors", "id"), ("chunk", "chunk_vectors", "chunk_id")):
+    for kind, name, key in _VECTOR_TABLES:
         parts.append(knn.members(knn.neighbours(table(spark, d, name), key)).select(F.lit(kind).alias("kind"), "a", "rank", "b", "cos"))
     return parts[0].unionByName(parts[1])
 

@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lekhspark.session import settle_names
+
 END_MARKS = "।॥.!?۔؟"
 _BROKEN = re.compile(r"(?:<[a-zA-Z/!][^<>]*|&(?:#?\w{0,8})|�+)\s*$")
 _ENTITY_DOTS = re.compile(r"&hellip;|&#8230;|&#x2026;", re.I)
@@ -90,6 +92,7 @@ ENDING_SCHEMA = "id string, source string, core_len int, state string, w1 string
 
 def endings(df: DataFrame, id_col: str = "id", text_col: str = "summary_hi", source_col: str = "partner_label") -> DataFrame:
     """One row per distinct value that isn't blank."""
+    df = settle_names(df, (id_col, text_col, source_col))
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).distinct()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,6 +169,7 @@ def fit_source(length: np.ndarray, odds: np.ndarray, n: np.ndarray, rounds: int
 
 def posteriors(articles: DataFrame, smoothing: float = 1.0) -> DataFrame:
     """``id, source, core_len, state, p_cut``: each distinct summary and how surely it is cut."""
+    articles = settle_names(articles, ("id", "summary_hi", "partner_label", "content_hi"))
     ends = endings(articles)
     pairs = closing_counts(articles.select("content_hi").where(F.col("content_hi").isNotNull()).distinct())
     # A prefix of a word may be a word, so the pair decides where it was seen; else the word; else any word.

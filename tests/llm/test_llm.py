@@ -168,7 +168,7 @@ def test_neighbours_against_brute_force(spark):
     bad = [("n1", None, ""), ("n2", [0.0] * 64, ""), ("n3", [1.0] * 48, ""), (None, [1.0] * 64, ""), ("n4", [float("nan")] * 64, "")]
     df = spark.createDataFrame(rows + rows[:100] + bad, "id string, vector array<float>, vec string")
     got = {}
-    for r in knn.members(knn.neighbours(df, "id", rows_per_cell=100)).collect():
+    for r in knn.members(knn.neighbours(df, "id")).collect():
         got.setdefault(r["a"], set()).add(r["b"])
     u = knn._unit(x)
     s = u @ u.T
@@ -291,3 +291,25 @@ def test_abuse(spark):
     assert abuse.score(d, abuse.fit(d, lab)).count() == d.count()
     assert {r["source"] for r in abuse.rates(d, lab).collect()} == {"src", None}
     assert abuse.found(d, lab.limit(0)).count() == 0 and abuse.found(d.limit(0), lab).count() == 0
+
+
+# ---- all
+
+
+def test_clashing_columns(spark, languages):
+    v = spark.createDataFrame([(f"k{i}", [float(i % 3 + 1)] * 63 + [float(i)], "x", "y") for i in range(8)], "id string, vector array<float>, Id2 string, y string")
+    twice = lambda df, *names: df.select("*", *[F.lit("x").alias(n) for n in names])
+    assert knn.neighbours(twice(v, "ID", "Vector"), "id").count() == 8
+    docs = spark.createDataFrame([(1, "एक text", "s")], "doc_id bigint, text string, source string")
+    clash = twice(docs, "TEXT", "Doc_id", "ids", "item")
+    labels = spark.createDataFrame([(1, "a", 1)], "doc_id bigint, rater string, abusive int")
+    items = spark.createDataFrame([(1, "x y")], "item_id bigint, passage string")
+    assert bpe.encode_corpus(clash).count() == 1
+    assert leakage.found(clash, twice(items, "PASSAGE")).count() == 0
+    assert abuse.found(clash, twice(labels, "ABUSIVE")).count() == 0 and abuse.score(clash, b"").first()["score"] == 0.0
+    arts = spark.createDataFrame([("1", "शीर्षक", "सार है।", HI, None, "hi")], "id string, title_hi string, summary_hi string, content_hi string, partner_label string, lang string")
+    clash = twice(arts, "ID", "Content_hi", "LANG", "Summary_HI")
+    assert pieces.split_items(clash, "id", "content_hi").count() == 1
+    assert langid.found(clash, languages).count() == 0
+    assert truncation.found(clash).count() == 0
+    assert plainform.plain_columns(clash, "id", "title_hi", "content_hi").count() == 2
