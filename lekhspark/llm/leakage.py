@@ -3,7 +3,8 @@
 The passages, normalised to words, make one generalised suffix automaton (a few thousand
 states; the items are a bounded table and the automaton is broadcast). Every text streams
 through it: after each word the automaton holds the longest stretch that ends there and occurs
-in some passage. Maximal stretches of ``seed_words`` words or more are the seeds of an item.
+in some passage, and its suffix links hold the shorter ones of other passages. The maximal stretches
+of ``seed_words`` words or more of each item are its seeds, whatever other items hold.
 
 A leak may have one word in eight replaced, left out or added, so seeds of one item that follow
 one another in passage and text are then chained with all shorter matches between them: the
@@ -57,13 +58,14 @@ def normal_words(text: str) -> list[str]:
 
 
 class SuffixAutomaton:
-    """Generalised over several word sequences; every state knows the items its stretches occur in and one end each."""
+    """Generalised over several word sequences; every state knows the items its stretches occur in and all their ends."""
 
     def __init__(self, items: list[tuple[int, list[int]]]):
         self.next: list[dict[int, int]] = [{}]
         self.link = [-1]
         self.length = [0]
         self.ends: list[dict[int, list[int]]] = [{}]  # item -> places after its last word
+        self.items = dict(items)
         for number, seq in items:
             last = 0
             for at, w in enumerate(seq, 1):
@@ -73,6 +75,7 @@ class SuffixAutomaton:
             if (up := self.link[s]) > 0:
                 for number, places in self.ends[s].items():
                     self.ends[up].setdefault(number, []).extend(places)
+        self.final = [any(len(self.items[number]) in places for number, places in e.items()) for e in self.ends]
 
     def _new(self, length: int, link: int, nxt: dict[int, int]) -> int:
         self.next.append(nxt)
@@ -104,25 +107,38 @@ class SuffixAutomaton:
         return clone
 
     def seeds(self, seq: list[int], least: int) -> list[tuple[int, int, int, int]]:
-        """Maximal stretches of ``least`` words or more: item, end in the passage, end in the text, length."""
-        nxt, link, length = self.next, self.link, self.length
+        """Maximal stretches of ``least`` words or more of every item: item, end in the passage, end in the text, length.
+
+        After each word, all places where some stretch of the items ends that ends here too lie in the state and along its suffix
+        links, each at its longest in the first state that has it; a stretch is over where passage and text go on differently.
+        """
+        nxt, link, length, items = self.next, self.link, self.length, self.items
         out = []
         state = size = 0
 
         def flush(end: int) -> None:
-            for number, places in self.ends[state].items():
-                out.extend((number, p, end, size) for p in set(places))
+            after = seq[end] if end < len(seq) else -1
+            seen: set[tuple[int, int]] = set()
+            s, n = state, size
+            while n >= least:
+                up = link[s]
+                more = length[up] >= least
+                # Most often every place goes on as the text does; then none of them is over.
+                if more or len(nxt[s]) != 1 or after not in nxt[s] or self.final[s]:
+                    for number, places in self.ends[s].items():
+                        passage = items[number]
+                        for p in places:
+                            if (number, p) not in seen:
+                                if more:
+                                    seen.add((number, p))
+                                if p == len(passage) or passage[p] != after:
+                                    out.append((number, p, end, n))
+                s, n = up, length[up]
 
         root = nxt[0]
         for i, w in enumerate(seq):
             if not state and w not in root:
                 continue
-            to = nxt[state].get(w)
-            if to is not None:
-                state, size = to, size + 1
-                continue
-            if size >= least:
-                flush(i)
             while state >= 0 and w not in nxt[state]:
                 state = link[state]
                 if state >= 0:
@@ -131,8 +147,8 @@ class SuffixAutomaton:
                 state = size = 0
             else:
                 state, size = nxt[state][w], size + 1
-        if size >= least:
-            flush(len(seq))
+                if size >= least:
+                    flush(i + 1)
         return out
 
 
@@ -179,12 +195,14 @@ def _reach(a: list[int], b: list[int], edits: int) -> list[int]:
         top = best[d - 1]
         for k in range(-d, d + 1):
             # replaced: same diagonal; left out of the text: k - 1 -> k; added to the text: k + 1 -> k
-            start = max(far.get(k, -2) + 1, far.get(k - 1, -2) + 1, far.get(k + 1, -2))
-            if start < 0 or start > la or start - k < 0 or start - k > lb:
+            ways = (far.get(k, -2) + 1, far.get(k - 1, -2) + 1, far.get(k + 1, -2))
+            start = max((i for i in ways if max(k, 0) <= i <= min(la, lb + k)), default=-1)
+            if start < 0:
                 continue
             end = slide(start, start - k)
             new[k] = end
-            if end > start and end > top:
+            # An edit may come to a place as far as a match does; equal words there end the stretch as well as any.
+            if end > top and (end > start or end > max(k, 0) and a[end - 1] == b[end - k - 1]):
                 top = end
         far, best[d] = new, top
     return best

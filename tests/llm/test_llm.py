@@ -249,6 +249,38 @@ def test_leaks_against_brute_force():
         assert got == _held(passage, text)
 
 
+def test_leaks_of_overlapping_items_against_brute_force():
+    a = [f"w{i}" for i in range(1, 41)]
+    shared = [f"x{i}" for i in range(1, 11)] + a[4:29] + [f"y{i}" for i in range(1, 11)]
+    changed = [*a[:19], "z", *a[20:]]
+    d = leakage.Detector([(1, " ".join(a)), (2, " ".join(shared)), (3, " ".join(changed))])
+    assert sorted(d.leaks(" ".join(a))) == [(1, 40), (2, 25), (3, 40)]
+    rng = random.Random(8)
+    for _ in range(60):
+        few = [f"v{i}" for i in range(rng.choice([3, 12, 60]))]
+        distinct = rng.random() < 0.5
+        base = [f"b{i}" for i in range(40)] if distinct else [rng.choice(few) for _ in range(40)]
+        items = [base]
+        for _ in range(3):
+            k, n = rng.randint(0, 12), rng.randint(22, 28)
+            items.append([f"c{i}" if distinct else rng.choice(few) for i in range(rng.randint(0, 6))] + base[k : k + n] + [f"u{i}" for i in range(rng.randint(0, 6))])
+        text = ["aa", *rng.choice(items)[rng.randint(0, 4) :], "bb"]
+        text[rng.randrange(len(text))] = "zz"
+        d = leakage.Detector([(i, " ".join(x)) for i, x in enumerate(items)])
+        runs = {(i, p, t, n) for i, x in enumerate(items) for p in range(1, len(x) + 1) for t in range(1, len(text) + 1) if (n := _run(x, p, text, t)) >= 6 and (p == len(x) or t == len(text) or x[p] != text[t])}
+        got = d.automaton.seeds(d.numbers(" ".join(text)), 6)
+        assert len(got) == len(runs) and set(got) == runs
+        if distinct:
+            assert dict(d.leaks(" ".join(text))) == {i: n for i, x in enumerate(items) if (n := _held(x, text))}
+
+
+def _run(passage, p, text, t):
+    n = 0
+    while n < min(p, t) and passage[p - n - 1] == text[t - n - 1]:
+        n += 1
+    return n
+
+
 def test_leak_normal_form(spark):
     p = "Poet Minal called that hollow river a sister so bells above the town rang 3896 times when dusk fell on café walls"
     noisy = p.upper().replace("RIVER", "RI​VER").replace(" BELLS", "&nbsp;\n<b>BELLS</b>").replace("CAFÉ", "CAFÉ")
