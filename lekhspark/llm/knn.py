@@ -1,7 +1,8 @@
 """The most similar vectors for every vector of a table.
 
 Vectors are scaled to length 1, equal vectors are folded into one class (with its ``k + 1``
-smallest keys, all that can ever stand among ``k`` neighbours), and classes are hashed into the
+smallest keys, all that can ever stand among ``k`` neighbours; the further keys of a class get their own
+neighbours, its ``k`` smallest keys, in ``further_members``), and classes are hashed into the
 cells of ``tables`` hash tables. Every class lies in one cell of each table; as a query it also
 visits further cells, in the order of their estimated success. In each visited cell the exact
 similarity to all its members is computed as one matrix product, and the best of all visited
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lekhspark.llm.arrow import Shared
-from lekhspark.session import settle_names
+from lekhspark.session import broadcast_if_small, settle_names
 
 DIMS, K, TABLES, PROBES = 64, 5, 2, 4
 SAMPLE_ROWS, CELLS_PER_ROOT, MAX_CELLS = 16_384, 0.3, 4_096
@@ -47,14 +48,18 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def classes(df: DataFrame, key_col: str, vec_col: str, dims: int, k: int) -> DataFrame:
-    """``id, others, vec``: one row per distinct vector, its smallest key and up to ``k`` further ones."""
+def _per_key(df: DataFrame, key_col: str, vec_col: str, dims: int) -> DataFrame:
+    """``key, vec``: the usable vector of each key."""
     v = F.col("vec")
     good = (F.size(v) == dims) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = df.select(F.col(key_col).cast("string").alias("key"), F.col(vec_col).cast("array<float>").alias("vec"))
-    per_key = rows.where(F.col("key").isNotNull() & F.coalesce(good, F.lit(False))).groupBy("key").agg(F.min("vec").alias("vec"))
+    return rows.where(F.col("key").isNotNull() & F.coalesce(good, F.lit(False))).groupBy("key").agg(F.min("vec").alias("vec"))
+
+
+def classes(df: DataFrame, key_col: str, vec_col: str, dims: int, k: int) -> DataFrame:
+    """``id, others, vec``: one row per distinct vector, its smallest key and up to ``k`` further ones."""
     w = Window.partitionBy("vec").orderBy("key")
-    few = per_key.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k + 1)
+    few = _per_key(df, key_col, vec_col, dims).withColumn("n", F.row_number().over(w)).where(F.col("n") <= k + 1)
     keys = F.sort_array(F.collect_list("key"))
     return few.groupBy("vec").agg(keys.alias("keys")).select(F.element_at("keys", 1).alias("id"), F.slice("keys", 2, k).alias("others"), "vec")
 
@@ -177,6 +182,16 @@ def members(near: DataFrame, k: int = K, least: float = -1.0) -> DataFrame:
     return near.mapInPandas(run, "a string, b string, cos double, rank int")
 
 
+def further_members(df: DataFrame, key_col: str, vec_col: str = "vector", k: int = K, dims: int = DIMS) -> DataFrame:
+    """``a, b, cos, rank`` of the keys that ``members`` leaves out: those of a class behind its ``k + 1`` smallest, whose neighbours are its ``k`` smallest."""
+    df = settle_names(df, (key_col, vec_col))
+    full = classes(df, key_col, vec_col, dims, k).where(F.size("others") == k)
+    kept = broadcast_if_small(full.select("vec", F.array_insert("others", 1, F.col("id")).alias("kept")), 100_000)
+    rest = _per_key(df, key_col, vec_col, dims).join(kept, "vec").where(F.col("key") > F.element_at("kept", -1))
+    near = rest.select(F.col("key").alias("a"), F.posexplode(F.slice("kept", 1, k)).alias("at", "b"))
+    return near.select("a", "b", F.lit(1.0).alias("cos"), (F.col("at") + 1).alias("rank"))
+
+
 def found(articles: DataFrame, chunks: DataFrame, least: float = 0.9) -> DataFrame:
     """``kind, id_a, id_b``: mutual neighbours of cosine ``least`` or more."""
     parts = []

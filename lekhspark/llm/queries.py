@@ -121,10 +121,11 @@ ORACLE_SQL["p7_found"] = "WITH " + ", ".join(_top(*t) for t in _VECTOR_TABLES) +
 
 @query
 def p7_neighbours(spark, d):
-    """Five nearest keys of every key that can be among another's neighbours, both tables."""
+    """Five nearest keys of every key, both tables."""
     parts = []
     for kind, name, key in _VECTOR_TABLES:
-        parts.append(knn.members(knn.neighbours(table(spark, d, name), key)).select(F.lit(kind).alias("kind"), "a", "rank", "b", "cos"))
+        v = table(spark, d, name)
+        parts.append(knn.members(knn.neighbours(v, key)).unionByName(knn.further_members(v, key)).select(F.lit(kind).alias("kind"), "a", "rank", "b", "cos"))
     return parts[0].unionByName(parts[1])
 
 

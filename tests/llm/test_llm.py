@@ -184,6 +184,26 @@ def test_neighbours_against_brute_force(spark):
     assert ("k00050", "k00051") in pairs and ("k00000", "k00005") in pairs and ("k00000", "k00006") not in pairs
 
 
+def test_every_copy_has_its_neighbours(spark, tmp_path):
+    from lekhspark.llm import queries
+
+    x = _vectors(300)
+    x[:100] = x[0]
+    x[200:206] = x[200]  # just as many as a class keeps
+    x[210:217] = x[210]
+    rows = [(f"k{i:05d}", v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame([*rows, *rows[:3], ("n", [0.0] * 64)], "id string, vector array<float>")
+    df.write.parquet(str(tmp_path / "article_vectors.parquet"))
+    df.limit(0).withColumnRenamed("id", "chunk_id").write.parquet(str(tmp_path / "chunk_vectors.parquet"))
+    got = {}
+    for r in queries.p7_neighbours(spark, str(tmp_path)).collect():
+        got.setdefault(r["a"], []).append((r["rank"], r["b"]))
+    assert set(got) == {k for k, _ in rows} and all(sorted(n for n, _ in near) == [1, 2, 3, 4, 5] for near in got.values())
+    for group in (range(100), range(200, 206), range(210, 217)):
+        for i in group:
+            assert [b for _, b in sorted(got[f"k{i:05d}"])] == [f"k{j:05d}" for j in group if j != i][:5]
+
+
 # ---- 8
 
 
