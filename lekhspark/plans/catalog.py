@@ -6,6 +6,7 @@ Searches take as queries every row of the query log, or every vector, whose id i
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,11 +23,15 @@ ORACLE_SQL: dict[str, str] = {}
 NOW = 1_735_689_600
 
 
-def query(oracle: str | None = None):
+def query(oracle: str | None = None, whole: bool = False):
+    """``whole``: the SQL covers a part of the job only; ``NAME_all`` does all of it and has no SQL."""
+
     def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         QUERIES[f.__name__] = f
         if oracle is not None:
             ORACLE_SQL[f.__name__] = oracle
+        if whole:
+            QUERIES[f"{f.__name__}_all"] = partial(f, whole=True)
         return f
 
     return register
@@ -288,12 +293,13 @@ def chunk_windows(spark, d):
     p AS (SELECT id, i, {sql.n_words('ps[i]')} AS n FROM (SELECT id, ps, unnest(range(1, len(ps) + 1)) AS i FROM a))
     , r AS (SELECT id, i, n, n AS held, 0 AS grp FROM p WHERE i = 1
       UNION ALL SELECT p.id, p.i, p.n, CASE WHEN r.held + p.n <= 200 THEN r.held + p.n ELSE p.n END, CASE WHEN r.held + p.n <= 200 THEN r.grp ELSE r.grp + 1 END FROM r JOIN p ON p.id = r.id AND p.i = r.i + 1)
-    SELECT id, grp AS pos, count(*) AS n_paragraphs, sum(n)::BIGINT AS n_words FROM r WHERE id NOT IN (SELECT id FROM p WHERE n > 200) GROUP BY id, grp""".replace("WITH a", "WITH RECURSIVE a", 1)
+    SELECT id, grp AS pos, count(*) AS n_paragraphs, sum(n)::BIGINT AS n_words FROM r WHERE id NOT IN (SELECT id FROM p WHERE n > 200) GROUP BY id, grp""".replace("WITH a", "WITH RECURSIVE a", 1),
+    whole=True,
 )
-def chunk_pack(spark, d):
-    """Greedy packing of articles whose paragraphs all fit."""
+def chunk_pack(spark, d, whole=False):
+    """Greedy packing, of all articles if ``whole``, else of those whose paragraphs all fit."""
     a = table(spark, d, "articles_canonical").select("id", text.paragraphs(F.col("content_hi")).alias("ps")).distinct()
-    fit = a.where(~F.exists("ps", lambda p: text.count_words(p) > 200))
+    fit = a if whole else a.where(~F.exists("ps", lambda p: text.count_words(p) > 200))
     c = fit.select("id", F.posexplode(chunking.pack(F.col("ps"))).alias("pos", "chunk"))
     return c.select("id", "pos", F.size(text.paragraphs(F.col("chunk"))).cast("long").alias("n_paragraphs"), text.count_words(F.col("chunk")).cast("long").alias("n_words"))
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lekhspark.functions import text
 from lekhspark.operators import canonical, chunking, feedback, gazetteer, lexical, quality, ranking, vectors
-from lekhspark.plans import hybrid
+from lekhspark.plans import catalog, hybrid
 from lekhspark.sources import files, upsert
 from lekhspark.streaming import logs
 
@@ -72,6 +72,17 @@ def test_chunks_agree_with_row_model(spark):
             chunking.check_sizes(*bad)
 
 
+def test_chunk_pack_of_oversized_paragraphs(spark, tmp_path):
+    long = "।".join(" ".join(f"w{i}" for i in range(n)) for n in (150, 90, 900, 3))
+    rows = {"1": f"a b\n\n{long}\n\nc d e", "2": "a\n\nb c", "3": None}
+    articles(spark, [(i, None, None, c, None, None, None) for i, c in rows.items()]).write.parquet(str(tmp_path / "articles_canonical.parquet"))
+    got = {}
+    for r in catalog.QUERIES["chunk_pack_all"](spark, str(tmp_path)).orderBy("id", "pos").collect():
+        got.setdefault(r["id"], []).append((r["n_paragraphs"], r["n_words"]))
+    assert got == {i: [(len(x.split("\n\n")), len(x.split())) for x in model_chunks(None, None, c, 200, 40, 384)[1:]] for i, c in rows.items() if c}
+    assert len(got["1"]) > 4 and "1" not in {r["id"] for r in catalog.chunk_pack(spark, str(tmp_path)).collect()}
+
+
 def test_windows(spark):
     w = spark.createDataFrame([(700,), (384,), (0,)], "n int").select(chunking.window_bounds(F.col("n")).alias("w")).collect()
     assert [[tuple(x) for x in r["w"]] for r in w] == [[(0, 384), (344, 700), (688, 700)], [(0, 384)], []]
