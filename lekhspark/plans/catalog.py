@@ -374,14 +374,23 @@ def auto_filter(spark, d):
 # ---- Lexical search
 
 
-def _lexical_docs(spark, d) -> DataFrame:
-    """Index rows with the fields of Devanagari queries (the romanized ones need an Arrow UDF and have no SQL)."""
+def _lexical_docs(spark, d, whole=False) -> DataFrame:
+    """Index rows, all fields if ``whole``, else those of Devanagari queries (the romanized ones need an Arrow UDF and have no SQL)."""
+    if whole:
+        return cut_lineage(canonical.index_documents(table(spark, d, "articles_canonical").dropDuplicates(["id"])))
     return table(spark, d, "articles_canonical").select("id", "title_hi", "summary_hi", "content_hi", "published_ts", "locations_norm", "tags_norm").dropDuplicates(["id"])
 
 
-def _asked(spark, d) -> DataFrame:
+def _asked(spark, d, whole=False) -> DataFrame:
+    """Logged queries, in their logged modes if ``whole``."""
     q = table(spark, d, "query_log").where((F.col("id") % 50 == 0) & ~text.is_nullish(F.col("query_used")))
-    return q.select(F.col("id").alias("query_id"), F.col("query_used").alias("query"), F.lit("dev").alias("mode"))
+    mode = F.coalesce("query_mode", text.query_mode(F.col("query_used"))) if whole else F.lit("dev")
+    return _in_mode(q.select(F.col("id").alias("query_id"), F.col("query_used").alias("query"), mode.alias("mode")))
+
+
+def _in_mode(q: DataFrame) -> DataFrame:
+    """Romanized queries in the index normal form."""
+    return q.withColumn("query", F.when(F.col("mode") == "roman", text.roman_index(F.col("query"))).otherwise(F.col("query")))
 
 
 _FIELDS = (("title_hi", 6.0), ("summary_hi", 3.0), ("content_hi", 1.0))
@@ -404,23 +413,23 @@ def postings(spark, d):
     return lexical.token_statistics(lexical.postings(_lexical_docs(spark, d), tuple(f for f, _ in _FIELDS)))
 
 
-@query(f"WITH {_LEX_CTE} SELECT qtoken, token, m::DOUBLE AS m FROM near")
-def fuzzy_tokens(spark, d):
-    posts = lexical.postings(_lexical_docs(spark, d), tuple(f for f, _ in _FIELDS))
-    wanted = _asked(spark, d).select(F.explode(text.tokens(F.col("query"))).alias("token"))
-    return lexical.fuzzy_tokens(wanted, posts, ascii_only=True)
+@query(f"WITH {_LEX_CTE} SELECT qtoken, token, m::DOUBLE AS m FROM near", whole=True)
+def fuzzy_tokens(spark, d, whole=False):
+    posts = lexical.postings(_lexical_docs(spark, d, whole), lexical.ALL_FIELDS if whole else tuple(f for f, _ in _FIELDS))
+    wanted = _asked(spark, d, whole).select(F.explode(text.tokens(F.col("query"))).alias("token"))
+    return lexical.fuzzy_tokens(wanted, posts, ascii_only=not whole)
 
 
-@query(f"WITH {_LEX_CTE} SELECT query_id, id, lexical_score::DOUBLE AS lexical_score, rank FROM lex")
-def lexical_topk(spark, d):
-    r = lexical.search(_asked(spark, d), _lexical_docs(spark, d), ascii_only=True)
+@query(f"WITH {_LEX_CTE} SELECT query_id, id, lexical_score::DOUBLE AS lexical_score, rank FROM lex", whole=True)
+def lexical_topk(spark, d, whole=False):
+    r = lexical.search(_asked(spark, d, whole), _lexical_docs(spark, d, whole), ascii_only=not whole)
     return r.withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"""WITH {_LEX_CTE}, allm AS (SELECT query_id, scored.id, lexical_score, ts, count(*) OVER (PARTITION BY query_id) AS found, row_number() OVER (PARTITION BY query_id ORDER BY ts DESC NULLS LAST, lexical_score DESC, scored.id) AS place FROM scored JOIN docs USING (id))
-    SELECT query_id, id, found, place FROM allm WHERE place BETWEEN 11 AND 20""")
-def lexical_page_by_date(spark, d):
-    r = lexical.search_page(_asked(spark, d), _lexical_docs(spark, d), page=2, sort_by="published_ts:desc", ascii_only=True)
+    SELECT query_id, id, found, place FROM allm WHERE place BETWEEN 11 AND 20""", whole=True)
+def lexical_page_by_date(spark, d, whole=False):
+    r = lexical.search_page(_asked(spark, d, whole), _lexical_docs(spark, d, whole), page=2, sort_by="published_ts:desc", ascii_only=not whole)
     return r.select("query_id", "id", "found", F.col("place").cast("long").alias("place"))
 
 
@@ -491,23 +500,24 @@ _FUSE_CTE = f"""{_requests_sql()}, legs AS (SELECT query_id, id AS article_id, '
     fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(lexical_score + sem_chunk + sem_article, 9) DESC, article_id) AS pre_rank FROM fused0) WHERE pre_rank <= 200)"""
 
 
-def _request_rows(spark, d) -> DataFrame:
+def _request_rows(spark, d, whole=False) -> DataFrame:
     titles = table(spark, d, "articles_canonical").select("id", "title_hi").dropDuplicates(["id"])
     qv = _query_vectors(spark, d)
-    return qv.join(titles, qv["query_id"].cast("string") == titles["id"]).select("query_id", F.col("title_hi").alias("query"), F.lit("dev").alias("mode"))
+    asked = qv.join(titles, qv["query_id"].cast("string") == titles["id"]).select("query_id", F.col("title_hi").alias("query"))
+    return _in_mode(asked.withColumn("mode", text.query_mode(F.col("query")) if whole else F.lit("dev")))
 
 
-def _fused(spark, d) -> DataFrame:
+def _fused(spark, d, whole=False) -> DataFrame:
     qv = _query_vectors(spark, d)
-    lex = lexical.search(_request_rows(spark, d), _lexical_docs(spark, d), ascii_only=True)
+    lex = lexical.search(_request_rows(spark, d, whole), _lexical_docs(spark, d, whole), ascii_only=not whole)
     art = vectors.top_k(qv, table(spark, d, "article_vectors"), 40, "id")
     chk = vectors.top_k(qv, table(spark, d, "chunk_vectors"), 80, "chunk_id", payload=("article_id",))
     return ranking.fuse(lex, art, chk)
 
 
-@query(f"WITH {_FUSE_CTE} SELECT query_id, article_id, round(lexical_score, 6) AS lexical_score, round(sem_article, 6) AS sem_article, round(sem_chunk, 6) AS sem_chunk, best_chunk_id, src_lexical, src_sem_article, src_sem_chunk, pre_rank FROM fused")
-def fuse_candidates(spark, d):
-    r = _fused(spark, d)
+@query(f"WITH {_FUSE_CTE} SELECT query_id, article_id, round(lexical_score, 6) AS lexical_score, round(sem_article, 6) AS sem_article, round(sem_chunk, 6) AS sem_chunk, best_chunk_id, src_lexical, src_sem_article, src_sem_chunk, pre_rank FROM fused", whole=True)
+def fuse_candidates(spark, d, whole=False):
+    r = _fused(spark, d, whole)
     scores = {c: F.round(c, 6) for c in ("lexical_score", "sem_article", "sem_chunk")}
     return r.withColumns(scores).withColumn("pre_rank", F.col("pre_rank").cast("long")).select("query_id", "article_id", *scores, "best_chunk_id", "src_lexical", "src_sem_article", "src_sem_chunk", "pre_rank")
 
@@ -529,38 +539,39 @@ _RANK_CTE = f"""{_FUSE_CTE}, parts AS (SELECT query_id, article_id, pre_rank, be
     ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pre_rank) AS rank FROM (SELECT *, round({' + '.join(f'w_{n}' for n, _ in ranking.WEIGHTS)}, 9) AS score FROM parts))"""
 
 
-def _ranked(spark, d) -> DataFrame:
+def _ranked(spark, d, whole=False) -> DataFrame:
     meta = ranking.article_metadata(table(spark, d, "articles_canonical"))
-    return ranking.rank(ranking.with_metadata(_fused(spark, d), meta), _request_rows(spark, d), NOW)
+    return ranking.rank(ranking.with_metadata(_fused(spark, d, whole), meta), _request_rows(spark, d, whole), NOW)
 
 
-@query(f"WITH {_RANK_CTE} SELECT query_id, article_id, round(score, 6) AS score, rank FROM ranked")
-def rank_v1(spark, d):
-    return _ranked(spark, d).select("query_id", "article_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+@query(f"WITH {_RANK_CTE} SELECT query_id, article_id, round(score, 6) AS score, rank FROM ranked", whole=True)
+def rank_v1(spark, d, whole=False):
+    return _ranked(spark, d, whole).select("query_id", "article_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 _EXPLAIN_LIST = "[" + ", ".join(f"{{'s': w_{n}, 'o': {-i}, 'n': '{n}'}}" for i, (n, _) in enumerate(ranking.WEIGHTS)) + "]"
 
 
-@query(f"WITH {_RANK_CTE} SELECT query_id, article_id, array_to_string(list_transform(list_slice(list_reverse_sort({_EXPLAIN_LIST}), 1, 4), lambda x: x.n), '¦') AS top_parts FROM ranked")
-def explain_top4(spark, d):
-    return _ranked(spark, d).select("query_id", "article_id", F.array_join(F.transform("explanation", lambda x: x["name"]), "¦").alias("top_parts"))
+@query(f"WITH {_RANK_CTE} SELECT query_id, article_id, array_to_string(list_transform(list_slice(list_reverse_sort({_EXPLAIN_LIST}), 1, 4), lambda x: x.n), '¦') AS top_parts FROM ranked", whole=True)
+def explain_top4(spark, d, whole=False):
+    return _ranked(spark, d, whole).select("query_id", "article_id", F.array_join(F.transform("explanation", lambda x: x["name"]), "¦").alias("top_parts"))
 
 
-@query(f"WITH {_RANK_CTE}, n AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS total FROM ranked) SELECT query_id, article_id, rank, total AS total_results, greatest(1, ceil(total / 10.0))::INT AS total_pages FROM n WHERE rank > 10 AND rank <= 20")
-def search_page(spark, d):
+@query(f"WITH {_RANK_CTE}, n AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS total FROM ranked) SELECT query_id, article_id, rank, total AS total_results, greatest(1, ceil(total / 10.0))::INT AS total_pages FROM n WHERE rank > 10 AND rank <= 20", whole=True)
+def search_page(spark, d, whole=False):
     """The second page of ten, with the totals."""
-    asked = _request_rows(spark, d).select("query_id", F.lit(2).alias("page"), F.lit(10).alias("per_page"))
-    r = ranking.page(_ranked(spark, d), asked)
+    asked = _request_rows(spark, d, whole).select("query_id", F.lit(2).alias("page"), F.lit(10).alias("per_page"))
+    r = ranking.page(_ranked(spark, d, whole), asked)
     return r.select("query_id", "article_id", F.col("rank").cast("long").alias("rank"), "total_results", "total_pages")
 
 
 @query(
     f"""WITH {_RANK_CTE}, txt AS (SELECT chunk_id, any_value(chunk_text) AS chunk_text FROM chunks GROUP BY chunk_id)
-    SELECT query_id, article_id, rank, substring({sql.trim(sql.sub('chunk_text', f'{sql.WS}+', ' '))}, 1, 420) AS snippet FROM ranked LEFT JOIN txt ON chunk_id = best_chunk_id WHERE rank <= 10"""
+    SELECT query_id, article_id, rank, substring({sql.trim(sql.sub('chunk_text', f'{sql.WS}+', ' '))}, 1, 420) AS snippet FROM ranked LEFT JOIN txt ON chunk_id = best_chunk_id WHERE rank <= 10""",
+    whole=True,
 )
-def search_snippets(spark, d):
-    r = ranking.with_snippets(_ranked(spark, d).where(F.col("rank") <= 10), table(spark, d, "chunks"))
+def search_snippets(spark, d, whole=False):
+    r = ranking.with_snippets(_ranked(spark, d, whole).where(F.col("rank") <= 10), table(spark, d, "chunks"))
     return r.select("query_id", "article_id", F.col("rank").cast("long").alias("rank"), "snippet")
 
 
@@ -568,20 +579,20 @@ def _resorted_sql(way: str) -> str:
     return f"WITH {_RANK_CTE} SELECT query_id, article_id, row_number() OVER (PARTITION BY query_id ORDER BY try_strptime(published_date, '%Y-%m-%dT%H:%M:%S') {way} NULLS LAST, rank) AS place FROM ranked"
 
 
-@query(_resorted_sql("DESC"))
-def sort_newest(spark, d):
-    return ranking.resort(_ranked(spark, d), "newest").select("query_id", "article_id", F.col("place").cast("long").alias("place"))
+@query(_resorted_sql("DESC"), whole=True)
+def sort_newest(spark, d, whole=False):
+    return ranking.resort(_ranked(spark, d, whole), "newest").select("query_id", "article_id", F.col("place").cast("long").alias("place"))
 
 
-@query(_resorted_sql("ASC"))
-def sort_oldest(spark, d):
-    return ranking.resort(_ranked(spark, d), "oldest").select("query_id", "article_id", F.col("place").cast("long").alias("place"))
+@query(_resorted_sql("ASC"), whole=True)
+def sort_oldest(spark, d, whole=False):
+    return ranking.resort(_ranked(spark, d, whole), "oldest").select("query_id", "article_id", F.col("place").cast("long").alias("place"))
 
 
-@query(f"WITH {_FUSE_CTE} SELECT query_id, count(*) FILTER (WHERE t = 'l') AS lex_n, count(*) FILTER (WHERE t = 'a') AS sem_article_n, count(*) FILTER (WHERE t = 'c') AS sem_chunk_n, count(*) FILTER (WHERE t = 'f') AS cand_n FROM (SELECT query_id, 'l' AS t FROM lex UNION ALL SELECT query_id, 'a' FROM art UNION ALL SELECT query_id, 'c' FROM chk UNION ALL SELECT query_id, 'f' FROM fused) GROUP BY query_id")
-def leg_counts(spark, d):
+@query(f"WITH {_FUSE_CTE} SELECT query_id, count(*) FILTER (WHERE t = 'l') AS lex_n, count(*) FILTER (WHERE t = 'a') AS sem_article_n, count(*) FILTER (WHERE t = 'c') AS sem_chunk_n, count(*) FILTER (WHERE t = 'f') AS cand_n FROM (SELECT query_id, 'l' AS t FROM lex UNION ALL SELECT query_id, 'a' FROM art UNION ALL SELECT query_id, 'c' FROM chk UNION ALL SELECT query_id, 'f' FROM fused) GROUP BY query_id", whole=True)
+def leg_counts(spark, d, whole=False):
     qv = _query_vectors(spark, d)
-    lex = lexical.search(_request_rows(spark, d), _lexical_docs(spark, d), ascii_only=True)
+    lex = lexical.search(_request_rows(spark, d, whole), _lexical_docs(spark, d, whole), ascii_only=not whole)
     art = vectors.top_k(qv, table(spark, d, "article_vectors"), 40, "id")
     chk = vectors.top_k(qv, table(spark, d, "chunk_vectors"), 80, "chunk_id", payload=("article_id",))
     return ranking.leg_counts(lex, art, chk, ranking.fuse(lex, art, chk))
@@ -609,9 +620,9 @@ def fk_cascade(spark, d):
     return feedback.cascade_delete(_labels(spark, d), gone).select("id", "query_id", "label")
 
 
-@query(f"WITH {_RANK_CTE} SELECT query_id, rank, article_id, round(score, 6) AS score FROM ranked WHERE rank <= 200")
-def candidate_log(spark, d):
-    return feedback.candidate_rows(_ranked(spark, d)).select("query_id", F.col("rank").cast("long").alias("rank"), "article_id", F.round("score", 6).alias("score"))
+@query(f"WITH {_RANK_CTE} SELECT query_id, rank, article_id, round(score, 6) AS score FROM ranked WHERE rank <= 200", whole=True)
+def candidate_log(spark, d, whole=False):
+    return feedback.candidate_rows(_ranked(spark, d, whole)).select("query_id", F.col("rank").cast("long").alias("rank"), "article_id", F.round("score", 6).alias("score"))
 
 
 # ---- Everything together

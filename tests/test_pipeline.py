@@ -155,6 +155,44 @@ def test_filters_and_typos(spark):
     assert got == [(1, "1", 12.0), (1, "2", 3.0), (3, "1", 3.0)]
 
 
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_whole_lexical_forms_against_brute_force(spark, tmp_path):
+    d, rng = str(tmp_path), random.Random(4)
+    words = "सुरक्षा सुरक्ष सुरक्षित मिट्टी मिटटी खेती गाँव training trainings beej bej sanrakshan school schools".split()
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    null = dict.fromkeys(("url", "published_date", "article_type", "multimedia_type", "partner_label"))
+    rows = [{"id": str(i), **null, "title_hi": some(2), "summary_hi": rng.choice([None, some(3)]), "content_hi": some(4), "published_ts": 0, **{f"{f.lower()}_norm": [] for f in canonical.MULTI_FIELDS}} for i in range(25)]
+    lists = ", ".join(f"{f.lower()}_norm array<string>" for f in canonical.MULTI_FIELDS)
+    spark.createDataFrame(rows, "id string, url string, published_date string, article_type string, multimedia_type string, partner_label string, title_hi string, summary_hi string, content_hi string, published_ts bigint, " + lists).write.parquet(d + "/articles_canonical.parquet")
+    log = [(50, "सुरक्षा खेतीं", "dev"), (100, "beej schoool", "roman"), (150, "मिट्टी training", "mixed"), (200, "mittee", "roman"), (201, "गाँव", "dev"), (250, None, "dev")]
+    spark.createDataFrame(log, "id bigint, query_used string, query_mode string").write.parquet(d + "/query_log.parquet")
+    near = lambda a, b: 1.0 if a == b else 0.5 if min(len(a), len(b)) >= 4 and _distance(a, b) == 1 else 0.0
+    docs = [r.asDict() for r in canonical.index_documents(spark.read.parquet(d + "/articles_canonical.parquet")).collect()]
+    want, pairs = {}, set()
+    vocabulary = {t for r in docs for f in lexical.ALL_FIELDS for t in r[f].split()}
+    for i, q, mode in log:
+        if q is None or i % 50:
+            continue
+        q = {"beej schoool": "bej schol", "mittee": "mitte"}.get(q, q)
+        pairs |= {(t, v, m) for t in q.split() for v in vocabulary if (m := near(t, v))}
+        for r in docs:
+            if score := sum(w * max((near(t, v) for v in r[f].split()), default=0) for f, w in lexical.MODE_FIELDS[mode].items() for t in set(q.split())):
+                want[i, r["id"]] = score
+    got = {(r["query_id"], r["id"]): r["lexical_score"] for r in catalog.QUERIES["lexical_topk_all"](spark, d).collect()}
+    assert got == want and {50, 100, 150} <= {i for i, _ in want}
+    assert {tuple(r) for r in catalog.QUERIES["fuzzy_tokens_all"](spark, d).collect()} == pairs
+    narrow = {(r["query_id"], r["id"]): r["lexical_score"] for r in catalog.lexical_topk(spark, d).collect()}
+    assert set(narrow) < set(want)
+
+
 def test_gazetteer(spark):
     canon = spark.createDataFrame([(["सोनपुर", "hill"], ["a"], ["mahila vikaas"], [" x ", None])], "locations_norm array<string>, categories_norm array<string>, tags_norm array<string>, contributors_norm array<string>")
     gaz = gazetteer.build(canon)
