@@ -14,7 +14,8 @@ vouches for itself (its own counts are taken off when it is scored), a word spea
 with support from another sentence, and one word's part is held within ``CLIP``; so the odd sentence of a
 wrongly labelled document finds no support. Documents whose raters are split are left out.
 Training takes at most
-``max_documents`` labelled documents, those with the smallest hash, abusive ones first.
+``max_documents`` labelled documents that are known and have a text, those with the smallest hash of each class, the
+classes in their own proportion at every size (a tenth of the places at least for a class that fills it).
 
 Words are compared in a folded form: compatibility forms, case, invisible characters, look-alike
 letters, digits and signs used as letters, separators put between letters, and letters
@@ -32,6 +33,7 @@ import pickle
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -41,7 +43,7 @@ from pyspark.sql import functions as F
 from lekhspark.llm.arrow import Shared
 from lekhspark.llm.leakage import _INVISIBLE
 from lekhspark.llm.plainform import LATIN_LOOKALIKES
-from lekhspark.session import settle_names
+from lekhspark.session import cut_lineage, settle_names
 
 MAX_DOCUMENTS = 20_000
 IN_POSITIVE, SURE, DISCOUNT, CLIP = 0.15, 3.0, 0.75, 5.0
@@ -293,10 +295,28 @@ class Scorer:
         return (worst[2], worst[1], n) if worst[0] > -math.inf else (0.0, 0.0, 0)
 
 
+def class_bounds(held: dict[int, int], most: int) -> dict[int, int]:
+    """How many documents of each class are taken: all that fit, else in proportion, but a tenth of ``most`` of each class that has so many."""
+    total = sum(held.values())
+    if total <= most:
+        return held
+    least = {c: min(n, max(1, most // 10)) for c, n in held.items()}
+    spare, over = most - sum(least.values()), total - sum(least.values())
+    wanted = {c: max(least[c], most * n // total) for c, n in held.items()}
+    if sum(wanted.values()) <= most:
+        return wanted
+    return {c: least[c] + max(0, spare) * (n - least[c]) // over for c, n in held.items()}
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, max_documents: int = MAX_DOCUMENTS) -> list[tuple[str, float]]:
     documents, labels = settle_names(documents, ("doc_id", "text")), settle_names(labels, ("doc_id", "abusive"))
     votes = labels.where(F.col("abusive").isin(0, 1)).groupBy("doc_id").agg(F.avg("abusive").alias("share"))
-    few = votes.orderBy((F.col("share") == 0).cast("int"), F.xxhash64("doc_id"), "doc_id").limit(max_documents)
+    texts = documents.where(F.col("text").isNotNull()).select("doc_id", F.md5("text").alias("same"))  # without the text, to be shuffled cheaply
+    first = texts.join(votes, "doc_id").groupBy("same").agg(F.min(F.struct("doc_id", "share")).alias("x"))
+    known = cut_lineage(first.select("x.doc_id", "x.share", F.signum(F.col("x.share") - 0.5).cast("int").alias("kind")).distinct())
+    held = {r["kind"]: r["n"] for r in known.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    parts = [known.where(F.col("kind") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for kind, n in class_bounds(held, max_documents).items()]
+    few = reduce(DataFrame.unionByName, parts, known.limit(0)).select("doc_id", "share")
     rows = documents.select("doc_id", "text").join(F.broadcast(few), "doc_id").where(F.col("text").isNotNull()).dropDuplicates(["text"]).collect()
     return [(r["text"], r["share"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
 

@@ -345,6 +345,18 @@ def test_abuse(spark):
     assert abuse.found(d, lab.limit(0)).count() == 0 and abuse.found(d.limit(0), lab).count() == 0
 
 
+def test_bounded_sample_keeps_both_classes(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(400)] + [(500, None)], "doc_id bigint, text string")
+    # 300 abusive, 100 ordinary; labels of unknown documents take no places
+    labels = spark.createDataFrame([(i, int(i < 300)) for i in range(400)] + [(i, 1) for i in range(500, 1500)], "doc_id bigint, abusive int")
+    share = [x for _, x in abuse.labelled_sample(docs, labels, 40)]
+    assert (share.count(1.0), share.count(0.0)) == (30, 10)
+    assert len(abuse.labelled_sample(docs, labels, 400)) == 400
+    for held in ({1: 10**6, -1: 3}, {1: 50, -1: 10**7, 0: 90}, {1: 5000, -1: 10**6}, {1: 9, -1: 9}):
+        got = abuse.class_bounds(held, 1000)
+        assert sum(got.values()) <= 1000 and all(0 < got[c] <= n and got[c] >= min(n, 100) for c, n in held.items())
+
+
 # ---- all
 
 
