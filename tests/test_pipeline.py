@@ -155,6 +155,14 @@ def test_filters_and_typos(spark):
     assert got == [(1, "1", 12.0), (1, "2", 3.0), (3, "1", 3.0)]
 
 
+def test_filters_in_blocks(spark):
+    docs = spark.createDataFrame([(str(i), i) for i in range(6)], "id string, published_ts bigint")
+    q = spark.createDataFrame([(n, f"published_ts:>={n}") for n in range(5)] + [(7, "published_ts:>=4"), (8, None)], "query_id bigint, filter_by string")
+    want = sorted([(n, str(i)) for n in range(5) for i in range(n, 6)] + [(7, "4"), (7, "5")])
+    for block in (2, 5, 10_000):
+        assert sorted(map(tuple, lexical.allowed_pairs(q, docs, block=block).collect())) == want
+
+
 def _distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
