@@ -15,8 +15,9 @@ tokens, so later pieces share exactly that many. Only where the overlap would ta
 than half of ``max_chars`` it is shortened.
 
 Defined cases: null and blank texts give one piece, unchanged, with 0 tokens; texts within
-the limits give one piece; ids may be null or repeat (rows are handled one by one); other
-columns are not read.
+the limits give one piece; a text that is over a limit only by the white space around it gives one
+piece without that, and is marked ``oversized`` like every other text over a limit; ids may be null or repeat
+(rows are handled one by one); other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ _TOKEN = re.compile(f"[^{WS_CLASS}]+")
 _SENTENCE_END = re.compile(r"[।॥.!?۔؟…]+[\"'”’»)\]]*$")
 INSIDE_WORD, WORD, SENTENCE, LINE, PARAGRAPH = range(5)
 
-PIECE_SCHEMA = "piece_index int, n_pieces int, piece_text string, piece_tokens int, from_char int, new_from int, to_char int"
+PIECE_SCHEMA = "piece_index int, n_pieces int, piece_text string, piece_tokens int, from_char int, new_from int, to_char int, oversized boolean"
 
 
 class Piece(NamedTuple):
@@ -146,23 +147,23 @@ def split_items(df: DataFrame, id_col: str, text_col: str, max_tokens: int = MAX
             out = []
             for item, text in zip(f["item"], f["text"]):
                 pieces = split_text(text, max_tokens, max_chars, overlap)
-                out += [(item, i, len(pieces), text[p.start : p.end], p.tokens, p.start, p.new_from, p.end) for i, p in enumerate(pieces)]
-            yield pd.DataFrame(out, columns=["item", "piece_index", "n_pieces", "piece_text", "piece_tokens", "from_char", "new_from", "to_char"])
+                out += [(item, i, len(pieces), text[p.start : p.end], p.tokens, p.start, p.new_from, p.end, True) for i, p in enumerate(pieces)]
+            yield pd.DataFrame(out, columns=["item", *(c.split()[0] for c in PIECE_SCHEMA.split(", "))])
 
     cut = rows.where(over).mapInPandas(run, f"item {kind}, {PIECE_SCHEMA}")
     length = F.coalesce(F.length("text"), F.lit(0))
     whole = rows.where(~over).select(
         "item", F.lit(0).alias("piece_index"), F.lit(1).alias("n_pieces"), F.col("text").alias("piece_text"),
         F.coalesce(F.regexp_count("text", F.lit(JAVA_WS.replace("[", "[^", 1) + "+")), F.lit(0)).alias("piece_tokens"),
-        F.lit(0).alias("from_char"), F.lit(0).alias("new_from"), length.alias("to_char"),
+        F.lit(0).alias("from_char"), F.lit(0).alias("new_from"), length.alias("to_char"), F.lit(False).alias("oversized"),
     )
     return whole.unionByName(cut).withColumnRenamed("item", id_col)
 
 
 def found(chunks: DataFrame, articles: DataFrame) -> DataFrame:
-    """Items that the splitter had to cut: ``kind``, ``item_id``, each once."""
+    """Items that the splitter took as oversized: ``kind``, ``item_id``, each once."""
     parts = [
-        split_items(df, key, text).where((F.col("n_pieces") > 1) & (F.col("piece_index") == 0)).select(F.lit(kind).alias("kind"), F.col(key).alias("item_id"))
+        split_items(df, key, text).where(F.col("oversized") & (F.col("piece_index") == 0)).select(F.lit(kind).alias("kind"), F.col(key).alias("item_id"))
         for kind, df, key, text in (("chunk", chunks, "chunk_id", "chunk_text"), ("article", articles, "id", "content_hi"))
     ]
     return parts[0].unionByName(parts[1]).distinct()

@@ -50,6 +50,16 @@ def test_split_items(spark):
     assert sorted(map(tuple, pieces.found(chunks, arts.limit(0)).collect())) == [("chunk", "a"), ("chunk", "d")]
 
 
+def test_padded_texts_are_oversized(spark):
+    df = spark.createDataFrame([("p", "a b c" + " " * 4000), ("q", " " * 2995 + "a b c"), ("r", "\n" * 3001), ("s", " " * 2000 + "w " * 390)], "id string, text string")
+    got = {}
+    for r in pieces.split_items(df, "id", "text").collect():
+        got.setdefault(r["id"], []).append((r["piece_text"], r["oversized"]))
+    assert got["p"] == [("a b c", True)] and got["q"] == [(" " * 2995 + "a b c", False)] and len(got["r"]) == 2 and len(got["s"]) == 2
+    chunks = df.select(F.col("id").alias("chunk_id"), F.col("text").alias("chunk_text"))
+    assert sorted(r["item_id"] for r in pieces.found(chunks, df.limit(0).select("id", F.col("text").alias("content_hi"))).collect()) == ["p", "r", "s"]
+
+
 # ---- 2
 
 HI = "किसानों ने बैठक में अपनी बात रखी और सरकार से मदद माँगी है। यह योजना गाँव के लिए बहुत अच्छी रही है।"
