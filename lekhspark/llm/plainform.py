@@ -30,6 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,7 +124,7 @@ class Tables:
             self.to_urdu[ord(x)] = ord(y)
         self.bar = np.zeros(size, bool)
         self.bar[[ord(c) for c in BARS]] = True
-        stable = [unicodedata.normalize("NFKC", chr(c)) == chr(c) for c in np.flatnonzero(self.offset >= 0).tolist()]
+        stable = [unicodedata.normalize("NFKC", chr(c)) == chr(c) != unicodedata.normalize("NFD", chr(c)) for c in np.flatnonzero(self.offset >= 0).tolist()]
         self.composed = self.offset >= 0
         self.composed[np.flatnonzero(self.composed)[~np.array(stable)]] = False
         self.loud = ((self.length != 1) | (self.offset >= 0)) & ~self.composed | self.bar | (self.kind == LOOKS_LATIN) | (self.to_urdu != np.arange(size))
@@ -307,9 +308,10 @@ def plain_points(cps: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarr
     if not len(cps):
         return cps, row
     cps, row = _decompose(cps, row, t)
-    for _ in range(8):  # look-alike letters may bring further pairs together
-        if not len(cps):
-            break
+    # Look-alike letters may bring further pairs together. Every round but the last shortens the text or moves a
+    # character one step along tables that hold no cycle (a look-alike becomes a Latin letter, an Arabic letter an Urdu one,
+    # a bar or colon a sign of no table), or sorts marks that such a step has brought together; so it ends.
+    while len(cps):
         before = cps
         cps = _reorder(cps, row, t)
         cps, row = _compose(cps, row, t)
@@ -356,15 +358,20 @@ def _from_points(cps: np.ndarray, row: np.ndarray, n: int, null: np.ndarray) ->
 
 
 def plain_array(texts: pa.Array) -> pa.Array:
-    """The plain form of a string array."""
+    """The plain form of a string array; only rows that a step could act on go through the steps."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if not len(texts):
         return texts
     null = texts.is_null().to_numpy(zero_copy_only=False)
     filled = texts.fill_null("") if null.any() else texts
-    cps, row = plain_points(*_to_points(filled))
-    return _from_points(cps, row, len(texts), null)
+    cps, row = _to_points(filled)
+    odd = _suspects(cps, row, len(texts))
+    if not odd.any():
+        return texts
+    few = filled.filter(pa.array(odd))
+    some = _from_points(*plain_points(*_to_points(few)), len(few), np.zeros(len(few), bool))
+    return pc.replace_with_mask(texts, pa.array(odd), some.cast(texts.type))
 
 
 def plain_columns(df: DataFrame, key_col: str, *text_cols: str) -> DataFrame:

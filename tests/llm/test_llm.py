@@ -144,6 +144,16 @@ def test_plain_form_is_its_own(texts):
     assert plainform.plain_array(once).to_pylist() == once.to_pylist()
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=12), st.lists(st.sampled_from([*map(chr, _CHARS), *"|:।\r\n\u200d\xa0अािेैॅौ\u093cر\u064a\u0654аМс"]), max_size=12).map("".join), st.sampled_from(["अा" * 30, "ॅा" * 40, "a" + "\u0315\u0300" * 50, "e\u0301\u0327" * 20, "\u0430\u0300\u0301" * 9, "र\u094dइ" * 20])), max_size=6))
+def test_rows_set_apart_need_no_step(texts):
+    a = pa.array(texts, pa.string())
+    every = plainform._from_points(*plainform.plain_points(*plainform._to_points(a)), len(texts), np.zeros(len(texts), bool)) if texts else a
+    once = plainform.plain_array(a)
+    assert once.to_pylist() == every.to_pylist()
+    assert plainform.plain_array(once).to_pylist() == once.to_pylist()
+
+
 def test_plain_form():
     given_ = ["दु:ख", "अत: यह", "बातचीत: x", "है| अब", "a|b", "SМS", "é", "अाज", "महिलाआें", "र्इ", "كى", "a\r\nb", "\xa0", None, "", "मु​झे", "ｆｕｌｌ", "क़", "दो  खाली", "мир", "SΜSतालाब"]
     want = ["दुःख", "अतः यह", "बातचीत: x", "है। अब", "a|b", "SMS", "\xe9", "आज", "महिलाओं", "ई", "کی", "a\nb", " ", None, "", "मुझे", "full", "क़", "दो  खाली", "мир", "SMSतालाब"]
