@@ -196,14 +196,10 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     """Pairwise machines as bytes, from at most ``docs_per_language`` documents of each language."""
     labelled = settle_names(labelled, (id_col, lang_col, text_col))
     w = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    sample = (
-        labelled.select(F.col(id_col).alias("id"), normal_label(F.col(lang_col)).alias("lang"), F.col(text_col).alias("text"))
-        .where(F.col("lang").isin(*LANGUAGES) & (F.length("text") <= LONGEST))
-        .withColumn("n", F.row_number().over(w))
-        .where(F.col("n") <= docs_per_language)
-        .select("lang", "text", "n")
-        .collect()
-    )
+    texts = labelled.select(F.col(id_col).alias("id"), normal_label(F.col(lang_col)).alias("lang"), F.col(text_col).alias("text")).where(F.col("lang").isin(*LANGUAGES) & (F.length("text") <= LONGEST))
+    # The ids are picked without their texts, which are fetched for the picked ones only.
+    picked = texts.select("id", "lang").distinct().withColumn("n", F.row_number().over(w)).where(F.col("n") <= docs_per_language)
+    sample = texts.join(F.broadcast(picked), ["id", "lang"]).groupBy("lang", "n").agg(F.min("text").alias("text")).collect()
     rows: dict[str, list] = {x: [] for x in LANGUAGES}
     for r in sorted(sample, key=lambda r: (r["lang"], r["n"])):
         for a, b in sentences(r["text"]):
