@@ -154,6 +154,18 @@ def p9_items(spark, d):
     return items.join(per_item, "item_id", "left").na.fill(0, ["n_docs", "longest"])
 
 
+@query
+def p9_spans(spark, d):
+    """Where each leaked stretch stands and how much of its passage it covers."""
+    return leakage.spans(table(spark, d, "documents"), table(spark, d, "eval_items")).withColumn("coverage", F.round("coverage", 6))
+
+
+@query
+def p9_cleaned(spark, d):
+    """The whole corpus without leaked stretches."""
+    return leakage.remove(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 # 10: abusive content
 
 

@@ -287,6 +287,8 @@ def test_leaks_against_brute_force():
         text = ["aa"] * 3 + stretch + ["bb"] * 3
         got = dict(d.leaks(" ".join(text))).get(1, 0)
         assert got == _held(passage, text)
+        places = d.spans(" ".join(text))
+        assert max((n for _, n, *_ in places), default=0) == got and all(" ".join(text)[a:b].split()[0] in passage for *_, a, b in places)
 
 
 def test_leaks_of_overlapping_items_against_brute_force():
@@ -321,6 +323,33 @@ def _run(passage, p, text, t):
     return n
 
 
+def test_near_duplicate_items_both_leak():
+    a = [f"w{i}" for i in range(24)]
+    b = [w if i not in (8, 16) else "other" for i, w in enumerate(a)]
+    assert sorted(leakage.Detector([(1, " ".join(a)), (2, " ".join(b))]).leaks("x " + " ".join(a) + " y")) == [(1, 24), (2, 24)]
+
+
+def test_leak_spans_and_removal(spark):
+    p, q = " ".join(f"p{i}" for i in range(30)), " ".join(f"q{i}" for i in range(25))
+    marked = p.replace("p3 p4", "<i class='a b'>p3</i>&nbsp;p4").replace("p9", "&lt;b x=1&gt;p9")
+    text = f"Before it. {p} Between, {q.upper()}! And {marked} after"
+    d = leakage.Detector([(1, p), (2, q)])
+    got = sorted(d.spans(text), key=lambda x: x[3])
+    assert [(i, n) for i, n, *_ in got] == [(1, 30), (2, 25), (1, 30)] and all(c == 1.0 for _, _, c, _, _ in got)
+    assert [text[a:b] for *_, a, b in got] == [p, q.upper() + "!", marked]
+    docs = spark.createDataFrame([(1, text), (1, text), (2, "nothing here"), (3, None), (4, ""), (5, p), (6, " ".join(p.split()[:22]))], "doc_id bigint, text string").withColumn("n_removed", F.lit("x"))
+    items = spark.createDataFrame([(1, p), (2, q), (3, None)], "item_id bigint, passage string")
+    want = {1: ("Before it. Between, And after", 3), 2: ("nothing here", 0), 3: (None, 0), 4: ("", 0), 5: ("", 1), 6: ("", 1)}
+    for block in (leakage.MAX_ITEMS, 1):  # one automaton, and one for each item
+        rows = leakage.remove(docs, items, max_items=block).collect()
+        assert len(rows) == 7 and {r["doc_id"]: (r["text"], r["n_removed"]) for r in rows} == want
+        assert sorted({(r["doc_id"], r["item_id"]) for r in leakage.detect(docs, items, max_items=block).collect()}) == [(1, 1), (1, 2), (5, 1), (6, 1)]
+        assert leakage.spans(docs, items, max_items=block).count() == 8
+    some = {r["doc_id"]: r["n_removed"] for r in leakage.remove(docs, items, most_words=28, most_coverage=0.9).collect()}
+    assert some == {1: 3, 2: 0, 3: 0, 4: 0, 5: 1, 6: 0}
+    assert leakage.spans(docs.limit(0), items).count() == leakage.spans(docs, items.limit(0)).count() == 0
+
+
 def test_leak_normal_form(spark):
     p = "Poet Minal called that hollow river a sister so bells above the town rang 3896 times when dusk fell on café walls"
     noisy = p.upper().replace("RIVER", "RI​VER").replace(" BELLS", "&nbsp;\n<b>BELLS</b>").replace("CAFÉ", "CAFÉ")
