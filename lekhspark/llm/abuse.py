@@ -1,20 +1,21 @@
 """Abusive, threatening, demeaning or sexually explicit content.
 
 Two word models, one for sentences that abuse and one for ordinary ones, are trained on labelled
-documents. Both are interpolated Kneser-Ney trigram models; below their own unigrams stand
-continuation counts of all labelled text together, so an expression that a class has not seen gets the
-same, shared probability in both; and what the abusive class has not seen never counts for it. A sentence's score is the difference of
+documents. Both are interpolated Kneser-Ney trigram models: trigrams by their occurrences, bigrams and words by the number of different
+words before them in the class; below stand such continuation counts of all labelled text together, so an expression that a class has
+not seen gets the same, shared probability in both. The abusive class is small, so what a word adds for abuse is shrunk by ``n / (n + SHRINK)``, ``n`` being the abusive
+sentences that hold it. A sentence's score is the difference of
 its log-likelihoods divided by its words; it counts as abusive when the difference itself
 outweighs the prior odds and the mean is above ``least_mean``. A document's score is that of its
 worst sentence.
 
 Labels are of documents, abuse is in sentences, so a latent label of each sentence of the documents
 that most raters call abusive is found by hard EM with the prior ``in_positive``. A sentence never
-vouches for itself (its own counts are taken off when it is scored), a word speaks for abuse only
+vouches for itself (all that it adds to the counts is taken off when it is scored), so a word speaks for abuse only
 with support from another sentence, and one word's part is held within ``CLIP``; so the odd sentence of a
-wrongly labelled document finds no support. Documents whose raters are split are left out.
+wrongly labelled document finds no support. Documents whose raters are split are left out; documents of the same text share their votes.
 Training takes at most
-``max_documents`` labelled documents that are known and have a text, those with the smallest hash of each class, the
+``max_documents`` labelled texts of ``max_bytes`` together, those with the smallest hash of each class, the
 classes in their own proportion at every size (a tenth of the places at least for a class that fills it).
 
 Words are compared in a folded form: compatibility forms, case, invisible characters, look-alike
@@ -33,7 +34,6 @@ import pickle
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -45,8 +45,8 @@ from lekhspark.llm.leakage import _INVISIBLE
 from lekhspark.llm.plainform import LATIN_LOOKALIKES
 from lekhspark.session import cut_lineage, settle_names
 
-MAX_DOCUMENTS = 20_000
-IN_POSITIVE, SURE, DISCOUNT, CLIP = 0.15, 3.0, 0.75, 5.0
+MAX_DOCUMENTS, MAX_BYTES = 20_000, 64 << 20
+IN_POSITIVE, SURE, DISCOUNT, CLIP, SHRINK = 0.15, 3.0, 0.75, 5.0, 1.0
 PRIOR, LEAST_MEAN = 0.003, 0.3
 NEED = math.log((1 - PRIOR) / PRIOR)
 
@@ -121,25 +121,69 @@ class _Grams:
             _, self.gram_at[n], self.gram[n] = np.unique(self.key[n], return_index=True, return_inverse=True)
             _, self.ctx[n] = np.unique(self.context[n], return_inverse=True)
             self.gram_ctx[n] = self.ctx[n][self.gram_at[n]]
-
-
-def _class_probability(g: _Grams, weight: np.ndarray, own: np.ndarray, shared: np.ndarray) -> np.ndarray:
-    """P(word | two before) at every position under the class with these position weights, without the position's own sentence's weight."""
+        #: For each n-gram the (n-1)-gram it ends with: its own number there.
+        self.lower = {n: self.gram[n - 1][self.gram_at[n]] for n in (2, 3)}
+        # Of each n-gram of each sentence: sentence, n-gram, its places there; and back from positions to those.
+        self.pair, self.pair_n = {}, {}
+        for n in (1, 2, 3):
+            _, at, back, times = np.unique(self.sentence * len(self.gram_at[n]) + self.gram[n], return_index=True, return_inverse=True, return_counts=True)
+            self.pair[n] = self.sentence[at], self.gram[n][at], back
+            self.pair_n[n] = times.astype(float)
+
+    def kinds_of(self, n: int, weight: np.ndarray) -> np.ndarray:
+        """Continuation counts: before each n-gram, the number of different words among positions with a weight."""
+        seen = np.bincount(self.gram[n + 1], weights=weight) > 0
+        return np.bincount(self.lower[n + 1], weights=seen, minlength=len(self.gram_at[n]))
+
+    def counts(self, n: int, weight: np.ndarray) -> np.ndarray:
+        """Kneser-Ney counts of the n-grams: occurrences of trigrams, different words before shorter ones."""
+        return np.bincount(self.gram[3], weights=weight) if n == 3 else self.kinds_of(n, weight)
+
+    def own_part(self, n: int, k: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """At each position, what its own sentence adds to the count of its n-gram, to its context's sum, and to the context's different words."""
+        sentence, gram, back = self.pair[n]
+        if n == 3:
+            own = self.pair_n[3] * weight[self.first(3)]
+        else:
+            up_sentence, up_gram, _ = self.pair[n + 1]
+            up = np.bincount(self.gram[n + 1], weights=weight)
+            alone = (up[up_gram] > 0) & (up[up_gram] - self.pair_n[n + 1] * weight[self.first(n + 1)] <= 0)
+            place = np.searchsorted(sentence * len(self.gram_at[n]) + gram, up_sentence * len(self.gram_at[n]) + self.lower[n + 1][up_gram])
+            own = np.bincount(place, weights=alone, minlength=len(gram))
+        gone = (k[gram] > 0) & (k[gram] - own <= 0)
+        _, at = np.unique(sentence * (len(self.gram_at[n]) + 1) + self.gram_ctx[n][gram], return_inverse=True)
+        return own[back], np.bincount(at, weights=own)[at][back], np.bincount(at, weights=gone)[at][back]
+
+    def sentences_with(self, n: int, weight: np.ndarray) -> np.ndarray:
+        """The sentences with a weight that hold each n-gram."""
+        return np.bincount(self.pair[n][1], weights=weight[self.first(n)])
+
+    def first(self, n: int) -> np.ndarray:
+        """A position of each pair of sentence and n-gram."""
+        back = self.pair[n][2]
+        at = np.empty(len(self.pair_n[n]), np.int64)
+        at[back] = np.arange(len(back))
+        return at
+
+
+def _class_probability(g: _Grams, weight: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """P(word | two before) at every position under the class whose positions have this weight (0 or 1), without what the position's own sentence adds."""
     p = shared
     for n in (1, 2, 3):
-        count = np.bincount(g.gram[n], weights=weight)
-        total = np.bincount(g.ctx[n], weights=weight)
-        kinds = np.bincount(g.gram_ctx[n], weights=np.minimum(count, 1.0), minlength=len(total))
-        c = np.maximum(count[g.gram[n]] - own, 0.0)
-        t = np.maximum(total[g.ctx[n]] - own, 0.0)
-        held = np.minimum(DISCOUNT * np.maximum(kinds[g.ctx[n]] - (own > 0) * (c <= 0), 0), t)
-        p = np.where(t > 1e-9, (np.maximum(c - DISCOUNT, 0) + held * p) / np.maximum(t, 1e-9), p)
-        # what the discount takes from counts below it is given back to the shared part
-        short = np.where(t > 1e-9, np.maximum(0, 1 - (np.maximum(t - held, 0) + held) / np.maximum(t, 1e-9)), 0)
-        p = p + short * shared
+        k = g.counts(n, weight)
+        own, own_sum, own_kinds = g.own_part(n, k, weight)
+        total = np.bincount(g.gram_ctx[n], weights=k)[g.ctx[n]] - own_sum
+        kinds = np.bincount(g.gram_ctx[n], weights=k > 0)[g.ctx[n]] - own_kinds
+        c = np.maximum(k[g.gram[n]] - own, 0.0)
+        p = np.where(total > 0.5, (np.maximum(c - DISCOUNT, 0) + DISCOUNT * kinds * p) / np.maximum(total, 1), p)
     return np.maximum(p, 1e-12)
 
 
+def trust(sentences_with: np.ndarray | float) -> np.ndarray | float:
+    """How far an expression's evidence for abuse counts, by the abusive sentences that hold it."""
+    return sentences_with / (sentences_with + SHRINK)
+
+
 def _shared_unigram(g: _Grams, vocabulary: int) -> np.ndarray:
     """Kneser-Ney continuation probability of each word, over both classes: by the number of different words before it."""
     after = np.bincount(g.key[1][g.gram_at[2]], minlength=vocabulary).astype(float)
@@ -170,10 +214,9 @@ def train(docs: list[tuple[str, float]], rounds: int = 8) -> bytes:
     toxic_weight, plain_weight = positive.astype(float), negative.astype(float)
     for _ in range(rounds):
         wt, wo = toxic_weight[g.sentence], plain_weight[g.sentence]
-        ratio = np.log(_class_probability(g, wt, wt, shared)) - np.log(_class_probability(g, wo, wo, shared))
-        seen = [np.bincount(g.gram[order], weights=wt)[g.gram[order]] - wt for order in (1, 2)]
-        supported = np.where(g.key[1] == 1, seen[1], seen[0]) >= 0.5
-        ratio = np.clip(np.where(supported, ratio, np.minimum(ratio, 0.0)), -CLIP, CLIP)
+        ratio = np.clip(np.log(_class_probability(g, wt, shared)) - np.log(_class_probability(g, wo, shared)), -CLIP, CLIP)
+        seen = [g.sentences_with(order, wt)[g.gram[order]] - wt for order in (1, 2)]
+        ratio = np.where(ratio > 0, ratio * trust(np.where(g.key[1] == 1, seen[1], seen[0])), ratio)
         llr = np.bincount(g.sentence, weights=ratio, minlength=n)
         # Only sentences that are surely abusive are kept, else common sentences stay at the prior for ever;
         # the undecided ones train neither class.
@@ -187,15 +230,19 @@ def train(docs: list[tuple[str, float]], rounds: int = 8) -> bytes:
     for weight in (toxic_weight[g.sentence], plain_weight[g.sentence]):
         tables = []
         for order in (1, 2, 3):
-            count = np.bincount(g.gram[order], weights=weight)
-            total = np.bincount(g.ctx[order], weights=weight)
-            kinds = np.bincount(g.gram_ctx[order], weights=np.minimum(count, 1.0), minlength=len(total))
-            keep = count > 0.05
+            count = g.counts(order, weight)
+            total = np.bincount(g.gram_ctx[order], weights=count)
+            kinds = np.bincount(g.gram_ctx[order], weights=count > 0)
+            keep = count > 0
             keys = g.key[order][g.gram_at[order]]
             first_ctx = np.unique(g.context[order], return_index=True)[1]
             ctx_keys = g.context[order][first_ctx]
             tables.append((dict(zip(keys[keep].tolist(), count[keep].tolist())), dict(zip(ctx_keys.tolist(), zip(total.tolist(), kinds.tolist())))))
         model["classes"].append(tables)
+    model["toxic"] = []
+    for order in (1, 2):
+        held = g.sentences_with(order, toxic_weight[g.sentence])
+        model["toxic"].append(dict(zip(g.key[order][g.gram_at[order]][held > 0].tolist(), held[held > 0].tolist())))
     return pickle.dumps(model, protocol=5)
 
 
@@ -209,7 +256,7 @@ class Scorer:
             self.vocab = self.model["vocab"]
             self.size = len(self.vocab)
             self.by_length: dict[int, list[str]] = {}
-            self.toxic = [grams for grams, _ in self.model["classes"][0]]
+            self.toxic = self.model["toxic"]
             toxic = self.toxic[0]
             for w, k in self.vocab.items():
                 if toxic.get(k, 0) > 0.5:
@@ -229,19 +276,15 @@ class Scorer:
         p = float(self.model["unigram"][w]) if w != 2 else 1.0 / size
         for (grams, contexts), key, ctx in zip(tables, (w, v * size + w, (u * size + v) * size + w), (0, v, u * size + v)):
             total, kinds = contexts.get(ctx, (0.0, 0.0))
-            if total > 1e-9:
-                held = min(DISCOUNT * kinds, total)
-                p = (max(grams.get(key, 0.0) - DISCOUNT, 0.0) + held * p) / total
+            if total > 0.5:
+                p = (max(grams.get(key, 0.0) - DISCOUNT, 0.0) + DISCOUNT * kinds * p) / total
         return max(p, 1e-12)
 
     def _evidence(self, w: int, v: int, u: int) -> float:
         size = self.size
         a, b = (self._probability(t, w, v, u) for t in self.model["classes"])
         d = min(max(math.log(a / b), -CLIP), CLIP)
-        # What the abusive class has never seen can't speak for it, however thin its text is.
-        if d > 0 and (self.toxic[0].get(w, 0.0) < 1.5 if w != 1 else self.toxic[1].get(v * size + w, 0.0) < 1.5):
-            return 0.0
-        return d
+        return d * trust(self.toxic[0].get(w, 0.0) if w != 1 else self.toxic[1].get(v * size + w, 0.0)) if d > 0 else d
 
     def sentence(self, numbers: list[int]) -> float:
         """Difference of the log-likelihoods of a sentence, its end included."""
@@ -308,17 +351,26 @@ def class_bounds(held: dict[int, int], most: int) -> dict[int, int]:
     return {c: least[c] + max(0, spare) * (n - least[c]) // over for c, n in held.items()}
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, max_documents: int = MAX_DOCUMENTS) -> list[tuple[str, float]]:
+def labelled_sample(documents: DataFrame, labels: DataFrame, max_documents: int = MAX_DOCUMENTS, max_bytes: int = MAX_BYTES) -> list[tuple[str, float]]:
+    """Texts with the share of all their votes that call them abusive, however many documents hold the text: at most ``max_documents`` with ``max_bytes`` together."""
     documents, labels = settle_names(documents, ("doc_id", "text")), settle_names(labels, ("doc_id", "abusive"))
-    votes = labels.where(F.col("abusive").isin(0, 1)).groupBy("doc_id").agg(F.avg("abusive").alias("share"))
-    texts = documents.where(F.col("text").isNotNull()).select("doc_id", F.md5("text").alias("same"))  # without the text, to be shuffled cheaply
-    first = texts.join(votes, "doc_id").groupBy("same").agg(F.min(F.struct("doc_id", "share")).alias("x"))
-    known = cut_lineage(first.select("x.doc_id", "x.share", F.signum(F.col("x.share") - 0.5).cast("int").alias("kind")).distinct())
+    votes = labels.where(F.col("abusive").isin(0, 1)).groupBy("doc_id").agg(F.sum("abusive").alias("yes"), F.count("*").alias("n"))
+    # without the text, to be shuffled cheaply
+    texts = documents.where(F.col("text").isNotNull()).select("doc_id", F.md5("text").alias("same"), F.octet_length("text").alias("size")).distinct()
+    one = texts.join(votes, "doc_id").groupBy("same").agg(F.min("doc_id").alias("doc_id"), (F.sum("yes") / F.sum("n")).alias("share"), F.max("size").alias("size"))
+    known = cut_lineage(one.select("doc_id", "same", "share", "size", F.signum(F.col("share") - 0.5).cast("int").alias("kind")))
     held = {r["kind"]: r["n"] for r in known.groupBy("kind").agg(F.count("*").alias("n")).collect()}
-    parts = [known.where(F.col("kind") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for kind, n in class_bounds(held, max_documents).items()]
-    few = reduce(DataFrame.unionByName, parts, known.limit(0)).select("doc_id", "share")
-    rows = documents.select("doc_id", "text").join(F.broadcast(few), "doc_id").where(F.col("text").isNotNull()).dropDuplicates(["text"]).collect()
-    return [(r["text"], r["share"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
+    bounds = class_bounds(held, max_documents)
+    picked = []
+    for kind, n in bounds.items():
+        room = max_bytes * n // max(1, sum(bounds.values()))
+        for r in known.where(F.col("kind") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select("doc_id", "same", "share", "size").collect():
+            if r["size"] <= room:
+                room -= r["size"]
+                picked.append((r["doc_id"], r["same"], r["share"]))
+    few = documents.sparkSession.createDataFrame(picked, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, same string, share double")
+    rows = documents.where(F.col("text").isNotNull()).select("doc_id", "text", F.md5("text").alias("same")).join(F.broadcast(few), ["doc_id", "same"]).groupBy("doc_id", "same").agg(F.first("text").alias("text"), F.first("share").alias("share")).collect()
+    return [(r["text"], r["share"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["same"]))]
 
 
 def score(documents: DataFrame, model: bytes, keep: tuple[str, ...] = ("source",)) -> DataFrame:

@@ -401,11 +401,70 @@ def test_bounded_sample_keeps_both_classes(spark):
     share = [x for _, x in abuse.labelled_sample(docs, labels, 40)]
     assert (share.count(1.0), share.count(0.0)) == (30, 10)
     assert len(abuse.labelled_sample(docs, labels, 400)) == 400
+    assert len(abuse.labelled_sample(docs, labels, 400, max_bytes=400)) < 60
+    same = spark.createDataFrame([(1, "one text"), (2, "one text"), (3, "other")], "doc_id bigint, text string")
+    votes = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (3, 1)], "doc_id bigint, abusive int")
+    want = [("one text", 1 / 3), ("other", 1.0)]
+    assert all(sorted(abuse.labelled_sample(same.repartition(n), votes.repartition(n))) == want for n in (1, 3))
     for held in ({1: 10**6, -1: 3}, {1: 50, -1: 10**7, 0: 90}, {1: 5000, -1: 10**6}, {1: 9, -1: 9}):
         got = abuse.class_bounds(held, 1000)
         assert sum(got.values()) <= 1000 and all(0 < got[c] <= n and got[c] >= min(n, 100) for c, n in held.items())
 
 
+def test_many_labels_of_both_classes_keep_the_model():
+    rng = random.Random(6)
+    docs = [(f"you are a {rng.choice(['pig', 'idiot'])} w{rng.randint(0, 9)}.", 1.0) for _ in range(3000)] + [(f"the team met w{rng.randint(0, 9)} at school.", 0.0) for _ in range(3000)]
+    s = abuse.Scorer(abuse.train(docs))
+    assert s.text("you are a pig w77.")[2] == 1 and s.text("the team met at w3.")[2] == 0 and s.text("entirely other matters here.")[2] == 0
+
+
+def _brute_kn(sents, w, v, u, discount=0.75):
+    """Interpolated Kneser-Ney from the definition, over sentences as tuples; continuation counts below trigrams."""
+    tri = [((("<s>",) * 2 + s)[i], (("<s>",) * 2 + s)[i + 1], x) for s in sents for i, x in enumerate(s)]
+    kinds = {2: {(b, c) for a, b, c in tri}, 3: set(tri)}
+    after = lambda x: len({b for b, c in kinds[2] if c == x})
+    words = {c for _, _, c in tri}
+    size = len(words) + 2  # with the start and the unknown word
+    total = sum(after(x) for x in words)
+    p0 = (max(after(w) - discount, 0) + discount * len(words) / size) / total
+    p1 = (max(after(w) - discount, 0) + discount * len(words) * p0) / total
+    k2 = {x: len({a for a, b, c in kinds[3] if (b, c) == (v, x)}) for x in words}
+    if t := sum(k2.values()):
+        p1 = (max(k2[w] - discount, 0) + discount * sum(n > 0 for n in k2.values()) * p1) / t
+    k3 = {x: tri.count((u, v, x)) for x in words}
+    if t := sum(k3.values()):
+        p1 = (max(k3[w] - discount, 0) + discount * sum(n > 0 for n in k3.values()) * p1) / t
+    return p1
+
+
+def test_lower_orders_are_continuation_counts():
+    rng = random.Random(7)
+    sents = [tuple(rng.choice("a b c d".split()) for _ in range(rng.randint(1, 5))) for _ in range(12)]
+    vocab = {"<s>": 0, "</s>": 1, "<unk>": 2, **{w: i + 3 for i, w in enumerate("abcd")}}
+    numbered = [[vocab[w] for w in s] for s in sents]
+    g = abuse._Grams(numbered, len(vocab))
+    shared = abuse._shared_unigram(g, len(vocab))[g.key[1]]
+    ended = [(*s, "</s>") for s in sents]
+    flat = [(s[i], s[i - 1] if i else "<s>", s[i - 2] if i > 1 else "<s>") for s in ended for i in range(len(s))]
+    none = np.zeros(len(g.key[1]))
+    g.own_part = lambda n, k, weight: (none, none, none)  # the sentence's own part stays in
+    got = abuse._class_probability(g, np.ones(len(flat)), shared)
+    assert np.allclose(got, [_brute_kn(ended, *x) for x in flat])
+    del g.own_part  # without a sentence's own part: as if it weren't there
+    without = abuse._class_probability(g, np.ones(len(flat)), shared)
+    for k in range(len(sents)):
+        rest = g.sentence != k
+        other = abuse._Grams([*numbered[:k], *numbered[k + 1 :]], len(vocab))
+        assert np.array_equal(other.key[3], g.key[3][rest])
+        for n in (1, 2, 3):
+            counts = dict(zip(other.key[n][other.gram_at[n]].tolist(), other.counts(n, np.ones(rest.sum())).tolist()))
+            all_k = g.counts(n, np.ones(len(flat)))
+            own = g.own_part(n, all_k, np.ones(len(flat)))[0]
+            here = np.flatnonzero(~rest)
+            assert [all_k[g.gram[n][i]] - own[i] for i in here] == [counts.get(g.key[n][i], 0) for i in here]
+    assert without.min() > 0
+
+
 # ---- all
 
 
