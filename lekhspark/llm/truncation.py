@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lekhspark.session import settle_names
+from lekhspark.session import broadcast_if_small, cut_lineage, settle_names
 
 END_MARKS = "।॥.!?۔؟"
 _BROKEN = re.compile(r"(?:<[a-zA-Z/!][^<>]*|&(?:#?\w{0,8})|�+)\s*$")
@@ -44,6 +44,7 @@ _URL = re.compile(r"(?:https?://|www\.)\S+\s*$", re.I)
 _BRACKETS = re.compile(r"\s*[(\[][^()\[\]]*[)\]]\s*$")
 _OPEN_TAIL = re.compile(r"[\s,;:(\[{<\-–—/&'‘“\"]+$")
 _CLOSERS = "\"'”’»)]"
+_CLOSING = "\"'”’»)\\]"
 # Abbreviations whose dot ends no sentence.
 ABBREVIATIONS = frozenset("डॉ प्रो श्री श्रीमती सुश्री पं क्र रु नं सं ई पू कि मी वि dr prof mr mrs ms st no vs fig rs smt shri pt etc approx ca dept govt".split())
 _EDGE = "।॥.!?۔؟,;:()[]{}<>\"'“”‘’«»…|-–—"
@@ -91,37 +92,44 @@ ENDING_SCHEMA = "id string, source string, core_len int, state string, w1 string
 
 
 def endings(df: DataFrame, id_col: str = "id", text_col: str = "summary_hi", source_col: str = "partner_label") -> DataFrame:
-    """One row per distinct value that isn't blank."""
+    """One row per distinct value that isn't blank; texts are told apart by their hash, so only short rows are shuffled."""
     df = settle_names(df, (id_col, text_col, source_col))
-    rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).distinct()
+    text = F.col(text_col).cast("string")
+    rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(source_col).cast("string").alias("source"), text.alias("text"), F.xxhash64(text).alias("same")).where(F.col("text").isNotNull())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for i, src, text in zip(f["id"], f["source"], f["text"]):
+            for i, src, text, same in zip(f["id"], f["source"], f["text"], f["same"]):
                 if not text.strip(_EDGE + " \t\r\n\xa0​﻿"):
                     continue
                 core, state = taken_off(text)
-                out.append((i, src, len(core), state, *last_words(core)))
-            yield pd.DataFrame(out, columns=["id", "source", "core_len", "state", "w1", "w2"])
+                out.append((i, src, len(core), state, *last_words(core), same))
+            yield pd.DataFrame(out, columns=["id", "source", "core_len", "state", "w1", "w2", "same"])
 
-    return rows.mapInPandas(run, ENDING_SCHEMA)
+    return rows.mapInPandas(run, ENDING_SCHEMA + ", same bigint").distinct().drop("same")
 
 
-_JAVA_EDGE = "[" + "".join("\\" + c if c in "[]-\\^" else c for c in _EDGE) + "]"
+def repeats(contents: DataFrame, text_col: str = "content_hi") -> DataFrame:
+    """``same, k``: the hash of each content that stands in several rows, and how many; texts themselves aren't shuffled."""
+    return contents.select(F.xxhash64(text_col).alias("same")).groupBy("same").agg(F.count("*").alias("k")).where(F.col("k") > 1)
 
 
-def closing_counts(contents: DataFrame, text_col: str = "content_hi") -> DataFrame:
-    """``w1, w2, n, n_final``: how often each pair of words stands in the corpus, and how often it closes a sentence."""
-    lines = contents.select(F.explode(F.split(F.col(text_col), r"\n+")).alias("line")).select(F.split(F.trim("line"), r"[\s\u00a0]+").alias("ws"))
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.size("ws") - 1),
-        lambda i: F.struct(F.element_at("ws", i).alias("a"), F.element_at("ws", i + 1).alias("b"), (i == F.size("ws") - 1).alias("last")),
-    )
-    words = lines.where(F.size("ws") > 1).select(F.explode(pairs).alias("p"))
-    strip = lambda c: F.regexp_replace(c, f"^{_JAVA_EDGE}+|{_JAVA_EDGE}+$", "")
-    final = F.col("p.b").rlike(rf"[।॥.!?۔؟|]+[\"'”’»)\]]*$") | F.col("p.last")
-    return words.select(strip("p.a").alias("w1"), strip("p.b").alias("w2"), final.cast("int").alias("f")).groupBy("w1", "w2").agg(F.count("*").alias("n"), F.sum("f").alias("n_final"))
+def closing_counts(contents: DataFrame, wanted: DataFrame, text_col: str = "content_hi") -> DataFrame:
+    """``w1, w2, n, n_final``: how often each pair of words whose second is in ``wanted`` (``w2``) stands in the corpus, and how often it closes a sentence.
+
+    All contents are read and every place of a wanted word is counted; a content that stands in ``k`` rows counts once, a
+    ``k``-th in each. Other words are dropped before anything is done with them.
+    """
+    heavy = broadcast_if_small(repeats(contents, text_col))
+    one = contents.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("same")).join(heavy, "same", "left").select("text", (1 / F.coalesce("k", F.lit(1))).alias("share"))
+    lines = one.select("share", F.explode(F.split("text", "\n")).alias("line")).select("share", F.filter(F.split(F.col("line"), r"[\s\u00a0]+"), lambda w: w != "").alias("ws"))
+    n = F.size("ws")
+    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct(F.get("ws", i - 1).alias("a"), F.get("ws", i).alias("b"), (i == n - 1).alias("last")))
+    edge = lambda c: F.btrim(F.col(c), F.lit(_EDGE))
+    words = lines.where(n > 1).select("share", F.explode(pairs).alias("p")).select("share", "p.*").withColumn("w2", edge("b")).join(broadcast_if_small(wanted), "w2")
+    final = F.col("b").rlike(rf"[।॥.!?۔؟|][{_CLOSING}]*$") | F.col("last")
+    return words.select(edge("a").alias("w1"), "w2", "share", final.alias("f")).groupBy("w1", "w2").agg(F.sum("share").alias("n"), F.sum(F.when(F.col("f"), F.col("share")).otherwise(0.0)).alias("n_final"))
 
 
 def _log_normal(l: np.ndarray, mu: float, sigma: float) -> tuple[np.ndarray, np.ndarray]:
@@ -167,35 +175,50 @@ def fit_source(length: np.ndarray, odds: np.ndarray, n: np.ndarray, rounds: int
     return p, mu, sigma
 
 
+def likeliest_limit(length: np.ndarray, p: np.ndarray, n: np.ndarray) -> tuple[int, float]:
+    """The length at which a source most likely cuts, and the part of its expected cuts that lies there; (0, 0) where nothing is cut."""
+    uniq, back = np.unique(length, return_inverse=True)
+    at = np.bincount(back, weights=n * p)
+    best = int(at.argmax())
+    return (int(uniq[best]), float(at[best] / at.sum())) if at.sum() >= 0.5 else (0, 0.0)
+
+
+#: What an ending says by itself, as log odds: a closed sentence is no break by definition, half a tag, reference or character always is one.
+CLOSED_ODDS, BROKEN_ODDS = -12.0, 12.0
+FITTED = "source string, core_len int, odds double, p_cut double, mu double, sigma double, limit_len int, limit_part double"
+
+
 def posteriors(articles: DataFrame, smoothing: float = 1.0) -> DataFrame:
-    """``id, source, core_len, state, p_cut``: each distinct summary and how surely it is cut."""
+    """``id, source, core_len, state, odds, p_cut`` of each distinct summary, and its source's ``mu, sigma, limit_len, limit_part``."""
     articles = settle_names(articles, ("id", "summary_hi", "partner_label", "content_hi"))
-    ends = endings(articles)
-    pairs = closing_counts(articles.select("content_hi").where(F.col("content_hi").isNotNull()).distinct())
+    ends = cut_lineage(endings(articles))  # read four times, and far smaller than the texts
     # A prefix of a word may be a word, so the pair decides where it was seen; else the word; else any word.
     open_pairs = ends.where("state = 'open'").select("w1", "w2").distinct()
+    pairs = cut_lineage(closing_counts(articles.select("content_hi").where(F.col("content_hi").isNotNull()), open_pairs.select("w2").distinct()))
     single = pairs.groupBy("w2").agg(F.sum("n").alias("n1"), F.sum("n_final").alias("f1"))
     p0 = 0.02
     p1 = (F.coalesce("f1", F.lit(0)) + smoothing * p0) / (F.coalesce("n1", F.lit(0)) + smoothing)
     p2 = (F.coalesce("n_final", F.lit(0)) + smoothing * p1) / (F.coalesce("n", F.lit(0)) + smoothing)
     seen = open_pairs.join(pairs, ["w1", "w2"], "left").join(single, "w2", "left").select("w1", "w2", p2.alias("p"))
     odds = (
-        F.when(F.col("state") == "whole", F.lit(-12.0))
-        .when(F.col("state") == "broken", F.lit(12.0))
+        F.when(F.col("state") == "whole", F.lit(CLOSED_ODDS))
+        .when(F.col("state") == "broken", F.lit(BROKEN_ODDS))
         .otherwise(F.log((1 - F.coalesce("p", F.lit(p0))) / F.coalesce("p", F.lit(p0))))
     )
-    scored = ends.join(seen, ["w1", "w2"], "left").select("id", "source", "core_len", "state", (F.round(odds * 2) / 2).alias("odds"))
+    scored = cut_lineage(ends.join(seen, ["w1", "w2"], "left").select("id", "source", "core_len", "state", (F.round(odds * 2) / 2).alias("odds")))
     cells = scored.groupBy("source", "core_len", "odds").agg(F.count("*").alias("n"))
 
     def one_source(f: pd.DataFrame) -> pd.DataFrame:
-        p, mu, sigma = fit_source(f["core_len"].to_numpy(), f["odds"].to_numpy(float), f["n"].to_numpy(float))
-        return f.assign(p_cut=p, mu=mu, sigma=sigma)[["source", "core_len", "odds", "p_cut", "mu", "sigma"]]
+        length, n = f["core_len"].to_numpy(), f["n"].to_numpy(float)
+        p, mu, sigma = fit_source(length, f["odds"].to_numpy(float), n)
+        limit, part = likeliest_limit(length, p, n)
+        return f.assign(p_cut=p, mu=mu, sigma=sigma, limit_len=limit, limit_part=part)[[c.split()[0] for c in FITTED.split(", ")]]
 
-    fitted = cells.groupBy("source").applyInPandas(one_source, "source string, core_len int, odds double, p_cut double, mu double, sigma double")
+    fitted = cells.groupBy("source").applyInPandas(one_source, FITTED)
     return (
         scored.alias("s")
         .join(fitted.alias("f"), F.col("s.source").eqNullSafe(F.col("f.source")) & (F.col("s.core_len") == F.col("f.core_len")) & (F.col("s.odds") == F.col("f.odds")))
-        .select("s.id", "s.source", "s.core_len", "s.state", "s.odds", "f.p_cut")
+        .select("s.id", "s.source", "s.core_len", "s.state", "s.odds", "f.p_cut", "f.mu", "f.sigma", "f.limit_len", "f.limit_part")
     )
 
 
@@ -205,6 +228,8 @@ def found(articles: DataFrame) -> DataFrame:
 
 
 def rates(articles: DataFrame) -> DataFrame:
-    """Per source: distinct summaries, cut ones, their share."""
+    """Per source: distinct summaries, cut ones, their share, the expected share by the posteriors, and the fit: median length, spread and the likeliest limit with its part of the cuts."""
     p = posteriors(articles)
-    return p.groupBy(F.col("source").alias("partner_label")).agg(F.count("*").alias("n_values"), F.sum((F.col("p_cut") > 0.5).cast("int")).alias("n_cut"), F.round(F.avg((F.col("p_cut") > 0.5).cast("double")), 6).alias("cut_share"))
+    cut = F.col("p_cut") > 0.5
+    fit = [F.round(F.exp(F.first("mu")), 3).alias("median_len"), F.round(F.first("sigma"), 6).alias("sigma"), F.first("limit_len").alias("limit_len"), F.round(F.first("limit_part"), 6).alias("limit_part")]
+    return p.groupBy(F.col("source").alias("partner_label")).agg(F.count("*").alias("n_values"), F.sum(cut.cast("int")).alias("n_cut"), F.round(F.avg(cut.cast("double")), 6).alias("cut_share"), F.round(F.avg("p_cut"), 6).alias("expected_share"), *fit)
