@@ -24,12 +24,14 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lekhspark.llm.arrow import Shared
 from lekhspark.session import broadcast_if_small, cut_lineage, settle_names
 
 END_MARKS = "।॥.!?۔؟"
@@ -44,7 +46,6 @@ _URL = re.compile(r"(?:https?://|www\.)\S+\s*$", re.I)
 _BRACKETS = re.compile(r"\s*[(\[][^()\[\]]*[)\]]\s*$")
 _OPEN_TAIL = re.compile(r"[\s,;:(\[{<\-–—/&'‘“\"]+$")
 _CLOSERS = "\"'”’»)]"
-_CLOSING = "\"'”’»)\\]"
 # Abbreviations whose dot ends no sentence.
 ABBREVIATIONS = frozenset("डॉ प्रो श्री श्रीमती सुश्री पं क्र रु नं सं ई पू कि मी वि dr prof mr mrs ms st no vs fig rs smt shri pt etc approx ca dept govt".split())
 _EDGE = "।॥.!?۔؟,;:()[]{}<>\"'“”‘’«»…|-–—"
@@ -115,21 +116,66 @@ def repeats(contents: DataFrame, text_col: str = "content_hi") -> DataFrame:
     return contents.select(F.xxhash64(text_col).alias("same")).groupBy("same").agg(F.count("*").alias("k")).where(F.col("k") > 1)
 
 
-def closing_counts(contents: DataFrame, wanted: DataFrame, text_col: str = "content_hi") -> DataFrame:
+_CLOSES = re.compile(rf"[{END_MARKS}|][{re.escape(_CLOSERS)}]*$")
+
+
+def _words(payload: bytes) -> frozenset[str]:
+    return frozenset(payload.decode().split("\n"))
+
+
+def closing_counts(contents: DataFrame, wanted: DataFrame, text_col: str = "content_hi", max_wanted: int = 500_000) -> DataFrame:
     """``w1, w2, n, n_final``: how often each pair of words whose second is in ``wanted`` (``w2``) stands in the corpus, and how often it closes a sentence.
 
-    All contents are read and every place of a wanted word is counted; a content that stands in ``k`` rows counts once, a
-    ``k``-th in each. Other words are dropped before anything is done with them.
+    All contents are read and every place of a wanted word is counted, in one map that sums up before its rows are shuffled; wanted words beyond
+    ``max_wanted`` are taken in blocks, a map each. A content that stands in ``k`` rows counts once, a ``k``-th in each.
     """
     heavy = broadcast_if_small(repeats(contents, text_col))
     one = contents.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("same")).join(heavy, "same", "left").select("text", (1 / F.coalesce("k", F.lit(1))).alias("share"))
-    lines = one.select("share", F.explode(F.split("text", "\n")).alias("line")).select("share", F.filter(F.split(F.col("line"), r"[\s\u00a0]+"), lambda w: w != "").alias("ws"))
-    n = F.size("ws")
-    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct(F.get("ws", i - 1).alias("a"), F.get("ws", i).alias("b"), (i == n - 1).alias("last")))
-    edge = lambda c: F.btrim(F.col(c), F.lit(_EDGE))
-    words = lines.where(n > 1).select("share", F.explode(pairs).alias("p")).select("share", "p.*").withColumn("w2", edge("b")).join(broadcast_if_small(wanted), "w2")
-    final = F.col("b").rlike(rf"[।॥.!?۔؟|][{_CLOSING}]*$") | F.col("last")
-    return words.select(edge("a").alias("w1"), "w2", "share", final.alias("f")).groupBy("w1", "w2").agg(F.sum("share").alias("n"), F.sum(F.when(F.col("f"), F.col("share")).otherwise(0.0)).alias("n_final"))
+    n = max(1, math.ceil(wanted.count() / max_wanted))
+    parts = []
+    for block in range(n):
+        some = wanted if n == 1 else wanted.where(F.pmod(F.xxhash64("w2"), F.lit(n)) == block)
+        parts.append(one.mapInPandas(_counter(Shared(contents.sparkSession, _words, "\n".join(sorted(r["w2"] for r in some.select("w2").collect())).encode())), "w1 string, w2 string, n double, n_final double"))
+    return reduce(DataFrame.unionByName, parts).groupBy("w1", "w2").agg(F.sum("n").alias("n"), F.sum("n_final").alias("n_final"))
+
+
+def _counter(shared: Shared, held: int = 200_000):
+    def flushed(counts: dict) -> pd.DataFrame:
+        out = pd.DataFrame([(*k, *v) for k, v in counts.items()], columns=["w1", "w2", "n", "n_final"])
+        counts.clear()
+        return out
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted = shared.get()
+        known: dict[str, tuple[str, bool] | None] = {}  # of what stands between white space: the word and whether it closes, if wanted
+        counts: dict[tuple[str, str], list[float]] = {}
+        for f in frames:
+            for text, share in zip(f["text"], f["share"]):
+                for line in text.split("\n"):
+                    ws = line.split()
+                    last = len(ws) - 1
+                    for i in range(1, last + 1):
+                        w = ws[i]
+                        if w in known:
+                            if (hit := known[w]) is None:
+                                continue
+                        else:
+                            word = w.strip(_EDGE)
+                            hit = (word, _CLOSES.search(w) is not None) if word in wanted else None
+                            if len(known) >= held:
+                                known.clear()
+                            known[w] = hit
+                            if hit is None:
+                                continue
+                        c = counts.setdefault((ws[i - 1].strip(_EDGE), hit[0]), [0.0, 0.0])
+                        c[0] += share
+                        if hit[1] or i == last:
+                            c[1] += share
+            if len(counts) >= held:
+                yield flushed(counts)
+        yield flushed(counts)
+
+    return run
 
 
 def _log_normal(l: np.ndarray, mu: float, sigma: float) -> tuple[np.ndarray, np.ndarray]:

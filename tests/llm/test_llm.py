@@ -120,6 +120,26 @@ def test_truncation(spark):
     rates = {r["partner_label"]: r for r in truncation.rates(df).collect()}
     assert rates[None]["n_cut"] == 0 and rates["s"]["cut_share"] > 0.5
     assert truncation.found(df.limit(0)).count() == 0
+    assert rates["s"]["limit_len"] in range(55, 61) and rates["s"]["limit_part"] > 0.5 and (rates[None]["limit_len"], rates[None]["limit_part"]) == (0, 0.0)
+
+
+def test_closing_counts_against_brute_force(spark):
+    rng = random.Random(9)
+    texts = ["\n".join(" ".join(rng.choice(["क", "ख", "(ग)", "घ।", "ख?", "“ग।”"]) for _ in range(rng.randint(0, 6))) for _ in range(3)) for _ in range(20)]
+    want = {}
+    for t in set(texts):
+        for line in t.split("\n"):
+            ws = line.split()
+            for i in range(1, len(ws)):
+                a, b = (x.strip("()।?“”") for x in ws[i - 1 : i + 1])
+                if b in "खग":
+                    n, f = want.get((a, b), (0, 0))
+                    want[a, b] = n + 1, f + (i == len(ws) - 1 or ws[i].strip("”")[-1] in "।?")
+    contents = spark.createDataFrame([(t,) for t in texts * 2], "content_hi string")
+    wanted = spark.createDataFrame([("ख",), ("ग",)], "w2 string")
+    for most in (10, 1):
+        got = {(r["w1"], r["w2"]): (round(r["n"], 6), round(r["n_final"], 6)) for r in truncation.closing_counts(contents, wanted, max_wanted=most).collect()}
+        assert got == want
 
 
 # ---- 5
