@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lekhspark.functions import dates, text
+from lekhspark.session import broadcast_if_small, cut_lineage, one_per_key
 
 CANDIDATE_CAP, LOG_TOP, RANKER, RETRIEVAL = 200, 200, "v1", "hybrid-1"
 
@@ -51,10 +52,9 @@ def leg_counts(lexical: DataFrame, articles: DataFrame, chunks: DataFrame, candi
 
 
 def article_metadata(canon: DataFrame, images: DataFrame | None = None) -> DataFrame:
-    """What hits show of an article and the ranker compares: one row per id; lists are never null."""
-    one = canon.dropDuplicates(["id"])
+    """What hits show of an article and the ranker compares; lists are never null. Repeated articles stay repeated: ``with_metadata`` settles those it needs."""
     lists = [text.clean_list(F.col(f"{f}_{kind}")).alias(f"{f}{suffix}") for f in LISTS for kind, suffix in (("raw", ""), ("norm", "_norm"))]
-    out = one.select(F.col("id").cast("string").alias("article_id"), *[text.non_blank(F.col(c)).alias(n) for c, n in (("url", "url"), ("title_hi", "title"), ("summary_hi", "summary"), ("published_date", "published_date"), ("partner_label", "partner_label"))], F.coalesce("published_ts", F.lit(0)).alias("published_ts"), *lists)
+    out = canon.select(F.col("id").cast("string").alias("article_id"), *[text.non_blank(F.col(c)).alias(n) for c, n in (("url", "url"), ("title_hi", "title"), ("summary_hi", "summary"), ("published_date", "published_date"), ("partner_label", "partner_label"))], F.coalesce("published_ts", F.lit(0)).alias("published_ts"), *lists)
     out = out.withColumn("primary_category", F.get("categories", F.lit(0)))
     if images is None:
         return out.withColumn("image_url", F.lit(None).cast("string"))
@@ -62,8 +62,13 @@ def article_metadata(canon: DataFrame, images: DataFrame | None = None) -> DataF
 
 
 def with_metadata(candidates: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Candidates with their article's columns; a missing article gives nulls, empty lists and time 0."""
-    out = candidates.join(metadata, "article_id", "left")
+    """Candidates with their article's columns; a missing article gives nulls, empty lists and time 0.
+
+    Candidates are few, so their ids are broadcast and only the articles they name are shuffled; of a repeated article the smallest row counts.
+    """
+    candidates = cut_lineage(candidates)
+    wanted = broadcast_if_small(candidates.select("article_id").distinct())
+    out = candidates.join(one_per_key(metadata.join(wanted, "article_id", "left_semi"), "article_id"), "article_id", "left")
     empty = F.array().cast("array<string>")
     return out.withColumns({c: F.coalesce(c, empty) for f in LISTS for c in (f, f"{f}_norm")} | {"published_ts": F.coalesce("published_ts", F.lit(0))})
 
@@ -94,6 +99,7 @@ def rank(candidates: DataFrame, queries: DataFrame, now_ts: int, confidence: Dat
     value = {n: F.col({"sem_chunk": "_sc", "sem_article": "_sa", "entity_conf": "entity_conf_score"}.get(n, n)) * F.lit(w) for n, w in WEIGHTS}
     parts = F.array(*[F.struct(F.lit(n).alias("name"), value[n].alias("score"), F.lit(i).alias("_o")) for i, (n, _) in enumerate(WEIGHTS)])
     order = F.array_sort(parts, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).otherwise(a["_o"] - b["_o"]))
+    # The names of the 17 features in their order.
     features = F.struct(
         F.col("lexical_score").alias("lexical_score_raw"), F.col("sem_article").alias("sem_article_raw"), F.col("sem_chunk").alias("sem_chunk_raw"),
         F.col("lex").alias("lex_norm"), F.col("_sa").alias("sem_article_norm"), F.col("_sc").alias("sem_chunk_norm"),
@@ -124,8 +130,10 @@ def page(ranked: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def with_snippets(hits: DataFrame, chunks: DataFrame, chars: int = 420) -> DataFrame:
-    """Hits with the beginning of their best chunk; the hits are the small side, chunks are read once."""
-    text_of = chunks.select("chunk_id", "chunk_text").dropDuplicates(["chunk_id"])
+    """Hits with the beginning of their best chunk. Hits are few, so their chunk ids are broadcast and only the texts they name are shuffled."""
+    hits = cut_lineage(hits)
+    wanted = broadcast_if_small(hits.select(F.col("best_chunk_id").alias("chunk_id")).distinct())
+    text_of = one_per_key(chunks.select("chunk_id", "chunk_text").join(wanted, "chunk_id", "left_semi"), "chunk_id")
     return hits.join(text_of, hits["best_chunk_id"] == text_of["chunk_id"], "left").drop("chunk_id").withColumn("snippet", text.snippet(F.col("chunk_text"), chars)).drop("chunk_text")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lekhspark.functions import dates, text, unicode
 from lekhspark.operators import canonical, chunking, feedback, gazetteer, lexical, multivalue, quality, ranking, rejects, vectors
 from lekhspark.plans import hybrid, sql
-from lekhspark.session import cut_lineage, table
+from lekhspark.session import cut_lineage, one_per_key, table
 from lekhspark.sources.upsert import latest, upsert
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -374,11 +374,16 @@ def auto_filter(spark, d):
 # ---- Lexical search
 
 
+def _articles(spark, d) -> DataFrame:
+    """One row for each article."""
+    return one_per_key(table(spark, d, "articles_canonical"), "id")
+
+
 def _lexical_docs(spark, d, whole=False) -> DataFrame:
     """Index rows, all fields if ``whole``, else those of Devanagari queries (the romanized ones need an Arrow UDF and have no SQL)."""
     if whole:
-        return cut_lineage(canonical.index_documents(table(spark, d, "articles_canonical").dropDuplicates(["id"])))
-    return table(spark, d, "articles_canonical").select("id", "title_hi", "summary_hi", "content_hi", "published_ts", "locations_norm", "tags_norm").dropDuplicates(["id"])
+        return cut_lineage(canonical.index_documents(_articles(spark, d)))
+    return _articles(spark, d).select("id", "title_hi", "summary_hi", "content_hi", "published_ts", "locations_norm", "tags_norm")
 
 
 def _asked(spark, d, whole=False) -> DataFrame:
@@ -501,7 +506,7 @@ _FUSE_CTE = f"""{_requests_sql()}, legs AS (SELECT query_id, id AS article_id, '
 
 
 def _request_rows(spark, d, whole=False) -> DataFrame:
-    titles = table(spark, d, "articles_canonical").select("id", "title_hi").dropDuplicates(["id"])
+    titles = one_per_key(table(spark, d, "articles_canonical").select("id", "title_hi"), "id")
     qv = _query_vectors(spark, d)
     asked = qv.join(titles, qv["query_id"].cast("string") == titles["id"]).select("query_id", F.col("title_hi").alias("query"))
     return _in_mode(asked.withColumn("mode", text.query_mode(F.col("query")) if whole else F.lit("dev")))
@@ -629,11 +634,12 @@ def candidate_log(spark, d, whole=False):
 
 
 def _corpus(spark, d) -> hybrid.Corpus:
-    canon = table(spark, d, "articles_canonical").dropDuplicates(["id"])
+    canon = _articles(spark, d)
     docs = cut_lineage(canonical.index_documents(canon))
     light = docs.select("id", "published_ts", *[f"{f.lower()}_norm" for f in canonical.MULTI_FIELDS], "article_type", "multimedia_type", "partner_label")
+    posts = cut_lineage(lexical.postings(docs, lexical.ALL_FIELDS))
     return hybrid.Corpus(
-        light, cut_lineage(lexical.postings(docs, lexical.ALL_FIELDS)), ranking.article_metadata(canon), table(spark, d, "article_vectors"), table(spark, d, "chunk_vectors"), table(spark, d, "chunks"), table(spark, d, "gazetteer"),
+        light, posts, lexical.token_statistics(posts), ranking.article_metadata(canon), table(spark, d, "article_vectors"), table(spark, d, "chunk_vectors"), table(spark, d, "chunks"), table(spark, d, "gazetteer"),
     )
 
 

@@ -17,10 +17,11 @@ from lekhspark.session import cut_lineage
 
 @dataclass(frozen=True)
 class Corpus:
-    """The tables a search needs; ``postings`` are those of the index rows in ``docs``."""
+    """The tables a search needs; ``postings`` are those of the index rows in ``docs``, ``vocabulary`` their tokens with counts."""
 
     docs: DataFrame
     postings: DataFrame
+    vocabulary: DataFrame
     metadata: DataFrame
     article_vectors: DataFrame
     chunk_vectors: DataFrame
@@ -70,17 +71,16 @@ def search(requests: DataFrame, corpus: Corpus, settings: Settings, query_vector
     q, _ = with_filters(canonical_queries(requests), corpus.gazetteer)
     q = cut_lineage(q)  # requests are few; every leg starts from them
     asked = q.select("query_id", F.col("query_used").alias("query"), "mode")
-    filtered = lexical.allowed_pairs(q.select("query_id", F.col("filter_by_final").alias("filter_by")), corpus.docs)
-    flagged = q.select("query_id", F.col("query_used").alias("query"), "mode", F.col("filter_by_final").isNotNull().alias("filtered"))
-    lex = lexical.search(flagged, corpus.docs, settings.lexical_k, ascii_only=settings.ascii_typos, allowed=filtered, posts=corpus.postings)
+    flagged = q.select("query_id", F.col("query_used").alias("query"), "mode", F.col("filter_by_final").alias("filter_by"))
+    lex = cut_lineage(lexical.search(flagged, corpus.docs, settings.lexical_k, ascii_only=settings.ascii_typos, posts=corpus.postings, vocabulary=corpus.vocabulary))
     if query_vectors is None:
         query_vectors = q.select("query_id", embed(text.prefixed(F.col("query_semantic"), "query")).alias("vector"))
     art = vectors.top_k(query_vectors, corpus.article_vectors, settings.article_k, "id")
     chk = vectors.top_k(query_vectors, corpus.chunk_vectors.where(F.col("article_id").isNotNull()), settings.chunk_k, "chunk_id", payload=("article_id",))
     if settings.filter_semantic:
-        keep = q.where(F.col("filter_by_final").isNull()).select("query_id")
-        art = art.join(keep, "query_id", "left_semi").unionByName(art.join(filtered, ["query_id", "id"], "left_semi"))
-        chk = chk.join(keep, "query_id", "left_semi").unionByName(chk.join(filtered.withColumnRenamed("id", "article_id"), ["query_id", "article_id"], "left_semi"))
+        filters = q.select("query_id", F.col("filter_by_final").alias("filter_by"))
+        art = lexical.passing(filters, art, corpus.docs)
+        chk = lexical.passing(filters, chk.withColumnRenamed("article_id", "id"), corpus.docs).withColumnRenamed("id", "article_id")
     candidates = ranking.with_metadata(ranking.fuse(lex, art, chk, settings.cap), corpus.metadata)
     ranked = ranking.rank(candidates, asked, settings.now_ts, q.select("query_id", "entity_conf"))
     shown = ranking.with_snippets(ranking.page(ranked, q.select("query_id", "page", "per_page")), corpus.chunks)
@@ -116,7 +116,7 @@ class Layout:
 
 
 #: Stages in order with what each needs.
-STAGES = ("canonical", "gazetteer", "index_documents", "postings", "chunks", "article_vectors", "chunk_vectors")
+STAGES = ("canonical", "gazetteer", "index_documents", "postings", "vocabulary", "chunks", "article_vectors", "chunk_vectors")
 
 
 def run_pipeline(spark: SparkSession, raw: DataFrame, layout: Layout, embed=None, rebuild: bool = False) -> Corpus:
@@ -137,7 +137,8 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, layout: Layout, embed=None
     gaz = stage("gazetteer", lambda: gazetteer.build(canon))
     docs = stage("index_documents", lambda: canonical.index_documents(canon))
     posts = stage("postings", lambda: lexical.postings(docs, lexical.ALL_FIELDS))
+    words = stage("vocabulary", lambda: lexical.token_statistics(posts))
     chunks = stage("chunks", lambda: chunking.chunk_articles(canon))
     art = stage("article_vectors", lambda: vectors.embed_articles(canon, embed))
     chk = stage("chunk_vectors", lambda: vectors.embed_chunks(chunks, embed))
-    return Corpus(docs, posts, ranking.article_metadata(canon), art, chk, chunks, gaz)
+    return Corpus(docs, posts, words, ranking.article_metadata(canon), art, chk, chunks, gaz)

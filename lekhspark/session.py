@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings every session gets. Partition counts are left to AQE and to the caller.
 BASE_CONF = {
@@ -14,6 +17,7 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # a checkpoint goes when nothing refers to it any more
     "spark.ui.enabled": "false",
 }
 
@@ -31,7 +35,7 @@ def build_session(master: str = "local[*]", app: str = "lekhspark", **conf: str)
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where that is unset (local tests) a folder of this machine is used.
+    Only where that is unset and all runs in this process (local tests) a folder of this machine is used, and removed at the end; elsewhere an unset folder is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -40,7 +44,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(Path(tempfile.mkdtemp(prefix="lekhspark-ckpt-")).as_uri())
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="lekhspark-ckpt-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(Path(folder).as_uri())
     return sc.getCheckpointDir()
 
 
@@ -70,6 +78,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``max_rows`` rows (they are counted, never further), else as it is."""
-    from pyspark.sql import functions as F
-
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def one_per_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Of each key the row that is smallest by its other columns in their order (nulls first), so the choice doesn't depend on partitions."""
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    return df.groupBy(*keys).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("_row")).select(*keys, "_row.*").select(*df.columns)

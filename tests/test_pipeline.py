@@ -155,12 +155,20 @@ def test_filters_and_typos(spark):
     assert got == [(1, "1", 12.0), (1, "2", 3.0), (3, "1", 3.0)]
 
 
-def test_filters_in_blocks(spark):
-    docs = spark.createDataFrame([(str(i), i) for i in range(6)], "id string, published_ts bigint")
-    q = spark.createDataFrame([(n, f"published_ts:>={n}") for n in range(5)] + [(7, "published_ts:>=4"), (8, None)], "query_id bigint, filter_by string")
-    want = sorted([(n, str(i)) for n in range(5) for i in range(n, 6)] + [(7, "4"), (7, "5")])
-    for block in (2, 5, 10_000):
-        assert sorted(map(tuple, lexical.allowed_pairs(q, docs, block=block).collect())) == want
+def test_filters_of_many_queries(spark):
+    docs = spark.createDataFrame([(str(i), i, ["a", f"t{i}"] if i % 2 else None, "word") for i in range(6)], "id string, published_ts bigint, tags_norm array<string>, title_hi string")
+    texts = [f"published_ts:>={n}" for n in range(5)] + ["published_ts:>=4", None, "tags_norm:=[`t1`,`t3`] || (published_ts:<1 && tags_norm:!=a)", "tags_norm:=a && published_ts:<=3", "title_hi:=word"]
+    q = spark.createDataFrame([(n, "word", "dev", f) for n, f in enumerate(texts)], "query_id bigint, query string, mode string, filter_by string")
+    want = {n: {r["id"] for r in (docs if f is None else docs.where(lexical.parse_filter(f, docs))).collect()} for n, f in enumerate(texts)}
+    assert want[7] == {"0", "1", "3"} and want[8] == {"1", "3"} and len(want[9]) == 6
+    got = {}
+    for r in lexical.search(q, docs).collect():
+        got.setdefault(r["query_id"], set()).add(r["id"])
+    assert got == want
+    pairs = q.select("query_id").crossJoin(docs.select("id"))
+    assert {(r["query_id"], r["id"]) for r in lexical.passing(q, pairs, docs).collect()} == {(n, i) for n, ids in want.items() for i in ids}
+    with pytest.raises(Exception, match="no field"):
+        lexical.search(q.withColumn("filter_by", F.lit("nofield:=1")), docs).count()
 
 
 def _distance(a, b):
