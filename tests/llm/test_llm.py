@@ -224,6 +224,22 @@ def test_neighbours_against_brute_force(spark):
     assert ("k00050", "k00051") in pairs and ("k00000", "k00005") in pairs and ("k00000", "k00006") not in pairs
 
 
+def test_split_parts_give_the_same_neighbours(spark):
+    x = _vectors(900, seed=3)
+    x[:500] = x[0] + np.random.default_rng(1).normal(size=(500, 64)).astype(np.float32) * 0.05  # one topic holds more than half
+    df = spark.createDataFrame([(f"k{i:05d}", v.tolist()) for i, v in enumerate(x)], "id string, vector array<float>")
+    near = lambda **kw: {r["id"]: [(n["id"], n["cos"]) for n in r["near"]] for r in knn.neighbours(df, "id", **kw).collect()}
+    whole, split = near(part_cells=4), near(part_cells=4, part_rows=60)
+    assert whole == split and len(whole) == 900
+    plan = knn.plan_table(x, knn.fit_landmarks(x, 12, 0), 8, 900, 60, 4)
+    assert plan["points"].max() > 2 and plan["queries"].max() > 2
+    close = knn.neighbours(df, "id", least=0.9).collect()
+    want = {i: [x for x in n if x[1] >= 0.9] for i, n in whole.items()}
+    assert {r["id"]: [(n["id"], n["cos"]) for n in r["near"]] for r in close} == {i: n for i, n in want.items() if n}
+    twice = near(tables=2, probes=3)
+    assert all(len({b for b, _ in n}) == len(n) == 5 for n in twice.values())
+
+
 def test_every_copy_has_its_neighbours(spark, tmp_path):
     from lekhspark.llm import queries
 
