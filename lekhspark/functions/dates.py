@@ -39,9 +39,47 @@ def parse_timestamp(text: Column) -> Column:
     return out
 
 
+_MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+_MON = "(" + "|".join(_MONTHS) + ")[a-z]*"
+_TIME = r"(?:(?:\s*,)?(?:\s*T\s*|\s+(?:at\s+)?)(\d{1,2}):(\d{2})(?::(\d{2})(?:\.\d{1,9})?)?(?:\s*([ap])\.?m\.?)?(?:\s*(Z|UTC|GMT|[+-]\d{2}:?\d{2}))?)?"
+#: Shapes of dates inside a text with the places of year, month and day among their groups; the time's five groups follow.
+_SHAPES = (
+    (r"(?i)(?<![\d.:/-])(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?!\d)" + _TIME, (1, 2, 3)),
+    (r"(?i)(?<![\d.:/-])(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})(?![\d/-])" + _TIME, (3, 1, 2)),
+    (rf"(?i)(?<!\d)(\d{{1,2}})(?:st|nd|rd|th)?(?:\s+of)?[\s.-]+{_MON}[\s.,-]+(\d{{4}}|\d{{2}})(?![\d:])" + _TIME, (3, 2, 1)),
+    (rf"(?i)\b{_MON}\.?[\s-]+(\d{{1,2}})(?:st|nd|rd|th)?(?:\s*,\s*|\s+)(\d{{4}})(?!\d)" + _TIME, (3, 1, 2)),
+)
+
+
 def to_iso(text: Column) -> Column:
-    """ISO 8601 text of a date in any accepted notation; null if there is none (missing parts are never filled in)."""
-    return F.date_format(parse_timestamp(text), "yyyy-MM-dd'T'HH:mm:ss")
+    """ISO 8601 text of the first date in a text, with the offset from UTC where one is given; null if there is none or no real one.
+
+    Years come first, or months do, or days where a month would be over 12; months may be names, days carry endings, years have two
+    digits (69 to 99 are of the last century). A missing time is midnight; nothing else is filled in. Fractions of seconds are dropped.
+    """
+    t = F.trim(text)
+    out = None
+    for shape, (y, m, d) in _SHAPES:
+        part = lambda i, shape=shape: F.regexp_extract(t, shape, i)
+        number = lambda c: F.when(c != "", c.cast("int"))
+        year, month, day = number(part(y)), part(m), number(part(d))
+        year = F.when(F.length(part(y)) > 2, year).otherwise(year + F.when(year < 69, 2000).otherwise(1900))
+        if _MON in shape:
+            month = F.array_position(F.array(*map(F.lit, _MONTHS)), F.lower(F.substring(month, 1, 3))).cast("int")
+        else:
+            month = number(month)
+        if (y, m, d) == (3, 1, 2) and _MON not in shape:  # with slashes the month comes first if it can
+            swap = (month > 12) & (day <= 12)
+            month, day = F.when(swap, day).otherwise(month), F.when(swap, month).otherwise(day)
+        hour = F.coalesce(number(part(4)), F.lit(0))
+        half = F.lower(part(7))
+        hour = F.when(half == "p", hour % 12 + 12).when(half == "a", hour % 12).otherwise(hour)
+        ts = F.try_make_timestamp(year, month, day, hour, F.coalesce(number(part(5)), F.lit(0)), F.coalesce(number(part(6)), F.lit(0)).cast("decimal(8,6)"))
+        zone = F.upper(part(8))
+        offset = F.when(zone == "", "").when(zone.isin("Z", "UTC", "GMT"), "+00:00").otherwise(F.concat(F.substring(zone, 1, 3), F.lit(":"), F.substring(zone, -2, 2)))
+        iso = F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), offset)
+        out = F.when(t.rlike(shape), iso) if out is None else out.when(t.rlike(shape), iso)
+    return out
 
 
 def to_epoch(iso: Column) -> Column:

@@ -37,14 +37,6 @@ def first_non_blank(*cs: Column, default: str = "") -> Column:
     return F.coalesce(*[non_blank(c) for c in cs], F.lit(default))
 
 
-# The character references that the cleaning resolves, in this order.
-ENTITIES = (
-    ("&nbsp;", " "), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"), ("&lsquo;", "‘"), ("&rsquo;", "’"),
-    ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"), ("&zwnj;", "‌"), ("&zwj;", "‍"), ("&shy;", "­"),
-    ("&#8211;", "–"), ("&#8212;", "—"), ("&#8216;", "‘"), ("&#8217;", "’"), ("&#8220;", "“"), ("&#8221;", "”"), ("&#8230;", "…"),
-    ("&#039;", "'"), ("&#39;", "'"), ("&#160;", " "), ("&#38;", "&"), ("&apos;", "'"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"),
-)
-
 # The markup steps, each a pattern and what it becomes; they are tried in this order.
 HTML_STEPS = (
     (r"(?is)<script.*?>.*?</script>", " "),
@@ -66,21 +58,26 @@ def collapse_space(c: Column) -> Column:
     return trim_all(c)
 
 
+#: A tag that is opened and never closed: what follows can't be told from the tag.
+_UNCLOSED = r"(?s)<[a-zA-Z/!][^<>]*$"
+
+
 def html_to_text(c: Column) -> Column:
-    """Readable text of post markup: scripts, short codes, comments and tags gone, blocks as paragraphs; null becomes ""."""
+    """Readable text of post markup: scripts, short codes, comments and tags gone, blocks as paragraphs, character references resolved once; null becomes ""."""
+    from lekhspark.functions.unicode import resolved
+
     t = F.coalesce(c, F.lit(""))
     for pattern, to in HTML_STEPS:
         t = F.regexp_replace(t, pattern, to)
-    for name, char in ENTITIES:
-        t = F.replace(t, F.lit(name), F.lit(char))
-    return collapse_space(t)
+    return collapse_space(resolved(t))
 
 
-def html_stats(c: Column) -> Column:
-    """ok, reason and the lengths before and after; the null text counts as parsed."""
-    clean = html_to_text(c)
+def html_stats(c: Column, clean: Column | None = None) -> Column:
+    """ok, reason and the lengths before and after; the null text counts as parsed, one that ends inside a tag doesn't."""
+    clean = html_to_text(c) if clean is None else clean
+    ok = ~F.coalesce(c.rlike(_UNCLOSED), F.lit(False))
     return F.struct(
-        F.lit(True).alias("ok"), F.when(c.isNull(), "null").otherwise("parsed").alias("reason"),
+        ok.alias("ok"), F.when(c.isNull(), "null").when(ok, "parsed").otherwise("unclosed tag").alias("reason"),
         F.coalesce(F.length(c), F.lit(0)).alias("original_len"), F.length(clean).alias("clean_len"),
     )
 
@@ -118,6 +115,11 @@ def split_pipe(c: Column) -> Column:
     return F.coalesce(parts, F.array().cast("array<string>"))
 
 
+def as_list(c: Column, is_array: bool) -> Column:
+    """A list column as it is, a plain one as a list of its value; null gives the empty list."""
+    return clean_list(c if is_array else F.when(c.isNotNull(), F.array(c.cast("string"))))
+
+
 def clean_list(c: Column) -> Column:
     """The list without null and blank values; null gives the empty list."""
     return F.coalesce(F.filter(c, lambda x: ~is_nullish(x)), F.array().cast("array<string>"))
@@ -209,11 +211,25 @@ def count_words(c: Column) -> Column:
     return F.regexp_count(F.coalesce(c, F.lit("")), F.lit(f"{NOT_WS}+"))
 
 
-def truncate_words(c: Column, n: int) -> Column:
-    """text, was_truncated, tokens: the first ``n`` words joined by spaces where there are more, else the text."""
-    w = words(c)
+class Tokenizer:
+    """How sizes are measured: ``tokens`` gives the array of a text's tokens, ``count`` their number, ``join`` puts some of them together again.
+
+    Any other set of functions of Columns can stand for the default, for instance Arrow UDFs over the vocabulary of a model.
+    """
+
+    def __init__(self, tokens=words, count=None, join=lambda ts: F.array_join(ts, " ")):
+        self.tokens, self.join = tokens, join
+        self.count = count or (lambda c: F.size(tokens(c)))
+
+
+WORDS = Tokenizer(words, count_words)
+
+
+def truncate_words(c: Column, n: int, tokenizer: Tokenizer = WORDS) -> Column:
+    """text, was_truncated, tokens: the first ``n`` tokens where there are more, else the text."""
+    w = tokenizer.tokens(c)
     over = F.size(w) > n
-    return F.struct(F.when(over, F.array_join(F.slice(w, 1, n), " ")).otherwise(F.coalesce(c, F.lit(""))).alias("text"), over.alias("was_truncated"), F.size(w).alias("tokens"))
+    return F.struct(F.when(over, tokenizer.join(F.slice(w, 1, n))).otherwise(F.coalesce(c, F.lit(""))).alias("text"), over.alias("was_truncated"), F.size(w).alias("tokens"))
 
 
 def prefixed(c: Column, kind: str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import re
 import unicodedata
 from collections.abc import Callable
@@ -45,6 +46,8 @@ def repair_text(s: str) -> str:
 
 
 repair = _text_udf(repair_text)
+#: HTML character references, numeric and named, resolved once (what comes out is not looked at again).
+resolved = _text_udf(lambda s: html.unescape(s) if "&" in s else s)
 nfkc = _text_udf(lambda s: unicodedata.normalize("NFKC", s))
 repaired_nfkc = _text_udf(lambda s: unicodedata.normalize("NFKC", repair_text(s)))
 
@@ -98,13 +101,16 @@ HK_CONSONANTS = dict(
 )
 HK_MARKS = {"ं": "M", "ः": "H", "ँ": "~", "ऽ": "'", "।": "|", "॥": "||", "ॐ": "OM"} | {chr(0x966 + d): str(d) for d in range(10)}
 _VIRAMA, _NUKTA = "्", "़"
+_WITH_NUKTA = re.compile("[\u0929\u0931\u0934\u0958-\u095f]")
 
 
 def to_roman_text(s: str) -> str:
     """Devanagari to Harvard-Kyoto: a consonant carries ``a`` unless a vowel sign or a virama follows; other characters stay."""
     out: list[str] = []
     bare = False  # a consonant still waits for its vowel
-    for ch in unicodedata.normalize("NFD", s) if "ऀ" <= max(s, default="") else s:
+    if "ऀ" <= max(s, default=""):
+        s = _WITH_NUKTA.sub(lambda m: unicodedata.normalize("NFD", m[0]), s)
+    for ch in s:
         if ch in HK_CONSONANTS:
             if bare:
                 out.append("a")

@@ -70,9 +70,9 @@ def normalize_metadata(cleaned: DataFrame) -> DataFrame:
     for f in MULTI_FIELDS:
         out = out.withColumn(f"{f.lower()}_raw", unicode.clean_tokens(text.split_pipe(F.col(f))))
         out = out.withColumn(f"{f.lower()}_norm", unicode.normal_tokens(F.col(f"{f.lower()}_raw")))
-    iso = dates.to_iso(F.col("Date"))
+    out = out.withColumn("published_date", dates.to_iso(F.col("Date")))
     return out.withColumns({
-        "published_date": iso, "published_ts": dates.to_epoch(iso), "url": text.non_blank(text.trim_all(F.col("Permalink"))),
+        "published_ts": dates.to_epoch(F.col("published_date")), "url": text.non_blank(text.trim_all(F.col("Permalink"))),
         "article_type": F.col("wph_article_type"), "multimedia_type": F.col("wph_multimedia_type"), "partner_label": F.col("wph_partner_label"),
     })
 

@@ -27,13 +27,13 @@ def check_sizes(max_tokens: int, overlap: int, hard_max: int) -> None:
         raise ValueError("the overlap must be smaller than hard_max")
 
 
-def windows(c: Column, hard_max: int = HARD_MAX, overlap: int = OVERLAP) -> Column:
+def windows(c: Column, hard_max: int = HARD_MAX, overlap: int = OVERLAP, tokenizer: text.Tokenizer = text.WORDS) -> Column:
     """The text itself if it fits (blank: nothing), else windows of ``hard_max`` tokens, each starting ``hard_max - max(1, overlap)`` after the last."""
     step = hard_max - max(1, overlap)
-    w = text.words(c)
+    w = tokenizer.tokens(c)
     n = F.size(w)
     t = text.trim_all(F.coalesce(c, F.lit("")))
-    cut = F.transform(F.sequence(F.lit(0), n - 1, F.lit(step)), lambda i: F.array_join(F.slice(w, i + 1, F.lit(hard_max)), " "))
+    cut = F.transform(F.sequence(F.lit(0), n - 1, F.lit(step)), lambda i: tokenizer.join(F.slice(w, i + 1, F.lit(hard_max))))
     return F.when(n == 0, F.array().cast("array<string>")).when(n <= hard_max, F.array(t)).otherwise(cut)
 
 
@@ -45,15 +45,15 @@ def window_bounds(n: Column, hard_max: int = HARD_MAX, overlap: int = OVERLAP) -
     return F.when(n <= 0, F.array().cast("array<struct<start:int,end:int>>")).when(n <= hard_max, one).otherwise(many)
 
 
-def pack(paras: Column, max_tokens: int = MAX_TOKENS, hard_max: int = HARD_MAX, overlap: int = OVERLAP) -> Column:
+def pack(paras: Column, max_tokens: int = MAX_TOKENS, hard_max: int = HARD_MAX, overlap: int = OVERLAP, tokenizer: text.Tokenizer = text.WORDS) -> Column:
     """Chunks from an array of paragraphs: one fold over it, carrying the closed chunks and the open group."""
     strings = "array<string>"
-    sized = F.transform(paras, lambda p: F.struct(p.alias("p"), text.count_words(p).alias("n")))
+    sized = F.transform(paras, lambda p: F.struct(p.alias("p"), tokenizer.count(p).alias("n")))
     parted = F.transform(
         sized,
         lambda x: F.struct(
             x["p"].alias("p"), x["n"].alias("n"),
-            F.when(x["n"] > max_tokens, F.flatten(F.transform(text.sentence_parts(x["p"]), lambda s: F.when(text.count_words(s) <= max_tokens, F.array(s)).otherwise(windows(s, hard_max, overlap))))).alias("parts"),
+            F.when(x["n"] > max_tokens, F.flatten(F.transform(text.sentence_parts(x["p"]), lambda s: F.when(tokenizer.count(s) <= max_tokens, F.array(s)).otherwise(windows(s, hard_max, overlap, tokenizer))))).alias("parts"),
         ),
     )
     start = F.struct(F.array().cast(strings).alias("done"), F.array().cast(strings).alias("open"), F.lit(0).alias("n"))
@@ -66,7 +66,7 @@ def pack(paras: Column, max_tokens: int = MAX_TOKENS, hard_max: int = HARD_MAX,
         return F.when(x["n"] > max_tokens, own).when(acc["n"] + x["n"] <= max_tokens, joined).otherwise(fresh)
 
     packed = F.aggregate(parted, start, step, closed)
-    return F.filter(F.flatten(F.transform(packed, lambda c: windows(c, hard_max, overlap))), lambda c: c != "")
+    return F.filter(F.flatten(F.transform(packed, lambda c: windows(c, hard_max, overlap, tokenizer))), lambda c: c != "")
 
 
 def context_text(title: Column, summary: Column, content: Column) -> Column:
@@ -75,22 +75,30 @@ def context_text(title: Column, summary: Column, content: Column) -> Column:
     return text.join_non_blank(title, summary, lead)
 
 
-def chunk_articles(articles: DataFrame, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP, hard_max: int = HARD_MAX) -> DataFrame:
-    """The chunk table: ``chunk_id, article_id, chunk_index, chunk_text, chunk_tokens`` and the article's payload."""
+def chunk_articles(articles: DataFrame, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP, hard_max: int = HARD_MAX, tokenizer: text.Tokenizer = text.WORDS) -> DataFrame:
+    """The chunk table: ``chunk_id, article_id, chunk_index, chunk_text, chunk_tokens`` and the article's payload.
+
+    A chunk of more than ``hard_max`` tokens, which only a tokenizer that doesn't count its own pieces alike could give, fails the job.
+    """
     check_sizes(max_tokens, overlap, hard_max)
     paras = text.paragraphs(text.join_non_blank(F.col("title_hi"), F.col("summary_hi"), F.col("content_hi")))
-    context = windows(context_text(F.col("title_hi"), F.col("summary_hi"), F.col("content_hi")), hard_max, overlap)
-    chunks = F.concat(F.slice(context, 1, 1), pack(paras, max_tokens, hard_max, overlap))
+    context = windows(context_text(F.col("title_hi"), F.col("summary_hi"), F.col("content_hi")), hard_max, overlap, tokenizer)
+    chunks = F.concat(F.slice(context, 1, 1), pack(paras, max_tokens, hard_max, overlap, tokenizer))
     rows = articles.select("id", "url", "published_date", "published_ts", "title_hi", chunks.alias("_chunks")).select(
         F.col("id").cast("string").alias("article_id"), "url", "published_date", F.coalesce("published_ts", F.lit(0)).alias("published_ts"),
         F.coalesce("title_hi", F.lit("")).alias("title_hi"), F.posexplode("_chunks").alias("chunk_index", "chunk_text"),
     )
     return rows.select(
         text.chunk_id(F.col("article_id"), F.col("chunk_index")).alias("chunk_id"), "article_id", "chunk_index", "chunk_text",
-        text.count_words(F.col("chunk_text")).alias("chunk_tokens"), "url", "published_date", "published_ts", "title_hi",
+        capped(tokenizer.count(F.col("chunk_text")), hard_max).alias("chunk_tokens"), "url", "published_date", "published_ts", "title_hi",
     )
 
 
+def capped(n: Column, hard_max: int = HARD_MAX) -> Column:
+    """The number of tokens, which fails above ``hard_max``."""
+    return F.when(n <= hard_max, n).otherwise(F.raise_error(F.concat(F.lit(f"a chunk of more than {hard_max} tokens: "), n.cast("string"))).cast("int"))
+
+
 def chunk_report(articles: DataFrame, chunks: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """One row: articles, empty ones, chunks, chunks over the soft limit, the largest."""
     a = articles.agg(F.count("*").alias("n_articles"), F.count_if(text.is_nullish(F.col("content_hi"))).alias("n_empty_content"))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lekhspark.operators.ranking import LOG_TOP, RANKER, RETRIEVAL
+from lekhspark.session import cut_lineage
+from lekhspark.sources.upsert import append_log, next_ids
 
 
 def label_errors(query_level: bool = False) -> Column:
@@ -62,3 +64,28 @@ def label_summary(labels: DataFrame, candidates: DataFrame) -> DataFrame:
     j = last.join(candidates.select("query_id", "article_id", "rank"), ["query_id", "article_id"], "left")
     top = F.when(F.col("rank") <= 10, F.col("label"))
     return j.groupBy("query_id").agg(F.count("*").alias("n_labels"), F.sum("label").alias("n_relevant"), F.round(F.avg(top), 6).alias("precision_at_10"))
+
+
+def append_labels(path: str, labels: DataFrame, query_log: DataFrame) -> DataFrame:
+    """Appends the labels without errors to the label table and gives back the others, with ``errors``. Rows: created_at, query_id, article_id (null for a label of the whole query), label, note."""
+    checked = cut_lineage(check_labels(labels, query_log))
+    good = checked.where(F.size("errors") == 0).drop("errors")
+    append_log(path, good, [F.col("created_at"), F.col("query_id"), F.col("article_id"), F.col("label"), F.col("note")])
+    return checked.where(F.size("errors") > 0)
+
+
+def append_search(query_path: str, candidate_path: str, result: dict[str, DataFrame], created_at: Column, top: int = LOG_TOP) -> DataFrame:
+    """Appends a search (``hybrid.search``) to the query and candidate logs; gives ``query_id, logged_id``.
+
+    Queries get new ids; their candidates refer to these, so no candidate is without its query.
+    """
+    q = cut_lineage(query_rows(result["queries"], result["counts"], created_at).withColumnRenamed("id", "query_id"))
+    spark = q.sparkSession
+    last = spark.read.parquet(query_path).agg(F.max("id")).first()[0] or 0
+    named = cut_lineage(next_ids(q, "id", last, [F.col("query_id")]))
+    schema = spark.read.parquet(query_path).schema
+    named.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]).write.mode("append").parquet(query_path)
+    ids = named.select("query_id", F.col("id").alias("logged_id"))
+    rows = candidate_rows(result["ranked"], top).join(F.broadcast(ids), "query_id").drop("query_id").withColumnRenamed("logged_id", "query_id")
+    append_log(candidate_path, rows, [F.col("query_id"), F.col("rank")])
+    return ids

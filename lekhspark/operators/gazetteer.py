@@ -8,8 +8,10 @@ Defined cases: blank queries match nothing; null values are left out; an empty g
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 import regex
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 
 from lekhspark.functions import text
 from lekhspark.functions.unicode import to_roman_text
+from lekhspark.session import cut_lineage
+from lekhspark.sources.upsert import next_ids
 
 MAX_VALUES, PER_FIELD = 500_000, 3
 # Fields in their order, whether single tokens count, and the confidence from which they filter.
@@ -33,8 +37,10 @@ def build(canon: DataFrame, fields: tuple[str, ...] = ("locations_norm", "catego
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    w = Window.partitionBy("field").orderBy(F.length("value").desc(), "value")
-    return out.withColumn("ord", F.row_number().over(w) - 1).select("field", "ord", "value", text.roman_loose(F.col("value")).alias("value_roman"))
+    # Numbered by range partitions over all fields, then from each field's first number, so no task sorts a whole field.
+    numbered = cut_lineage(next_ids(out, "_n", -1, [F.col("field"), -F.length("value"), F.col("value")]))
+    first = numbered.groupBy("field").agg(F.min("_n").alias("_first"))
+    return numbered.join(F.broadcast(first), "field").select("field", (F.col("_n") - F.col("_first")).cast("int").alias("ord"), "value", text.roman_loose(F.col("value")).alias("value_roman"))
 
 
 def _spaced(s: str) -> str:
@@ -79,8 +85,8 @@ class Detector:
                     out.update(hit)
         return out
 
-    def detect(self, query: str, mode: str) -> list[tuple[str, int, str, int]]:
-        """field, pass, value, points: per field the first values by pass and gazetteer order."""
+    def detect(self, query: str, mode: str) -> list[tuple[str, int, int, str, int]]:
+        """field, pass, order, value, points: per field the first values by pass and gazetteer order."""
         q = _spaced(query or "")
         if not q:
             return []
@@ -101,33 +107,42 @@ class Detector:
                         for a in table.get(field, {}).get(w, ()):
                             best.setdefault(a, step)
             for a, step in sorted(best.items(), key=lambda x: (x[1], x[0]))[: self.per_field]:
-                out.append((field, step, self.values[field][a], 2 if step == 1 else 1))
+                out.append((field, step, a, self.values[field][a], 2 if step == 1 else 1))
         return out
 
 
-def detector(gazetteer: DataFrame, limit: int = MAX_VALUES) -> Detector:
-    rows = gazetteer.where(F.col("value").isNotNull()).select("field", "ord", "value", "value_roman").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} gazetteer values")
-    return Detector(sorted((r["field"], r["ord"], r["value"], r["value_roman"]) for r in rows))
+def detectors(gazetteer: DataFrame, most: int = MAX_VALUES) -> list[Detector]:
+    """One for each block of about ``most`` values."""
+    rows = gazetteer.where(F.col("value").isNotNull()).select("field", "ord", "value", "value_roman")
+    n = max(1, math.ceil(rows.count() / most))
+    blocks = [rows if n == 1 else rows.where(F.pmod(F.xxhash64("field", "ord"), F.lit(n)) == b) for b in range(n)]
+    return [Detector(sorted((r["field"], r["ord"], r["value"], r["value_roman"]) for r in block.collect())) for block in blocks]
 
 
 MATCH_SCHEMA = "query string, mode string, field string, step int, value string, points int"
 
 
-def detect(queries: DataFrame, gazetteer: DataFrame, query_col: str = "query_used", mode_col: str = "query_mode") -> DataFrame:
-    """MATCH_SCHEMA: the matched values of every distinct query."""
-    d = detector(gazetteer)
-    shared = queries.sparkSession.sparkContext.broadcast(d)
+def detect(queries: DataFrame, gazetteer: DataFrame, query_col: str = "query_used", mode_col: str = "query_mode", most: int = MAX_VALUES) -> DataFrame:
+    """MATCH_SCHEMA: the matched values of every distinct query. A gazetteer of more than ``most`` values is gone through in blocks whose best are brought together."""
+    source = queries.select(F.col(query_col).alias("query"), F.col(mode_col).alias("mode")).where(F.col("query").isNotNull()).distinct()
+    schema = MATCH_SCHEMA.replace("step int,", "step int, ord int,")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        det = shared.value
-        for f in frames:
-            out = [(q, m, *hit) for q, m in zip(f["query"], f["mode"]) for hit in det.detect(q, m)]
-            yield pd.DataFrame(out, columns=["query", "mode", "field", "step", "value", "points"])
+    def one(d: Detector) -> DataFrame:
+        shared = queries.sparkSession.sparkContext.broadcast(d)
 
-    source = queries.select(F.col(query_col).alias("query"), F.col(mode_col).alias("mode")).where(F.col("query").isNotNull()).distinct()
-    return source.mapInPandas(run, MATCH_SCHEMA)
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            det = shared.value
+            for f in frames:
+                out = [(q, m, *hit) for q, m in zip(f["query"], f["mode"]) for hit in det.detect(q, m)]
+                yield pd.DataFrame(out, columns=["query", "mode", "field", "step", "ord", "value", "points"])
+
+        return source.mapInPandas(run, schema)
+
+    parts = [one(d) for d in detectors(gazetteer, most)]
+    if len(parts) > 1:
+        w = Window.partitionBy("query", "mode", "field").orderBy("step", "ord")  # PER_FIELD rows of each block at most
+        parts = [reduce(DataFrame.unionByName, parts).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= PER_FIELD).drop("_n")]
+    return parts[0].drop("ord")
 
 
 def confidence(matches: DataFrame) -> DataFrame:

@@ -160,10 +160,11 @@ class Tokenizer:
 
 
 def gazetteer_values(gazetteer: DataFrame, limit: int = MAX_GAZETTEER) -> dict[str, list[str]]:
-    """Values by field in lower case, for the tokenizer; refuses a gazetteer beyond ``limit``."""
-    rows = gazetteer.where(F.col("value").isNotNull()).select("field", "value").distinct().limit(limit + 1).collect()
+    """Values by field in lower case, for the tokenizer: only those that hold a sign it acts on, all others need no protection. Refuses more than ``limit`` of these."""
+    signs = "[" + "".join(rf"\x{{{ord(c):x}}}" for c in {*DELIMITERS, *_QUOTES, *_OPEN, "/"}) + "]"
+    rows = gazetteer.where(F.col("value").rlike(signs)).select("field", "value").distinct().limit(limit + 1).collect()
     if len(rows) > limit:
-        raise ValueError(f"more than {limit} gazetteer values")
+        raise ValueError(f"more than {limit} gazetteer values that hold delimiters, quotes or brackets")
     out: dict[str, list[str]] = {}
     for r in rows:
         out.setdefault((r["field"] or "").lower(), []).append(r["value"])

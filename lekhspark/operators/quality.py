@@ -31,6 +31,22 @@ def contaminated(canon: DataFrame, above: float = 0.10) -> DataFrame:
     return out.where(F.col("_p") > above).drop("_p")
 
 
+def contaminated_sample(canon: DataFrame, order_col: str = "id", n: int = 25, above: float = 0.10) -> DataFrame:
+    """The report's sample: the first ``n`` such articles in ``order_col``."""
+    return contaminated(canon, above).orderBy(order_col, "snippet").limit(n)
+
+
+def chunk_samples(chunks: DataFrame, n: int = 10) -> DataFrame:
+    """The report's sample: the first ``n`` chunks by article and index."""
+    return chunks.select("article_id", "chunk_index", "chunk_id", "chunk_tokens", "chunk_text").distinct().orderBy("article_id", "chunk_index", "chunk_id").limit(n)
+
+
+def parse_report(articles: DataFrame, text_col: str = "Content") -> DataFrame:
+    """One row: texts, those whose markup could not be read as such, and those that are null."""
+    s = text.html_stats(F.col(text_col))
+    return articles.select(s.alias("s")).agg(F.count("*").alias("n_rows"), F.count_if(~F.col("s.ok")).alias("n_failed"), F.count_if(F.col("s.reason") == "null").alias("n_null"))
+
+
 def script_samples(canon: DataFrame, n: int = 50, chars: int = 160) -> DataFrame:
     """The report's sample: the first ``n`` articles by id with their script shares."""
     s = text.script_stats(F.col("content_hi"))

@@ -1,8 +1,12 @@
-"""Exact vector search for a table of queries, keyed upserts of vector tables, and the default embedding.
+"""Vector search for a table of queries, exact or by an index, the vector collections, and the default embedding.
 
-Each batch of vectors meets the query matrix (broadcast in blocks of ``BLOCK`` queries) in one matrix product and keeps its own
+Each batch of vectors meets the query matrix (broadcast in blocks of about ``BLOCK`` queries; the driver holds one block at a time) in one matrix product and keeps its own
 best ``k`` for each query; only those are shuffled and merged.
 
+An index parts the vectors into cells, each around a landmark (spherical k-means on a bounded sample); their number grows with the square root of the
+rows. A query visits the ``probes`` cells whose landmarks respond most, so of an index stored by cell only those folders are read. The exact
+way compares all rows.
+
 Defined cases: null, all-zero and non-finite vectors and those of another dimension than the query are skipped; repeated keys count once;
 ties are broken by key; fewer than ``k`` vectors give fewer hits.
 """
@@ -10,7 +14,10 @@ ties are broken by key; fewer than ``k`` vectors give fewer hits.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,8 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lekhspark.functions import text
+from lekhspark.session import settle_names
 
 BLOCK = 4_096
+#: Vectors an index is fitted on, cells for each root of the rows, and cells a query visits.
+SAMPLE_ROWS, CELLS_PER_ROOT, PROBES = 16_384, 0.3, 16
 
 
 def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,52 +50,145 @@ def _arrow_rows(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     return flat.reshape(len(at), dims), at
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, key_col: str, vec_col: str = "vector", payload: tuple[str, ...] = (), decimals: int = 9) -> DataFrame:
-    """``query_id, key_col, payload, score, rank``. ``queries``: ``query_id, vector``. Cosines are rounded so that ties are ties everywhere."""
+def _best(s: np.ndarray, k: int) -> np.ndarray:
+    """Of each row the places of its ``k`` largest numbers, largest first, the smaller place first among equals."""
+    m = s.shape[1]
+    take = min(m, k + 16)
+    if take == m:
+        return np.argsort(-s, axis=1, kind="stable")[:, :k]
+    some = np.argpartition(-s, take - 1, axis=1)[:, :take]
+    values = np.take_along_axis(s, some, 1)
+    order = np.lexsort((some, -values), axis=1)[:, :k]
+    best = np.take_along_axis(some, order, 1)
+    # Where the last of the best equals the least that was taken, equals may have been left out.
+    tied = np.flatnonzero(np.take_along_axis(s, best[:, -1:], 1)[:, 0] <= values.min(axis=1))
+    if len(tied):
+        best[tied] = np.argsort(-s[tied], axis=1, kind="stable")[:, :k]
+    return best
+
+
+def fit_landmarks(sample: np.ndarray, cells: int, seed: int = 0, rounds: int = 8) -> np.ndarray:
+    """Spherical k-means; a landmark that loses all its vectors moves to a random one."""
+    rng = np.random.default_rng(seed)
+    x = (sample / np.linalg.norm(sample, axis=1, keepdims=True)).astype(np.float32)
+    c = x[rng.choice(len(x), min(cells, len(x)), replace=False)].copy()
+    for _ in range(rounds):
+        near = np.concatenate([(x[i : i + 2048] @ c.T).argmax(1) for i in range(0, len(x), 2048)])
+        total = np.zeros_like(c)
+        np.add.at(total, near, x)
+        size = np.linalg.norm(total, axis=1)
+        c = np.where((size < 1e-6)[:, None], x[rng.choice(len(x), len(c))], total / np.maximum(size, 1e-6)[:, None])
+    return c.astype(np.float32)
+
+
+@dataclass(frozen=True)
+class VectorIndex:
+    """Vectors with their ``cell``, and the cells' landmarks. Rows without a usable vector are in cell -1, which nobody visits."""
+
+    rows: DataFrame
+    marks: np.ndarray
+
+    def write(self, path: str, key_col: str, mode: str = "overwrite") -> None:
+        """The rows in a folder for each cell, a large cell in several files."""
+        self.rows.repartition("cell", F.pmod(F.xxhash64(key_col), F.lit(8))).write.mode(mode).partitionBy("cell").parquet(f"{path}/rows")
+        marks = [(i, m.tolist()) for i, m in enumerate(self.marks)]
+        self.rows.sparkSession.createDataFrame(marks, "cell int, mark array<float>").coalesce(1).write.mode(mode).parquet(f"{path}/marks")
+
+
+def read_index(spark, path: str) -> VectorIndex:
+    marks = spark.read.parquet(f"{path}/marks").orderBy("cell").collect()  # one for each cell
+    return VectorIndex(spark.read.parquet(f"{path}/rows"), np.array([r["mark"] for r in marks], np.float32))
+
+
+def build_index(vectors: DataFrame, key_col: str, vec_col: str = "vector", dims: int = 64, sample_rows: int = SAMPLE_ROWS, cells_per_root: float = CELLS_PER_ROOT) -> VectorIndex:
+    """Every row of ``vectors`` with its cell. Landmarks are fitted on the ``sample_rows`` vectors with the smallest hash of their key, four or more for each cell."""
+    vectors = settle_names(vectors, (key_col, vec_col, "cell")).withColumnsRenamed({"cell": "cell_extra"})
+    names = vectors.columns
+    drawn = vectors.where(F.size(vec_col) == dims).select(F.col(vec_col).alias("v")).orderBy(F.xxhash64(F.col(key_col).cast("string")), F.col(key_col)).limit(sample_rows).collect()
+    x = np.array([[np.nan if e is None else e for e in r["v"]] for r in drawn], np.float64).reshape(-1, dims)
+    x = np.unique(_unit(x)[0], axis=0) if len(x) else x
+    cells = int(max(1, min(cells_per_root * vectors.count() ** 0.5, len(x) / 4)))
+    marks = fit_landmarks(x, cells) if len(x) else np.zeros((0, dims), np.float32)
+    shared = vectors.sparkSession.sparkContext.broadcast(marks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell = np.full(b.num_rows, -1, np.int32)
+            raw, own = _arrow_rows(b.column(b.num_columns - 1), dims)
+            u, at = _unit(raw)
+            if len(u) and len(shared.value):
+                cell[own[at]] = (u.astype(np.float32) @ shared.value.T).argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(cell)], names=[*b.schema.names[:-1], "cell"])
+
+    schema = ", ".join([f"c{i} {vectors.schema[c].dataType.simpleString()}" for i, c in enumerate(names)] + ["cell int"])
+    source = vectors.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col(vec_col).alias("v"))
+    return VectorIndex(source.mapInArrow(run, schema).toDF(*names, "cell"), marks)
+
+
+def top_k(queries: DataFrame, vectors: DataFrame | VectorIndex, k: int, key_col: str, vec_col: str = "vector", payload: tuple[str, ...] = (), decimals: int = 9, probes: int = PROBES) -> DataFrame:
+    """``query_id, key_col, payload, score, rank``. ``queries``: ``query_id, vector``. Cosines are rounded so that ties are ties everywhere.
+
+    ``vectors``: a table, all of whose rows are compared, or an index, of which each query visits ``probes`` cells.
+    """
     spark = queries.sparkSession
-    rows = sorted(((r["query_id"], r["vector"]) for r in queries.select("query_id", "vector").toLocalIterator() if r["vector"] is not None), key=lambda r: r[0])
+    marks = vectors.marks if isinstance(vectors, VectorIndex) else None
+    rows = vectors.rows if isinstance(vectors, VectorIndex) else vectors
     names = [key_col, *payload]
-    kinds = [vectors.schema[c].dataType.simpleString() for c in names]
+    kinds = [rows.schema[c].dataType.simpleString() for c in names]
     qkind = queries.schema["query_id"].dataType.simpleString()
     if qkind not in ("bigint", "string"):
         raise ValueError("query_id must be a bigint or a string")
     schema = ", ".join([f"query_id {qkind}", *[f"c{i} {t}" for i, t in enumerate(kinds)], "score double"])
-    source = vectors.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], F.col(vec_col).alias("v")).where(F.col("c0").isNotNull())
-    out = None
-    for start in range(0, max(1, len(rows)), BLOCK):
-        part = rows[start : start + BLOCK]
+    source = rows.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], (F.col("cell") if marks is not None else F.lit(0)).alias("cell"), F.col(vec_col).alias("v")).where(F.col("c0").isNotNull())
+    asked = queries.select("query_id", "vector").where(F.col("vector").isNotNull())
+    n_blocks = max(1, math.ceil(asked.count() / BLOCK))
+    parts = []
+    for number in range(n_blocks):
+        block = asked if n_blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == number)
         by_dims: dict[int, list] = {}
-        for q, v in part:
-            by_dims.setdefault(len(v), []).append((q, v))
-        blocks = []
+        for r in sorted(block.collect(), key=lambda r: r["query_id"]):
+            by_dims.setdefault(len(r["vector"]), []).append((r["query_id"], r["vector"]))
+        sets, cells = [], set()
         for dims, qs in by_dims.items():
-            m, at = _unit(np.array([[np.nan if e is None else e for e in v] for _, v in qs], np.float64).reshape(len(qs), dims))
-            blocks.append((dims, [qs[i][0] for i in at], m))
-        shared = spark.sparkContext.broadcast(blocks)
+            if marks is not None and dims != marks.shape[1]:
+                continue
+            q, at = _unit(np.array([[np.nan if e is None else e for e in v] for _, v in qs], np.float64).reshape(len(qs), dims))
+            visits = None
+            if marks is not None and len(marks):
+                visits = np.zeros((len(q), len(marks)), bool)
+                np.put_along_axis(visits, _best(q.astype(np.float32) @ marks.T, min(probes, len(marks))), True, axis=1)
+                cells.update(np.flatnonzero(visits.any(axis=0)).tolist())
+            sets.append((dims, np.array([qs[i][0] for i in at], dtype=object), q, visits))
+        shared = spark.sparkContext.broadcast(sets)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for dims, ids, q in shared.value:
+                cell = b.column(len(names)).to_numpy()
+                for dims, ids, q, visits in shared.value:
                     raw, own = _arrow_rows(b.column(b.num_columns - 1), dims)
                     x, at = _unit(raw)
                     if not len(x) or not len(q):
                         continue
-                    rows = own[at]
+                    at = own[at]
                     # Key order makes the smaller key win a tie; repeats of a key would fill places.
-                    keys = np.array(b.column(0).take(pa.array(rows)).to_pylist(), dtype=object)
+                    keys = np.array(b.column(0).take(pa.array(at)).to_pylist(), dtype=object)
                     order = pd.Series(keys).sort_values(kind="stable").drop_duplicates().index.to_numpy()
-                    s = np.round(q @ x[order].T, decimals)
-                    keep = min(k, s.shape[1])
-                    best = np.argsort(-s, axis=1, kind="stable")[:, :keep]
-                    place = pa.array(rows[order][best.ravel()])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(np.array(ids, dtype=object), keep).tolist(), pa.int64() if qkind == "bigint" else pa.string()), *[b.column(i).take(place) for i in range(len(names))], pa.array(np.take_along_axis(s, best, 1).ravel())],
-                        names=["query_id", *[f"c{i}" for i in range(len(names))], "score"],
-                    )
-
-        found = source.mapInArrow(run, schema)
-        out = found if out is None else out.unionByName(found)
-    merged = out.groupBy("query_id", "c0").agg(F.max("score").alias("score"), *[F.first(f"c{i}").alias(f"c{i}") for i in range(1, len(names))])
+                    for c in np.unique(cell[at[order]]):
+                        here = order[cell[at[order]] == c]
+                        asks = np.flatnonzero(visits[:, c]) if visits is not None else np.arange(len(q))
+                        if not len(asks):
+                            continue
+                        s = np.round(q[asks] @ x[here].T, decimals)
+                        best = _best(s, min(k, s.shape[1]))
+                        place = pa.array(at[here][best.ravel()])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.repeat(ids[asks], best.shape[1]).tolist(), pa.int64() if qkind == "bigint" else pa.string()), *[b.column(i).take(place) for i in range(len(names))], pa.array(np.take_along_axis(s, best, 1).ravel())],
+                            names=["query_id", *[f"c{i}" for i in range(len(names))], "score"],
+                        )
+
+        read = source if marks is None else source.where(F.col("cell").isin(sorted(cells)))
+        parts.append(read.mapInArrow(run, schema))
+    merged = reduce(DataFrame.unionByName, parts).groupBy("query_id", "c0").agg(F.max("score").alias("score"), *[F.min(f"c{i}").alias(f"c{i}") for i in range(1, len(names))])
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "c0")
     top = merged.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return top.select("query_id", *[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "score", "rank")
@@ -101,8 +204,8 @@ def hashing_embedding(dims: int = 64):
     """The default model, the same everywhere: signed hashed word and character-trigram counts, scaled to length 1; blank texts give zeros."""
 
     def place(feature: str) -> tuple[int, float]:
-        h = hashlib.blake2b(feature.encode(), digest_size=8).digest()
-        return int.from_bytes(h[:6], "little") % dims, 1.0 if h[7] & 1 else -1.0
+        h = hashlib.sha1(feature.encode()).digest()
+        return int.from_bytes(h[:6], "big") % dims, 1.0 if h[6] & 1 else -1.0
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -142,12 +245,56 @@ def embed_chunks(chunks: DataFrame, embed, max_tokens: int = 384) -> DataFrame:
     return t.select(*names, embed(text.prefixed(F.col("_t.text"), "passage")).alias("vector"), F.col("_t.was_truncated").alias("was_truncated"))
 
 
-def vector_points(table: DataFrame, key_col: str, dims: int) -> DataFrame:
-    """Rows of a vector collection: point id and payload; rows without a vector of ``dims`` are left out."""
+def vector_points(table: DataFrame, key_col: str, dims: int, numeric_key: bool = False) -> DataFrame:
+    """Rows of a vector collection: point id and payload; rows without a vector of ``dims`` are left out.
+
+    The point id is the key as a number (``numeric_key``; keys that are no number are refused when the rows are read) or a stable hash of it.
+    Payload: missing texts are blank, numbers 0.
+    """
     payload = [c for c in table.columns if c not in ("vector", "was_truncated")]
-    return table.where(F.size("vector") == dims).select(text.stable_id(F.col(key_col)).alias("point_id"), *payload, "vector")
+    key = F.col(key_col)
+    point = F.coalesce(key.try_cast("decimal(20,0)"), F.raise_error(F.concat(F.lit("no number: "), key)).cast("decimal(20,0)")) if numeric_key else text.stable_id(key)
+    blank = {"string": F.lit(""), "int": F.lit(0), "bigint": F.lit(0)}
+    kinds = {c: table.schema[c].dataType.simpleString() for c in payload}
+    shown = [(F.coalesce(F.col(c), blank[kinds[c]].cast(kinds[c])) if c != key_col and kinds[c] in blank else F.col(c)).alias(c) for c in payload]
+    return table.where(F.size("vector") == dims).select(point.alias("point_id"), *shown, "vector")
+
+
+def create_collection(spark, path: str, payload: str, dims: int) -> None:
+    """An empty collection in place of any there is; ``payload``: its columns beside ``point_id`` and ``vector``. The size is kept in the schema."""
+    schema = T.StructType.fromDDL(f"point_id decimal(20,0), {payload}, vector array<float>")
+    schema["vector"].metadata["dims"] = dims
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+
+
+def collection_dims(spark, path: str) -> int:
+    return spark.read.parquet(path).schema["vector"].metadata["dims"]
+
+
+def upsert_points(spark, path: str, points: DataFrame) -> DataFrame:
+    """One row with what was written and what was refused (vectors of another size than the collection's), and a few refused ids; points replace those of the same id."""
+    from lekhspark.sources.upsert import replace_table, upsert
+
+    old = spark.read.parquet(path)
+    dims = old.schema["vector"].metadata["dims"]
+    fits = F.coalesce((F.size("vector") == dims) & F.col("point_id").isNotNull(), F.lit(False))
+    report = ingest_report(points.select(F.col("point_id").cast("string").alias("key"), fits.alias("ok")))
+    new = points.where(fits).select(*old.columns)
+    replace_table(upsert(old, new, ["point_id"]).withMetadata("vector", {"dims": dims}), path)
+    return report
+
+
+def ingest_report(outcome: DataFrame, samples: int = 50) -> DataFrame:
+    """``n_ok, n_failed, failed``: counts, and at most ``samples`` keys of failures, the smallest. ``outcome``: ``key, ok``."""
+    failed = outcome.where(~F.col("ok")).select("key").orderBy("key").limit(samples).agg(F.sort_array(F.collect_list("key")).alias("failed"))
+    return outcome.agg(F.count_if("ok").alias("n_ok"), F.count_if(~F.col("ok")).alias("n_failed")).crossJoin(F.broadcast(failed))
 
 
-def truncation_report(table: DataFrame) -> DataFrame:
-    """One row: vectors, and those of truncated texts."""
-    return table.agg(F.count("*").alias("n"), F.count_if("was_truncated").alias("n_truncated"))
+def truncation_report(articles: DataFrame, chunks: DataFrame, samples: int = 10) -> DataFrame:
+    """One row: vectors and truncated ones of both tables, and at most ``samples`` examples, articles before chunks, by key."""
+    a = articles.select(F.lit(0).alias("o"), F.col("id").alias("key"), "was_truncated")
+    both = a.unionByName(chunks.select(F.lit(1).alias("o"), F.col("chunk_id").alias("key"), "was_truncated"))
+    few = both.where("was_truncated").orderBy("o", "key").limit(samples).agg(F.transform(F.sort_array(F.collect_list(F.struct("o", "key"))), lambda x: x["key"]).alias("examples"))
+    count = lambda o: (F.count_if(F.col("o") == o), F.count_if((F.col("o") == o) & F.col("was_truncated")))
+    (n_a, t_a), (n_c, t_c) = count(0), count(1)
+    return both.agg(n_a.alias("n_articles"), t_a.alias("truncated_articles"), n_c.alias("n_chunks"), t_c.alias("truncated_chunks")).crossJoin(F.broadcast(few))

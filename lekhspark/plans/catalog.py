@@ -6,7 +6,6 @@ Searches take as queries every row of the query log, or every vector, whose id i
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,15 +22,11 @@ ORACLE_SQL: dict[str, str] = {}
 NOW = 1_735_689_600
 
 
-def query(oracle: str | None = None, whole: bool = False):
-    """``whole``: the SQL covers a part of the job only; ``NAME_all`` does all of it and has no SQL."""
-
+def query(oracle: str | None = None):
     def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         QUERIES[f.__name__] = f
         if oracle is not None:
             ORACLE_SQL[f.__name__] = oracle
-        if whole:
-            QUERIES[f"{f.__name__}_all"] = partial(f, whole=True)
         return f
 
     return register
@@ -77,10 +72,18 @@ def p6_value_counts(spark, d):
 # ---- Text of posts
 
 
-@query(f"SELECT src_row, {sql.html('Content')} AS clean_text, coalesce(length(Content), 0) AS original_len, length({sql.html('Content')}) AS clean_len FROM articles")
+@query(
+    f"""SELECT src_row, {sql.html('Content')} AS clean_text, coalesce(length(Content), 0) AS original_len, length({sql.html('Content')}) AS clean_len,
+    NOT coalesce(regexp_matches(Content, '<[a-zA-Z/!][^<>]*$'), false) AS ok FROM articles"""
+)
 def html_clean(spark, d):
-    t = table(spark, d, "articles").select("src_row", text.html_to_text(F.col("Content")).alias("clean_text"), text.html_stats(F.col("Content")).alias("s"))
-    return t.select("src_row", "clean_text", "s.original_len", "s.clean_len")
+    t = table(spark, d, "articles").select("src_row", "Content", text.html_to_text(F.col("Content")).alias("clean_text"))
+    return t.withColumn("s", text.html_stats(F.col("Content"), F.col("clean_text"))).select("src_row", "clean_text", "s.original_len", "s.clean_len", "s.ok")
+
+
+@query("SELECT count(*) AS n_rows, count(*) FILTER (WHERE regexp_matches(Content, '<[a-zA-Z/!][^<>]*$')) AS n_failed, count(*) FILTER (WHERE Content IS NULL) AS n_null FROM articles")
+def parse_report(spark, d):
+    return quality.parse_report(table(spark, d, "articles"))
 
 
 @query(f"SELECT src_row, {sql.collapse(sql.sub("coalesce(Content, '')", '(?s)<[^>]+>', ' '))} AS stripped FROM articles")
@@ -128,14 +131,10 @@ def load_report(spark, d):
     return canonical.load_report(canonical.load_raw(table(spark, d, "articles")))
 
 
-_DUCK_FORMATS = ("%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%SZ", "%m/%d/%Y", "%B %d, %Y")
-_TS = "coalesce(" + ", ".join(f"try_strptime(trim(Date), '{f}')" for f in _DUCK_FORMATS) + ")"
-
-
-@query(f"SELECT src_row, strftime({_TS}, '%Y-%m-%dT%H:%M:%S') AS iso, coalesce(epoch({_TS})::BIGINT, 0) AS epoch_s FROM articles")
+@query(f"SELECT src_row, {sql.iso('Date')} AS iso, {sql.epoch(sql.iso('Date'))} AS epoch_s FROM articles")
 def date_epoch(spark, d):
-    iso = dates.to_iso(F.col("Date"))
-    return table(spark, d, "articles").select("src_row", iso.alias("iso"), dates.to_epoch(iso).alias("epoch_s"))
+    t = table(spark, d, "articles").select("src_row", dates.to_iso(F.col("Date")).alias("iso"))
+    return t.select("src_row", "iso", dates.to_epoch(F.col("iso")).alias("epoch_s"))
 
 
 @query(f"SELECT id, round(CASE WHEN published_ts <= 0 THEN 0 ELSE greatest(0.0, 1.0 - greatest(0.0, ({NOW} - published_ts) / 86400.0) / 1095.0) END, 6) AS recency FROM articles_canonical")
@@ -143,38 +142,76 @@ def recency(spark, d):
     return table(spark, d, "articles_canonical").select("id", F.round(dates.recency(F.col("published_ts"), F.lit(NOW)), 6).alias("recency"))
 
 
-def _pipe_sql(f: str) -> str:
-    return f"list_filter(list_transform(string_split(coalesce({f}, ''), '|'), lambda x: {sql.trim('x')}), lambda x: x <> '')"
-
-
-@query("SELECT src_row, " + ", ".join(f"array_to_string({_pipe_sql(f)}, '¦') AS {f.lower()}_values" for f in canonical.MULTI_FIELDS) + " FROM articles")
+@query("SELECT src_row, " + ", ".join(f"array_to_string({sql.pipe(f)}, '¦') AS {f.lower()}_values" for f in canonical.MULTI_FIELDS) + " FROM articles")
 def pipe_metadata(spark, d):
     return table(spark, d, "articles").select("src_row", *[F.array_join(text.split_pipe(F.col(f)), "¦").alias(f"{f.lower()}_values") for f in canonical.MULTI_FIELDS])
 
 
-@query("SELECT " + ", ".join(f"count(*) FILTER (WHERE len({_pipe_sql(f)}) = 0) AS empty_{f.lower()}" for f in canonical.MULTI_FIELDS) + " FROM articles")
+@query("SELECT " + ", ".join(f"count(*) FILTER (WHERE len({sql.pipe(f)}) = 0) AS empty_{f.lower()}" for f in canonical.MULTI_FIELDS) + " FROM articles")
 def empty_metadata(spark, d):
     lists = table(spark, d, "articles").select(*[text.split_pipe(F.col(f)).alias(f.lower()) for f in canonical.MULTI_FIELDS])
     return quality.empty_lists(lists, tuple(f.lower() for f in canonical.MULTI_FIELDS))
 
 
-@query()
+_LISTS = ("categories", "locations", "tags", "contributors")
+
+
+def _flat(df: DataFrame, *names: str) -> DataFrame:
+    """Lists as one text each, to be compared."""
+    return df.withColumns({n: F.array_join(n, "¦") for n in names})
+
+
+def _token_sql(field: str, kind: str) -> str:
+    raw = f"list_transform({sql.pipe(field)}, lambda v: {sql.clean_token('v')})"
+    return f"array_to_string({raw if kind == 'raw' else f'list_filter(list_transform({raw}, lambda v: {sql.trim(sql.nfkc("v"))}), lambda v: v <> {sql.lit("")})'}, '¦')"
+
+
+@query(f"SELECT src_row, {_token_sql('Tags', 'raw')} AS tags_raw, {_token_sql('Tags', 'norm')} AS tags_norm FROM articles")
 def clean_tokens(spark, d):
-    """Case-folded values without combining marks (no SQL: DuckDB strips vowel signs of Devanagari as well)."""
-    lists = table(spark, d, "articles").select("src_row", unicode.clean_tokens(text.split_pipe(F.col("Tags"))).alias("raw"))
-    return lists.select("src_row", F.array_join("raw", "¦").alias("tags_raw"), F.array_join(unicode.normal_tokens(F.col("raw")), "¦").alias("tags_norm"))
+    """Case-folded values without combining marks."""
+    lists = table(spark, d, "articles").select("src_row", unicode.clean_tokens(text.split_pipe(F.col("Tags"))).alias("tags_raw"))
+    return _flat(lists.withColumn("tags_norm", unicode.normal_tokens(F.col("tags_raw"))), "tags_raw", "tags_norm")
 
 
-@query()
+def _canonical_sql() -> str:
+    title = f"coalesce({sql.non_blank('_yoast_wpseo_title')}, {sql.non_blank('Title')}, '')"
+    summary = f"coalesce({sql.non_blank('wph_summary')}, {sql.non_blank('_yoast_wpseo_metadesc')}, substring(clean, 1, 400))"
+    lists = ", ".join(f"{_token_sql(f, kind)} AS {f.lower()}_{kind}" for kind in ("raw", "norm") for f in ("Categories", "Locations", "Tags", "Contributors"))
+    kept = ", ".join(f'{sql.non_blank(f"{c}")} AS "{c}"' for c in ("Date", "Title", "Content", "Permalink", "Categories", "Locations", "Tags", "Contributors", "wph_summary", "wph_article_type", "wph_multimedia_type", "_yoast_wpseo_title", "_yoast_wpseo_metadesc", "wph_partner_label"))
+    url = f"CASE WHEN NOT {sql.blank('Permalink')} THEN {sql.trim('Permalink')} END"
+    return f"""SELECT {sql.trim('ID')} AS id, {sql.iso('Date')} AS published_date, {sql.epoch(sql.iso('Date'))} AS published_ts, {url} AS url,
+      {sql.normal_or_blank(title)} AS title_hi, {sql.normal_or_blank(summary)} AS summary_hi, {sql.normal_or_blank('clean')} AS content_hi, {lists},
+      {sql.non_blank('wph_article_type')} AS article_type, {sql.non_blank('wph_multimedia_type')} AS multimedia_type, {sql.non_blank('wph_partner_label')} AS partner_label,
+      length({sql.normal_or_blank('clean')}) AS content_hi_len, {kept} FROM (SELECT *, {sql.html('Content')} AS clean FROM articles WHERE NOT {sql.blank('ID')})"""
+
+
+@query(_canonical_sql())
 def canonical_articles(spark, d):
     """The whole first phase, raw export to canonical table."""
-    return canonical.canonical(table(spark, d, "articles").drop("src_row"))
+    return _flat(canonical.canonical(table(spark, d, "articles").drop("src_row")), *[f"{f}_{kind}" for f in _LISTS for kind in ("raw", "norm")])
 
 
-@query()
+#: One row for each article, and the rows of the index made of them.
+_ONE_CTE = "one AS (SELECT id, any_value(COLUMNS(* EXCLUDE (id))) FROM articles_canonical GROUP BY id)"
+
+
+def _index_sql(source: str, lists: str) -> str:
+    shown = ", ".join(f"CASE WHEN {sql.blank(c)} THEN '' ELSE {c} END AS {c}" for c in ("url", "title_hi", "summary_hi", "content_hi"))
+    roman = ", ".join(f"{sql.roman_index(sql.hk(f'CASE WHEN {sql.blank(c)} THEN {sql.lit("")} ELSE {c} END'))} AS {c.removesuffix('_hi')}_roman_norm" for c in ("title_hi", "summary_hi", "content_hi"))
+    optional = ", ".join(f"{sql.non_blank(c)} AS {c}" for c in ("published_date", "article_type", "multimedia_type", "partner_label"))
+    mixed = f"trim(concat_ws(chr(10) || chr(10), content_hi, content_roman_norm), {sql.lit(chr(10) + ' ')})"
+    return f"SELECT *, {mixed} AS content_mixed_norm FROM (SELECT id, {shown}, {optional}, {sql.epoch('published_date')} AS published_ts, {roman}, {lists} FROM {source})"
+
+
+def _index_lists(joined: bool) -> str:
+    own = lambda f: f"list_filter(coalesce({f}_norm, []), lambda v: v IS NOT NULL AND {sql.trim('v')} <> '')"
+    return ", ".join(f"array_to_string({own(f)}, '¦') AS {f}_norm" if joined else f"{own(f)} AS {f}_norm" for f in _LISTS)
+
+
+@query(_index_sql("articles_canonical", _index_lists(True)))
 def index_documents(spark, d):
     """The search index's rows, romanized fields included."""
-    return canonical.index_documents(table(spark, d, "articles_canonical"))
+    return _flat(canonical.index_documents(table(spark, d, "articles_canonical")), *[f"{f}_norm" for f in _LISTS])
 
 
 @query("SELECT ID, Title, src_row FROM (SELECT *, row_number() OVER (PARTITION BY ID ORDER BY src_row) AS n FROM articles) WHERE n = 1")
@@ -266,17 +303,7 @@ def paragraph_split(spark, d):
     return p.select("id", (F.col("i") + 1).cast("long").alias("pos"), "paragraph", text.count_words(F.col("paragraph")).cast("long").alias("n_words"))
 
 
-def _sentence_sql(x: str) -> str:
-    t = sql.trim(f"coalesce({x}, '')")
-    parts = f"CASE WHEN {t} = '' THEN [] ELSE [{t}] END"
-    for i, sep in enumerate(text.SENTENCE_SEPARATORS):
-        segs = f"list_filter(list_transform(string_split(p{i}, {sql.lit(sep)}), lambda s{i}: {sql.trim(f's{i}')}), lambda s{i}: s{i} <> '')"
-        tail = f"lambda u{i}: u{i} || {sql.lit(sep if sep in text.KEPT_SEPARATORS else '')}"
-        parts = f"flatten(list_transform({parts}, lambda p{i}: CASE WHEN len({segs}) <= 1 THEN [p{i}] ELSE list_transform({segs}, {tail}) END))"
-    return f"list_filter(list_transform({parts}, lambda z: {sql.trim('z')}), lambda z: z <> '')"
-
-
-@query(f"SELECT chunk_id, array_to_string({_sentence_sql('chunk_text')}, '¦') AS sentences FROM chunks")
+@query(f"SELECT chunk_id, array_to_string({sql.sentences('chunk_text')}, '¦') AS sentences FROM chunks")
 def sentence_split(spark, d):
     return table(spark, d, "chunks").select("chunk_id", F.array_join(text.sentence_parts(F.col("chunk_text")), "¦").alias("sentences"))
 
@@ -289,34 +316,43 @@ def chunk_windows(spark, d):
 
 
 @query(
-    f"""WITH a AS (SELECT DISTINCT id, {sql.paragraphs('content_hi')} AS ps FROM articles_canonical),
-    p AS (SELECT id, i, {sql.n_words('ps[i]')} AS n FROM (SELECT id, ps, unnest(range(1, len(ps) + 1)) AS i FROM a))
-    , r AS (SELECT id, i, n, n AS held, 0 AS grp FROM p WHERE i = 1
-      UNION ALL SELECT p.id, p.i, p.n, CASE WHEN r.held + p.n <= 200 THEN r.held + p.n ELSE p.n END, CASE WHEN r.held + p.n <= 200 THEN r.grp ELSE r.grp + 1 END FROM r JOIN p ON p.id = r.id AND p.i = r.i + 1)
-    SELECT id, grp AS pos, count(*) AS n_paragraphs, sum(n)::BIGINT AS n_words FROM r WHERE id NOT IN (SELECT id FROM p WHERE n > 200) GROUP BY id, grp""".replace("WITH a", "WITH RECURSIVE a", 1),
-    whole=True,
+    f"""WITH RECURSIVE a AS (SELECT DISTINCT id, {sql.paragraphs('content_hi')} AS ps FROM articles_canonical), {sql.packed('a')}
+    SELECT id, row_number() OVER (PARTITION BY id ORDER BY grp, part, win) - 1 AS pos, len({sql.paragraphs('chunk')}) AS n_paragraphs, {sql.n_words('chunk')} AS n_words FROM packed"""
 )
-def chunk_pack(spark, d, whole=False):
-    """Greedy packing, of all articles if ``whole``, else of those whose paragraphs all fit."""
+def chunk_pack(spark, d):
+    """Greedy packing of all articles."""
     a = table(spark, d, "articles_canonical").select("id", text.paragraphs(F.col("content_hi")).alias("ps")).distinct()
-    fit = a if whole else a.where(~F.exists("ps", lambda p: text.count_words(p) > 200))
-    c = fit.select("id", F.posexplode(chunking.pack(F.col("ps"))).alias("pos", "chunk"))
-    return c.select("id", "pos", F.size(text.paragraphs(F.col("chunk"))).cast("long").alias("n_paragraphs"), text.count_words(F.col("chunk")).cast("long").alias("n_words"))
-
-
-def _joined(*xs: str) -> str:
-    return "concat_ws(chr(10) || chr(10), " + ", ".join(f"CASE WHEN NOT {sql.blank(x)} THEN {sql.trim(x)} END" for x in xs) + ")"
+    c = a.select("id", F.posexplode(chunking.pack(F.col("ps"))).alias("pos", "chunk"))
+    return c.select("id", F.col("pos").cast("long").alias("pos"), F.size(text.paragraphs(F.col("chunk"))).cast("long").alias("n_paragraphs"), text.count_words(F.col("chunk")).cast("long").alias("n_words"))
 
 
-@query(f"SELECT id, {_joined('title_hi', 'summary_hi', 'lead')} AS context FROM (SELECT id, title_hi, summary_hi, array_to_string(list_slice({sql.paragraphs('content_hi')}, 1, 2), chr(10) || chr(10)) AS lead FROM articles_canonical)")
+@query(f"SELECT id, {sql.joined('title_hi', 'summary_hi', 'lead')} AS context FROM (SELECT id, title_hi, summary_hi, array_to_string(list_slice({sql.paragraphs('content_hi')}, 1, 2), chr(10) || chr(10)) AS lead FROM articles_canonical)")
 def context_chunk(spark, d):
     return table(spark, d, "articles_canonical").select("id", chunking.context_text(F.col("title_hi"), F.col("summary_hi"), F.col("content_hi")).alias("context"))
 
 
-@query()
+_CHUNKS_CTE = f"""{_ONE_CTE}, a AS (SELECT id, {sql.paragraphs(sql.joined('title_hi', 'summary_hi', 'content_hi'))} AS ps FROM one), {sql.packed('a')},
+    lead AS (SELECT id, {sql.windows('t')} AS ws FROM (SELECT id, {sql.joined('title_hi', 'summary_hi', 'lead')} AS t FROM (SELECT *, array_to_string(list_slice({sql.paragraphs('content_hi')}, 1, 2), chr(10) || chr(10)) AS lead FROM one))),
+    made AS (SELECT id, grp, part, win, chunk FROM packed UNION ALL SELECT id, -1, 0, 0, ws[1] FROM lead WHERE len(ws) > 0),
+    numbered AS (SELECT id, chunk, row_number() OVER (PARTITION BY id ORDER BY grp, part, win) - 1 AS i FROM made)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_CHUNKS_CTE} SELECT id || '::c' || lpad(i::VARCHAR, 4, '0') AS chunk_id, id AS article_id, i::INT AS chunk_index, chunk AS chunk_text, {sql.n_words('chunk')}::INT AS chunk_tokens,
+    url, published_date, coalesce(published_ts, 0) AS published_ts, coalesce(title_hi, '') AS title_hi FROM numbered JOIN one USING (id)"""
+)
 def chunk_articles(spark, d):
-    """The chunk table of all articles."""
-    return chunking.chunk_articles(table(spark, d, "articles_canonical"))
+    """The chunk table of all articles, each once."""
+    return chunking.chunk_articles(_articles(spark, d))
+
+
+@query(
+    f"""WITH RECURSIVE {_CHUNKS_CTE} SELECT (SELECT count(*) FROM one) AS n_articles, (SELECT count(*) FROM one WHERE {sql.blank('content_hi')}) AS n_empty_content, count(*) AS n_chunks,
+    count(*) FILTER (WHERE {sql.n_words('chunk')} > 200) AS n_over_soft_max, max({sql.n_words('chunk')})::INT AS max_tokens_seen FROM numbered"""
+)
+def chunk_report(spark, d):
+    articles = _articles(spark, d)
+    return chunking.chunk_report(articles, chunking.chunk_articles(articles))
 
 
 @query("SELECT chunk_id, ('0x' || substring(sha1(chunk_id), 1, 16))::UBIGINT::VARCHAR AS point_id, article_id || '::c' || lpad(chunk_index::VARCHAR, 4, '0') AS expected_id FROM chunks")
@@ -339,39 +375,43 @@ def gazetteer_build(spark, d):
 
 
 def _spaced(x: str) -> str:
-    return sql.sub(f"lower({sql.trim(f"coalesce({x}, '')")})", f"{sql.WS}+", " ")
+    text_or_blank = f"coalesce({x}, '')"
+    return sql.sub(f"lower({sql.trim(text_or_blank)})", f"{sql.WS}+", " ")
 
 
-_ENTITY_CTE = f"""q AS (SELECT DISTINCT query_used AS query, query_mode AS mode FROM query_log WHERE query_used IS NOT NULL AND NOT {sql.blank('query_used')}),
-    qq AS (SELECT *, {_spaced('query')} AS s, {sql.roman_loose('query')} AS r, {sql.tokens(_spaced('query'))} AS ts FROM q),
-    g AS (SELECT field, ord, value, {_spaced('value')} AS s, value_roman AS r, {sql.tokens(_spaced('value'))} AS ts FROM gazetteer),
-    hit AS (SELECT query, mode, field, ord, value, CASE WHEN contains(qq.s, g.s) OR (mode <> 'dev' AND g.r <> '' AND contains(qq.r, g.r)) THEN 1 ELSE 2 END AS step FROM qq JOIN g
-      ON contains(qq.s, g.s) OR (mode <> 'dev' AND g.r <> '' AND contains(qq.r, g.r)) OR (field <> 'contributors' AND list_has_any(qq.ts, g.ts))),
-    m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query, mode, field ORDER BY step, ord) AS n FROM hit) WHERE n <= 3),
-    conf AS (SELECT query, mode, field, sum(CASE WHEN step = 1 THEN 2 ELSE 1 END)::INT AS confidence, list(value ORDER BY step, value) AS vs FROM m GROUP BY query, mode, field)"""
+def _entity_cte(asked: str) -> str:
+    """CTEs up to ``m`` (the matches) and ``conf`` of the distinct queries in ``asked`` (query, mode)."""
+    return f"""q AS MATERIALIZED (SELECT DISTINCT query, mode FROM ({asked}) WHERE query IS NOT NULL AND NOT {sql.blank('query')}),
+    qq AS MATERIALIZED (SELECT *, {_spaced('query')} AS s, {sql.roman_loose('query')} AS r, {sql.tokens(_spaced('query'))} AS ts, CASE WHEN mode = 'dev' THEN {sql.tokens(sql.roman_loose(sql.hk(_spaced('query'))))} ELSE [] END AS rt FROM q),
+    g AS MATERIALIZED (SELECT field, ord, value, {_spaced('value')} AS s, value_roman AS r, {sql.tokens(_spaced('value'))} AS ts, {sql.tokens(sql.roman_loose('value'))} AS rt FROM gazetteer),
+    hit AS (SELECT query, mode, field, ord, value, CASE WHEN contains(qq.s, g.s) OR (mode <> 'dev' AND g.r <> '' AND contains(qq.r, g.r)) THEN 1 WHEN list_has_any(qq.ts, g.ts) THEN 2 ELSE 3 END AS step FROM qq JOIN g
+      ON contains(qq.s, g.s) OR (mode <> 'dev' AND g.r <> '' AND contains(qq.r, g.r)) OR (field <> 'contributors' AND (list_has_any(qq.ts, g.ts) OR list_has_any(qq.rt, g.rt)))),
+    m AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query, mode, field ORDER BY step, ord) AS n FROM hit) WHERE n <= 3),
+    conf AS MATERIALIZED (SELECT query, mode, field, sum(CASE WHEN step = 1 THEN 2 ELSE 1 END)::INT AS confidence, list(value ORDER BY step, value) AS vs,
+      CASE WHEN field = 'locations' THEN 0 WHEN field = 'contributors' AND confidence >= 2 THEN 1 WHEN field = 'categories' AND confidence >= 4 THEN 2 WHEN field = 'tags' AND confidence >= 4 THEN 3 END AS o FROM m GROUP BY query, mode, field)"""
 
 
-@query(f"WITH {_ENTITY_CTE} SELECT query, mode, field, step, value FROM m")
+_LOGGED = "SELECT query_used AS query, query_mode AS mode FROM query_log"
+
+
+@query(f"WITH {_entity_cte(_LOGGED)} SELECT query, mode, field, step, value FROM m")
 def entity_match(spark, d):
     return gazetteer.detect(table(spark, d, "query_log"), table(spark, d, "gazetteer")).select("query", "mode", "field", "step", "value")
 
 
-@query(f"WITH {_ENTITY_CTE} SELECT query, mode, field, confidence, array_to_string(vs, '¦') AS matched FROM conf")
+@query(f"WITH {_entity_cte(_LOGGED)} SELECT query, mode, field, confidence, array_to_string(vs, '¦') AS matched FROM conf")
 def entity_confidence(spark, d):
     c = gazetteer.confidence(gazetteer.detect(table(spark, d, "query_log"), table(spark, d, "gazetteer")))
     return c.withColumn("matched", F.array_join("matched", "¦"))
 
 
-_RULE_SQL = "CASE " + " ".join(f"WHEN field = '{f}' AND confidence >= {n} THEN {i}" for i, (f, _, n) in enumerate(gazetteer.FIELD_RULES)) + " END"
-
-
-@query(f"""WITH {_ENTITY_CTE}, c AS (SELECT query, mode, {_RULE_SQL} AS o, field || '_norm:=[' || array_to_string(list_transform(vs, lambda v: '`' || replace(v, '`', '\\`') || '`'), ',') || ']' AS clause FROM conf)
+@query(f"""WITH {_entity_cte(_LOGGED)}, c AS (SELECT query, mode, o, field || '_norm:=[' || array_to_string(list_transform(vs, lambda v: '`' || replace(v, '`', '\\`') || '`'), ',') || ']' AS clause FROM conf)
     SELECT query, mode, string_agg(CASE WHEN o IS NOT NULL THEN clause END, ' && ' ORDER BY o) AS filter_by FROM c GROUP BY query, mode""")
 def auto_filter(spark, d):
     return gazetteer.auto_filter(gazetteer.confidence(gazetteer.detect(table(spark, d, "query_log"), table(spark, d, "gazetteer"))))
 
 
-# ---- Lexical search
+# ---- Lexical search: every logged query whose id is divisible by 50, in its logged mode, against all fields
 
 
 def _articles(spark, d) -> DataFrame:
@@ -379,18 +419,9 @@ def _articles(spark, d) -> DataFrame:
     return one_per_key(table(spark, d, "articles_canonical"), "id")
 
 
-def _lexical_docs(spark, d, whole=False) -> DataFrame:
-    """Index rows, all fields if ``whole``, else those of Devanagari queries (the romanized ones need an Arrow UDF and have no SQL)."""
-    if whole:
-        return cut_lineage(canonical.index_documents(_articles(spark, d)))
-    return _articles(spark, d).select("id", "title_hi", "summary_hi", "content_hi", "published_ts", "locations_norm", "tags_norm")
-
-
-def _asked(spark, d, whole=False) -> DataFrame:
-    """Logged queries, in their logged modes if ``whole``."""
-    q = table(spark, d, "query_log").where((F.col("id") % 50 == 0) & ~text.is_nullish(F.col("query_used")))
-    mode = F.coalesce("query_mode", text.query_mode(F.col("query_used"))) if whole else F.lit("dev")
-    return _in_mode(q.select(F.col("id").alias("query_id"), F.col("query_used").alias("query"), mode.alias("mode")))
+def _index(spark, d) -> DataFrame:
+    """The index rows, which the pipeline would have stored."""
+    return cut_lineage(canonical.index_documents(_articles(spark, d)))
 
 
 def _in_mode(q: DataFrame) -> DataFrame:
@@ -398,43 +429,56 @@ def _in_mode(q: DataFrame) -> DataFrame:
     return q.withColumn("query", F.when(F.col("mode") == "roman", text.roman_index(F.col("query"))).otherwise(F.col("query")))
 
 
-_FIELDS = (("title_hi", 6.0), ("summary_hi", 3.0), ("content_hi", 1.0))
-_POSTINGS_CTE = (
-    "docs AS (SELECT id, any_value(title_hi) AS title_hi, any_value(summary_hi) AS summary_hi, any_value(content_hi) AS content_hi, any_value(published_ts) AS ts FROM articles_canonical GROUP BY id), posts AS ("
-    + " UNION ALL ".join(f"SELECT DISTINCT unnest({sql.tokens(f)}) AS token, '{f}' AS field, {w} AS w, id FROM docs" for f, w in _FIELDS)
-    + ")"
-)
-_LEX_CTE = f"""{_POSTINGS_CTE}, asked AS (SELECT id AS query_id, query_used AS query FROM query_log WHERE id % 50 = 0 AND NOT {sql.blank('query_used')}),
-    wanted AS (SELECT DISTINCT query_id, unnest({sql.tokens('query')}) AS qtoken FROM asked), vocab AS (SELECT DISTINCT token FROM posts), qt AS (SELECT DISTINCT qtoken FROM wanted),
-    near AS (SELECT qtoken, token, 1.0 AS m FROM qt JOIN vocab ON qtoken = token UNION ALL
-      SELECT qtoken, token, 0.5 FROM qt JOIN vocab ON length(qtoken) >= 4 AND length(token) >= 4 AND strlen(qtoken) = length(qtoken) AND strlen(token) = length(token) AND abs(length(qtoken) - length(token)) <= 1 AND levenshtein(qtoken, token) = 1),
-    hits AS (SELECT query_id, posts.id, field, w, qtoken, max(m) AS m FROM wanted JOIN near USING (qtoken) JOIN posts USING (token) GROUP BY ALL),
-    scored AS (SELECT query_id, id, sum(m * w) AS lexical_score FROM hits GROUP BY ALL),
-    lex AS (SELECT * FROM (SELECT query_id, scored.id, lexical_score, row_number() OVER (PARTITION BY query_id ORDER BY lexical_score DESC, ts DESC NULLS LAST, scored.id) AS rank FROM scored JOIN docs USING (id)) WHERE rank <= 80)"""
+def _asked(spark, d) -> DataFrame:
+    q = table(spark, d, "query_log").where((F.col("id") % 50 == 0) & ~text.is_nullish(F.col("query_used")))
+    return _in_mode(q.select(F.col("id").alias("query_id"), F.col("query_used").alias("query"), F.coalesce("query_mode", text.query_mode(F.col("query_used"))).alias("mode")))
+
+
+_ASKED_SQL = f"""SELECT query_id, mode, CASE WHEN mode = 'roman' THEN {sql.roman_index('query')} ELSE query END AS query FROM
+    (SELECT id AS query_id, query_used AS query, coalesce(query_mode, {sql.mode('query_used')}) AS mode FROM query_log WHERE id % 50 = 0 AND NOT {sql.blank('query_used')})"""
+
+# The fields searched in each mode with their weights.
+_WEIGHTS_SQL = """(VALUES ('dev', 'title_hi', 6.0), ('dev', 'summary_hi', 3.0), ('dev', 'content_hi', 1.0), ('mixed', 'title_hi', 6.0), ('mixed', 'summary_hi', 3.0), ('mixed', 'content_hi', 1.0),
+    ('mixed', 'content_mixed_norm', 1.0), ('roman', 'title_roman_norm', 6.0), ('roman', 'summary_roman_norm', 3.0), ('roman', 'content_roman_norm', 1.0)) AS weights(mode, field, w)"""
+_FIELDS_SQL = ("title_hi", "summary_hi", "content_hi", "content_mixed_norm", "title_roman_norm", "summary_roman_norm", "content_roman_norm")
+_POSTINGS_CTE = f"{_ONE_CTE}, idx AS MATERIALIZED ({_index_sql('one', _index_lists(False))}), posts AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT DISTINCT unnest({sql.tokens(f)}) AS token, '{f}' AS field, id FROM idx" for f in _FIELDS_SQL) + ")"
+
+
+def _lex_cte(asked: str, passing: str = "true") -> str:
+    """CTEs up to ``lex``. A typo is found without a distance: two words of one length that are alike without one place, or one that is the other without one character."""
+    spread = lambda t: f"SELECT {t} AS t, i, substring({t}, 1, i - 1) || substring({t}, i + 1) AS rest FROM (SELECT {t}, unnest(range(1, length({t}) + 1)) AS i FROM"
+    return f"""{_POSTINGS_CTE}, asked AS MATERIALIZED ({asked}), wanted AS MATERIALIZED (SELECT DISTINCT query_id, mode, unnest({sql.tokens('query')}) AS qtoken FROM asked),
+    vocab AS MATERIALIZED (SELECT DISTINCT token FROM posts), qt AS MATERIALIZED (SELECT DISTINCT qtoken FROM wanted),
+    qv AS MATERIALIZED ({spread('qtoken')} qt WHERE length(qtoken) >= 4)), vv AS MATERIALIZED ({spread('token')} vocab WHERE length(token) >= 4)),
+    typo AS (SELECT q.t AS qtoken, v.t AS token FROM qv q JOIN vv v ON q.rest = v.rest AND q.i = v.i AND length(q.t) = length(v.t) AND q.t <> v.t
+      UNION SELECT q.t, v.token FROM qv q JOIN vocab v ON q.rest = v.token AND length(v.token) >= 4 UNION SELECT q.qtoken, v.t FROM qt q JOIN vv v ON v.rest = q.qtoken AND length(q.qtoken) >= 4),
+    near AS MATERIALIZED (SELECT qtoken, token, 1.0 AS m FROM qt JOIN vocab ON qtoken = token UNION ALL SELECT qtoken, token, 0.5 FROM typo),
+    hits AS (SELECT query_id, posts.id, posts.field, w, qtoken, max(m) AS m FROM wanted JOIN near USING (qtoken) JOIN {_WEIGHTS_SQL} USING (mode) JOIN posts ON posts.token = near.token AND posts.field = weights.field GROUP BY ALL),
+    scored AS MATERIALIZED (SELECT query_id, id, sum(m * w)::DOUBLE AS lexical_score FROM hits GROUP BY ALL),
+    lex AS MATERIALIZED (SELECT * FROM (SELECT query_id, scored.id, lexical_score, row_number() OVER (PARTITION BY query_id ORDER BY lexical_score DESC, published_ts DESC, scored.id) AS rank FROM scored JOIN idx USING (id) WHERE {passing}) WHERE rank <= 80)"""
 
 
 @query(f"WITH {_POSTINGS_CTE} SELECT token, field, count(*) AS n_docs FROM posts GROUP BY ALL")
 def postings(spark, d):
-    return lexical.token_statistics(lexical.postings(_lexical_docs(spark, d), tuple(f for f, _ in _FIELDS)))
+    """Documents by token and field."""
+    return lexical.token_statistics(lexical.postings(_index(spark, d), lexical.ALL_FIELDS))
 
 
-@query(f"WITH {_LEX_CTE} SELECT qtoken, token, m::DOUBLE AS m FROM near", whole=True)
-def fuzzy_tokens(spark, d, whole=False):
-    posts = lexical.postings(_lexical_docs(spark, d, whole), lexical.ALL_FIELDS if whole else tuple(f for f, _ in _FIELDS))
-    wanted = _asked(spark, d, whole).select(F.explode(text.tokens(F.col("query"))).alias("token"))
-    return lexical.fuzzy_tokens(wanted, posts, ascii_only=not whole)
+@query(f"WITH {_lex_cte(_ASKED_SQL)} SELECT qtoken, token, m::DOUBLE AS m FROM near")
+def fuzzy_tokens(spark, d):
+    posts = lexical.postings(_index(spark, d), lexical.ALL_FIELDS)
+    return lexical.fuzzy_tokens(_asked(spark, d).select(F.explode(text.tokens(F.col("query"))).alias("token")), posts)
 
 
-@query(f"WITH {_LEX_CTE} SELECT query_id, id, lexical_score::DOUBLE AS lexical_score, rank FROM lex", whole=True)
-def lexical_topk(spark, d, whole=False):
-    r = lexical.search(_asked(spark, d, whole), _lexical_docs(spark, d, whole), ascii_only=not whole)
-    return r.withColumn("rank", F.col("rank").cast("long"))
+@query(f"WITH {_lex_cte(_ASKED_SQL)} SELECT query_id, id, lexical_score, rank FROM lex")
+def lexical_topk(spark, d):
+    return lexical.search(_asked(spark, d), _index(spark, d)).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(f"""WITH {_LEX_CTE}, allm AS (SELECT query_id, scored.id, lexical_score, ts, count(*) OVER (PARTITION BY query_id) AS found, row_number() OVER (PARTITION BY query_id ORDER BY ts DESC NULLS LAST, lexical_score DESC, scored.id) AS place FROM scored JOIN docs USING (id))
-    SELECT query_id, id, found, place FROM allm WHERE place BETWEEN 11 AND 20""", whole=True)
-def lexical_page_by_date(spark, d, whole=False):
-    r = lexical.search_page(_asked(spark, d, whole), _lexical_docs(spark, d, whole), page=2, sort_by="published_ts:desc", ascii_only=not whole)
+@query(f"""WITH {_lex_cte(_ASKED_SQL)}, allm AS (SELECT query_id, scored.id, lexical_score, count(*) OVER (PARTITION BY query_id) AS found, row_number() OVER (PARTITION BY query_id ORDER BY published_ts DESC, lexical_score DESC, scored.id) AS place FROM scored JOIN idx USING (id))
+    SELECT query_id, id, found, place FROM allm WHERE place BETWEEN 11 AND 20""")
+def lexical_page_by_date(spark, d):
+    r = lexical.search_page(_asked(spark, d), _index(spark, d), page=2, sort_by="published_ts:desc")
     return r.select("query_id", "id", "found", F.col("place").cast("long").alias("place"))
 
 
@@ -447,24 +491,36 @@ def filter_by(spark, d):
     return docs.where(lexical.parse_filter(_FILTER, docs)).select("id")
 
 
+_KEPT_SQL = "list_has_any(locations_norm, ['सोनपुरा', 'धानपुर']) OR (published_ts < 1577836800 AND NOT list_has_any(tags_norm, ['climate']))"
+
+
+@query(f"WITH {_lex_cte(_ASKED_SQL, passing=f'({_KEPT_SQL}) OR query_id % 100 = 0')} SELECT query_id, id, rank FROM lex")
+def lexical_filtered(spark, d):
+    """Half of the queries under a filter with alternatives, a range and an exclusion."""
+    docs = _index(spark, d)
+    asked = _asked(spark, d).withColumn("filter_by", F.when(F.col("query_id") % 100 != 0, F.lit("locations_norm:=[`सोनपुरा`,`धानपुर`] || (published_ts:<1577836800 && tags_norm:!=climate)")))
+    return lexical.search(asked, docs).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
+
+
 # ---- Vector search
 
 
 def _query_vectors(spark, d) -> DataFrame:
     v = table(spark, d, "article_vectors").where(F.col("id").try_cast("long") % 50 == 0)
-    return v.groupBy(F.col("id").cast("long").alias("query_id")).agg(F.first("vector").alias("vector"))
+    return v.groupBy(F.col("id").cast("long").alias("query_id")).agg(F.min("vector").alias("vector"))
 
 
-_QV = "qv AS (SELECT key::BIGINT AS query_id, v FROM " + sql.unit_vectors("article_vectors", "id") + " WHERE try_cast(key AS BIGINT) % 50 = 0)"
+_QV = "qv_ AS MATERIALIZED (SELECT key::BIGINT AS query_id, v FROM " + sql.unit_vectors("article_vectors", "id") + " WHERE try_cast(key AS BIGINT) % 50 = 0)"
 
 
-def _top_sql(name: str, source: str, k: int, extra: str = "") -> str:
+def _top_sql(name: str, source: str, k: int, extra: str = "", asked: str = "qv_") -> str:
     e = f", {extra}" if extra else ""
-    return f"""{name} AS (SELECT query_id, key{e}, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM
-      (SELECT query_id, key{e}, round(list_cosine_similarity(qv.v::DOUBLE[], t.v::DOUBLE[]), 9) AS score FROM qv, {source} t)) WHERE rank <= {k})"""
+    return f"""{name} AS MATERIALIZED (SELECT query_id, key{e}, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM
+      (SELECT query_id, t.key{e}, round(list_cosine_similarity(a.v::DOUBLE[], t.v::DOUBLE[]), 9) AS score FROM {asked} a, {source} t)) WHERE rank <= {k})"""
 
 
-_VEC_CTE = f"{_QV}, {_top_sql('art', sql.unit_vectors('article_vectors', 'id'), 40)}, {_top_sql('chk', sql.unit_vectors('chunk_vectors', 'chunk_id', 'article_id'), 80, 'article_id')}"
+_ART_SQL, _CHK_SQL = sql.unit_vectors("article_vectors", "id"), sql.unit_vectors("chunk_vectors", "chunk_id", "article_id")
+_VEC_CTE = f"{_QV}, {_top_sql('art', _ART_SQL, 40)}, {_top_sql('chk', _CHK_SQL, 80, 'article_id')}"
 
 
 @query(f"WITH {_VEC_CTE} SELECT query_id, key AS id, round(score, 6) AS score, rank FROM art")
@@ -480,50 +536,91 @@ def vector_topk_chunk(spark, d):
 
 
 @query()
+def vector_index_topk_chunk(spark, d):
+    """The same by the index, which may miss some (recall: README)."""
+    index = vectors.build_index(table(spark, d, "chunk_vectors"), "chunk_id")
+    index = vectors.VectorIndex(cut_lineage(index.rows.select("chunk_id", "article_id", "vector", "cell")), index.marks)
+    return vectors.top_k(_query_vectors(spark, d), index, 80, "chunk_id", payload=("article_id",)).withColumn("score", F.round("score", 6))
+
+
+_PASSAGE_SQL = f"array_to_string(list_slice({sql.words('t')}, 1, 384), ' ')"
+
+
+def _embedded_texts(key: str, source: str, t: str) -> str:
+    cut = f"CASE WHEN {sql.n_words('t')} > 384 THEN {_PASSAGE_SQL} ELSE coalesce(t, '') END"
+    return f"(SELECT {key} AS key, 'passage: ' || {sql.trim(cut)} AS t FROM (SELECT {key}, {t} AS t FROM {source}))"
+
+
+@query(
+    f"""WITH {_ONE_CTE}, {sql.embedded('e', _embedded_texts('id', 'one', sql.joined('title_hi', 'summary_hi')))} SELECT id, url, published_date, published_ts, array_to_string(list_transform(v, lambda x: round(x::DOUBLE, 4)), ' ') AS vector,
+    {sql.n_words(sql.joined('title_hi', 'summary_hi'))} > 384 AS was_truncated FROM one JOIN e ON e.key = one.id"""
+)
 def embed_articles(spark, d):
-    """Vectors of all articles by the default model."""
-    return vectors.embed_articles(table(spark, d, "articles_canonical"), vectors.hashing_embedding())
+    """Vectors of all articles by the default model, each number to four places."""
+    r = vectors.embed_articles(_articles(spark, d), vectors.hashing_embedding())
+    return r.withColumn("vector", F.array_join(F.transform("vector", lambda x: F.round(x.cast("double"), 4).cast("string")), " "))
 
 
-# ---- Fusion, ranking, pages: one request for each of the vectors above, its text the article's title
+@query(
+    f"""SELECT count(*) AS n_articles, count(*) FILTER (WHERE was_truncated) AS truncated_articles, (SELECT count(*) FROM chunk_vectors) AS n_chunks, (SELECT count(*) FROM chunk_vectors WHERE was_truncated) AS truncated_chunks,
+    (SELECT coalesce(string_agg(key, '¦' ORDER BY o, key), '') FROM (SELECT o, key FROM (SELECT 0 AS o, id AS key FROM article_vectors WHERE was_truncated UNION ALL SELECT 1, chunk_id FROM chunk_vectors WHERE was_truncated) ORDER BY o, key LIMIT 10)) AS examples FROM article_vectors"""
+)
+def truncation_report(spark, d):
+    return _flat(vectors.truncation_report(table(spark, d, "article_vectors"), table(spark, d, "chunk_vectors")), "examples")
+
+
+_POINT = "('0x' || substring(sha1(chunk_id), 1, 16))::UBIGINT::VARCHAR"
 
 
-_REQ_CTE = f"""{_VEC_CTE}, meta AS (SELECT id, any_value(title_hi) AS title_hi, any_value(published_ts) AS published_ts, any_value(published_date) AS published_date, any_value(categories_norm) AS categories_norm, any_value(tags_norm) AS tags_norm, any_value(locations_norm) AS locations_norm, any_value(contributors_norm) AS contributors_norm FROM articles_canonical GROUP BY id),
-    asked AS (SELECT query_id, title_hi AS query FROM qv JOIN meta ON meta.id = qv.query_id::VARCHAR), qtok AS (SELECT query_id, list_distinct({sql.tokens('query')}) AS ts FROM asked)"""
+@query(f"SELECT {_POINT} AS point_id, chunk_id, coalesce(url, '') AS url, coalesce(published_ts, 0) AS published_ts, coalesce(chunk_tokens, 0) AS chunk_tokens FROM chunk_vectors WHERE len(vector) = 64")
+def vector_points_chunk(spark, d):
+    points = vectors.vector_points(table(spark, d, "chunk_vectors"), "chunk_id", 64)
+    return points.select(F.col("point_id").cast("string").alias("point_id"), "chunk_id", "url", "published_ts", "chunk_tokens")
 
 
-def _requests_sql() -> str:
-    lex = _LEX_CTE.replace(_POSTINGS_CTE + ", ", _POSTINGS_CTE + ", ", 1)
-    start = lex.index("asked AS (")
-    end = lex.index("wanted AS (")
-    return f"{_REQ_CTE}, {lex[:start]}{lex[end:]}"
+@query("SELECT id::BIGINT AS point_id, coalesce(url, '') AS url, coalesce(published_date, '') AS published_date, coalesce(published_ts, 0) AS published_ts FROM article_vectors WHERE len(vector) = 64")
+def vector_points_article(spark, d):
+    points = vectors.vector_points(table(spark, d, "article_vectors"), "id", 64, numeric_key=True)
+    return points.select(F.col("point_id").cast("long").alias("point_id"), "url", "published_date", "published_ts")
 
 
-_FUSE_CTE = f"""{_requests_sql()}, legs AS (SELECT query_id, id AS article_id, 'l' AS leg, lexical_score::DOUBLE AS s, NULL AS chunk_id FROM lex UNION ALL SELECT query_id, key, 'a', score, NULL FROM art UNION ALL SELECT query_id, article_id, 'c', score, key FROM chk WHERE article_id IS NOT NULL),
+@query(
+    """SELECT count(*) FILTER (WHERE ok) AS n_ok, count(*) FILTER (WHERE NOT ok) AS n_failed, (SELECT coalesce(string_agg(key, '¦' ORDER BY key), '') FROM (SELECT chunk_id AS key FROM chunk_vectors WHERE NOT coalesce(len(vector) = 64, false) ORDER BY key LIMIT 50)) AS failed
+    FROM (SELECT coalesce(len(vector) = 64, false) AS ok FROM chunk_vectors)"""
+)
+def ingest_report(spark, d):
+    outcome = table(spark, d, "chunk_vectors").select(F.col("chunk_id").alias("key"), F.coalesce(F.size("vector") == 64, F.lit(False)).alias("ok"))
+    return _flat(vectors.ingest_report(outcome), "failed")
+
+
+# ---- Fusion, ranking, pages: one request for each of the vectors above, its text the article's title
+
+_META_SQL = "meta AS MATERIALIZED (SELECT id, any_value(title_hi) AS title_hi, any_value(published_ts) AS published_ts, any_value(published_date) AS published_date, any_value(categories_norm) AS categories_norm, any_value(tags_norm) AS tags_norm, any_value(locations_norm) AS locations_norm, any_value(contributors_norm) AS contributors_norm FROM articles_canonical GROUP BY id)"
+_TITLES_SQL = f"""SELECT query_id, mode, CASE WHEN mode = 'roman' THEN {sql.roman_index('query')} ELSE query END AS query FROM (SELECT query_id, title_hi AS query, {sql.mode('title_hi')} AS mode FROM qv_ JOIN meta ON meta.id = qv_.query_id::VARCHAR)"""
+_FUSED_SQL = """legs AS (SELECT query_id, id AS article_id, 'l' AS leg, lexical_score AS s, NULL AS chunk_id FROM lex UNION ALL SELECT query_id, key, 'a', score, NULL FROM art UNION ALL SELECT query_id, article_id, 'c', score, key FROM chk WHERE article_id IS NOT NULL),
     fused0 AS (SELECT query_id, article_id, greatest(coalesce(max(s) FILTER (WHERE leg = 'l'), 0), 0) AS lexical_score, greatest(coalesce(max(s) FILTER (WHERE leg = 'a'), 0), 0) AS sem_article, greatest(coalesce(max(s) FILTER (WHERE leg = 'c'), 0), 0) AS sem_chunk,
       first(chunk_id ORDER BY s DESC, chunk_id) FILTER (WHERE leg = 'c' AND s > 0) AS best_chunk_id, bool_or(leg = 'l') AS src_lexical, bool_or(leg = 'a') AS src_sem_article, bool_or(leg = 'c') AS src_sem_chunk FROM legs GROUP BY ALL),
-    fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(lexical_score + sem_chunk + sem_article, 9) DESC, article_id) AS pre_rank FROM fused0) WHERE pre_rank <= 200)"""
+    fused AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(lexical_score + sem_chunk + sem_article, 9) DESC, article_id) AS pre_rank FROM fused0) WHERE pre_rank <= 200)"""
+_FUSE_CTE = f"{_META_SQL}, {_VEC_CTE}, {_lex_cte(_TITLES_SQL)}, {_FUSED_SQL}"
 
 
-def _request_rows(spark, d, whole=False) -> DataFrame:
+def _request_rows(spark, d) -> DataFrame:
     titles = one_per_key(table(spark, d, "articles_canonical").select("id", "title_hi"), "id")
     qv = _query_vectors(spark, d)
     asked = qv.join(titles, qv["query_id"].cast("string") == titles["id"]).select("query_id", F.col("title_hi").alias("query"))
-    return _in_mode(asked.withColumn("mode", text.query_mode(F.col("query")) if whole else F.lit("dev")))
+    return _in_mode(asked.withColumn("mode", text.query_mode(F.col("query"))))
 
 
-def _fused(spark, d, whole=False) -> DataFrame:
+def _legs(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     qv = _query_vectors(spark, d)
-    lex = lexical.search(_request_rows(spark, d, whole), _lexical_docs(spark, d, whole), ascii_only=not whole)
-    art = vectors.top_k(qv, table(spark, d, "article_vectors"), 40, "id")
-    chk = vectors.top_k(qv, table(spark, d, "chunk_vectors"), 80, "chunk_id", payload=("article_id",))
-    return ranking.fuse(lex, art, chk)
+    lex = lexical.search(_request_rows(spark, d), _index(spark, d))
+    return lex, vectors.top_k(qv, table(spark, d, "article_vectors"), 40, "id"), vectors.top_k(qv, table(spark, d, "chunk_vectors"), 80, "chunk_id", payload=("article_id",))
 
 
-@query(f"WITH {_FUSE_CTE} SELECT query_id, article_id, round(lexical_score, 6) AS lexical_score, round(sem_article, 6) AS sem_article, round(sem_chunk, 6) AS sem_chunk, best_chunk_id, src_lexical, src_sem_article, src_sem_chunk, pre_rank FROM fused", whole=True)
-def fuse_candidates(spark, d, whole=False):
-    r = _fused(spark, d, whole)
+@query(f"WITH {_FUSE_CTE} SELECT query_id, article_id, round(lexical_score, 6) AS lexical_score, round(sem_article, 6) AS sem_article, round(sem_chunk, 6) AS sem_chunk, best_chunk_id, src_lexical, src_sem_article, src_sem_chunk, pre_rank FROM fused")
+def fuse_candidates(spark, d):
     scores = {c: F.round(c, 6) for c in ("lexical_score", "sem_article", "sem_chunk")}
+    r = ranking.fuse(*_legs(spark, d))
     return r.withColumns(scores).withColumn("pre_rank", F.col("pre_rank").cast("long")).select("query_id", "article_id", *scores, "best_chunk_id", "src_lexical", "src_sem_article", "src_sem_chunk", "pre_rank")
 
 
@@ -532,51 +629,68 @@ def _mm(c: str) -> str:
     return f"CASE WHEN max({c}) {w} - min({c}) {w} < 1e-9 THEN 0 ELSE ({c} - min({c}) {w}) / (max({c}) {w} - min({c}) {w}) END"
 
 
-def _overlap(field: str, full: float) -> str:
-    return f"least(1.0, len(list_intersect(ts, coalesce({field}, []))) / {full})"
-
-
+# Parts of the score in their order, with their weights.
 _PART_SQL = {
-    "lex": _mm("lexical_score"), "sem_chunk": _mm("sem_chunk"), "sem_article": _mm("sem_article"), **{n: _overlap(f, full) for n, f, full in ranking.OVERLAPS},
-    "recency": f"CASE WHEN coalesce(published_ts, 0) <= 0 THEN 0 ELSE greatest(0.0, 1.0 - greatest(0.0, ({NOW} - published_ts) / 86400.0) / 1095.0) END", "entity_conf": "0.0",
+    "lex": (_mm("lexical_score"), 1.0), "sem_chunk": (_mm("sem_chunk"), 0.40), "sem_article": (_mm("sem_article"), 0.18),
+    "tag_overlap": ("least(1.0, len(list_intersect(ts, coalesce(tags_norm, []))) / 2.0)", 0.12), "cat_overlap": ("least(1.0, len(list_intersect(ts, coalesce(categories_norm, []))) / 2.0)", 0.10),
+    "loc_overlap": ("least(1.0, len(list_intersect(ts, coalesce(locations_norm, []))))", 0.15), "contrib_overlap": ("least(1.0, len(list_intersect(ts, coalesce(contributors_norm, []))))", 0.06),
+    "recency": (f"CASE WHEN coalesce(published_ts, 0) <= 0 THEN 0 ELSE greatest(0.0, 1.0 - greatest(0.0, ({NOW} - published_ts) / 86400.0) / 1095.0) END", 0.08),
+    "entity_conf": ("least(1.0, coalesce(points, 0) / 6.0)", 0.10),
 }
-_RANK_CTE = f"""{_FUSE_CTE}, parts AS (SELECT query_id, article_id, pre_rank, best_chunk_id, published_date, {', '.join(f"({_PART_SQL[n]}) * {w} AS w_{n}" for n, w in ranking.WEIGHTS)} FROM fused LEFT JOIN meta ON meta.id = article_id JOIN qtok USING (query_id)),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pre_rank) AS rank FROM (SELECT *, round({' + '.join(f'w_{n}' for n, _ in ranking.WEIGHTS)}, 9) AS score FROM parts))"""
 
 
-def _ranked(spark, d, whole=False) -> DataFrame:
-    meta = ranking.article_metadata(table(spark, d, "articles_canonical"))
-    return ranking.rank(ranking.with_metadata(_fused(spark, d, whole), meta), _request_rows(spark, d, whole), NOW)
+def _ranked_sql(asked: str) -> str:
+    """CTEs up to ``ranked``, from ``fused``, ``meta`` and the requests in ``asked`` (query_id, query, mode)."""
+    return f"""req AS MATERIALIZED ({asked}), {_entity_cte('SELECT query, mode FROM req')}, ent AS (SELECT query_id, list_distinct({sql.tokens('query')}) AS ts, (SELECT sum(confidence) FROM conf WHERE conf.query = req.query AND conf.mode = req.mode) AS points FROM req),
+    wparts AS (SELECT query_id, article_id, pre_rank, best_chunk_id, published_date, title_hi, points, {', '.join(f"({x}) * {w} AS w_{n}" for n, (x, w) in _PART_SQL.items())} FROM fused LEFT JOIN meta ON meta.id = article_id JOIN ent USING (query_id)),
+    ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pre_rank) AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM (SELECT *, round({' + '.join(f'w_{n}' for n in _PART_SQL)}, 9) AS score FROM wparts))"""
+
+
+_RANK_CTE = f"{_FUSE_CTE}, {_ranked_sql('SELECT * FROM asked')}"
+
+
+def _confidence(requests: DataFrame, gaz: DataFrame) -> DataFrame:
+    """Points by field of each request."""
+    conf = gazetteer.confidence(gazetteer.detect(requests, gaz, "query", "mode"))
+    maps = conf.groupBy("query", "mode").agg(F.map_from_entries(F.collect_list(F.struct("field", "confidence"))).alias("entity_conf"))
+    return requests.join(maps, ["query", "mode"]).select("query_id", "entity_conf")
+
 
+def _ranked(spark, d) -> DataFrame:
+    requests = _request_rows(spark, d)
+    candidates = ranking.with_metadata(ranking.fuse(*_legs(spark, d)), ranking.article_metadata(table(spark, d, "articles_canonical")))
+    return ranking.rank(candidates, requests, NOW, _confidence(requests, table(spark, d, "gazetteer")))
 
-@query(f"WITH {_RANK_CTE} SELECT query_id, article_id, round(score, 6) AS score, rank FROM ranked", whole=True)
-def rank_v1(spark, d, whole=False):
-    return _ranked(spark, d, whole).select("query_id", "article_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
+@query(f"WITH {_RANK_CTE} SELECT query_id, article_id, round(score, 6) AS score, rank, round(w_entity_conf, 6) AS entity_part FROM ranked")
+def rank_v1(spark, d):
+    r = _ranked(spark, d)
+    return r.select("query_id", "article_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"), F.round(F.col("features.entity_conf_score") * 0.10, 6).alias("entity_part"))
 
-_EXPLAIN_LIST = "[" + ", ".join(f"{{'s': w_{n}, 'o': {-i}, 'n': '{n}'}}" for i, (n, _) in enumerate(ranking.WEIGHTS)) + "]"
 
+_EXPLAIN_LIST = "[" + ", ".join(f"{{'s': w_{n}, 'o': {-i}, 'n': '{n}'}}" for i, n in enumerate(_PART_SQL)) + "]"
 
-@query(f"WITH {_RANK_CTE} SELECT query_id, article_id, array_to_string(list_transform(list_slice(list_reverse_sort({_EXPLAIN_LIST}), 1, 4), lambda x: x.n), '¦') AS top_parts FROM ranked", whole=True)
-def explain_top4(spark, d, whole=False):
-    return _ranked(spark, d, whole).select("query_id", "article_id", F.array_join(F.transform("explanation", lambda x: x["name"]), "¦").alias("top_parts"))
 
+@query(f"WITH {_RANK_CTE} SELECT query_id, article_id, array_to_string(list_transform(list_slice(list_reverse_sort({_EXPLAIN_LIST}), 1, 4), lambda x: x.n), '¦') AS top_parts FROM ranked")
+def explain_top4(spark, d):
+    return _ranked(spark, d).select("query_id", "article_id", F.array_join(F.transform("explanation", lambda x: x["name"]), "¦").alias("top_parts"))
 
-@query(f"WITH {_RANK_CTE}, n AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS total FROM ranked) SELECT query_id, article_id, rank, total AS total_results, greatest(1, ceil(total / 10.0))::INT AS total_pages FROM n WHERE rank > 10 AND rank <= 20", whole=True)
-def search_page(spark, d, whole=False):
+
+@query(f"WITH {_RANK_CTE} SELECT query_id, article_id, rank, total AS total_results, greatest(1, ceil(total / 10.0))::INT AS total_pages FROM ranked WHERE rank > 10 AND rank <= 20")
+def search_page(spark, d):
     """The second page of ten, with the totals."""
-    asked = _request_rows(spark, d, whole).select("query_id", F.lit(2).alias("page"), F.lit(10).alias("per_page"))
-    r = ranking.page(_ranked(spark, d, whole), asked)
+    asked = _request_rows(spark, d).select("query_id", F.lit(2).alias("page"), F.lit(10).alias("per_page"))
+    r = ranking.page(_ranked(spark, d), asked)
     return r.select("query_id", "article_id", F.col("rank").cast("long").alias("rank"), "total_results", "total_pages")
 
 
-@query(
-    f"""WITH {_RANK_CTE}, txt AS (SELECT chunk_id, any_value(chunk_text) AS chunk_text FROM chunks GROUP BY chunk_id)
-    SELECT query_id, article_id, rank, substring({sql.trim(sql.sub('chunk_text', f'{sql.WS}+', ' '))}, 1, 420) AS snippet FROM ranked LEFT JOIN txt ON chunk_id = best_chunk_id WHERE rank <= 10""",
-    whole=True,
-)
-def search_snippets(spark, d, whole=False):
-    r = ranking.with_snippets(_ranked(spark, d, whole).where(F.col("rank") <= 10), table(spark, d, "chunks"))
+_TXT_SQL = f"txt AS (SELECT chunk_id, any_value(chunk_text) AS chunk_text FROM chunks GROUP BY chunk_id)"
+_SNIPPET_SQL = f"nullif(substring({sql.trim(sql.sub('chunk_text', f'{sql.WS}+', ' '))}, 1, 420), '')"
+
+
+@query(f"WITH {_RANK_CTE}, {_TXT_SQL} SELECT query_id, article_id, rank, {_SNIPPET_SQL} AS snippet FROM ranked LEFT JOIN txt ON chunk_id = best_chunk_id WHERE rank <= 10")
+def search_snippets(spark, d):
+    r = ranking.with_snippets(_ranked(spark, d).where(F.col("rank") <= 10), table(spark, d, "chunks"))
     return r.select("query_id", "article_id", F.col("rank").cast("long").alias("rank"), "snippet")
 
 
@@ -584,23 +698,30 @@ def _resorted_sql(way: str) -> str:
     return f"WITH {_RANK_CTE} SELECT query_id, article_id, row_number() OVER (PARTITION BY query_id ORDER BY try_strptime(published_date, '%Y-%m-%dT%H:%M:%S') {way} NULLS LAST, rank) AS place FROM ranked"
 
 
-@query(_resorted_sql("DESC"), whole=True)
-def sort_newest(spark, d, whole=False):
-    return ranking.resort(_ranked(spark, d, whole), "newest").select("query_id", "article_id", F.col("place").cast("long").alias("place"))
+@query(_resorted_sql("DESC"))
+def sort_newest(spark, d):
+    return ranking.resort(_ranked(spark, d), "newest").select("query_id", "article_id", F.col("place").cast("long").alias("place"))
 
 
-@query(_resorted_sql("ASC"), whole=True)
-def sort_oldest(spark, d, whole=False):
-    return ranking.resort(_ranked(spark, d, whole), "oldest").select("query_id", "article_id", F.col("place").cast("long").alias("place"))
+@query(_resorted_sql("ASC"))
+def sort_oldest(spark, d):
+    return ranking.resort(_ranked(spark, d), "oldest").select("query_id", "article_id", F.col("place").cast("long").alias("place"))
 
 
-@query(f"WITH {_FUSE_CTE} SELECT query_id, count(*) FILTER (WHERE t = 'l') AS lex_n, count(*) FILTER (WHERE t = 'a') AS sem_article_n, count(*) FILTER (WHERE t = 'c') AS sem_chunk_n, count(*) FILTER (WHERE t = 'f') AS cand_n FROM (SELECT query_id, 'l' AS t FROM lex UNION ALL SELECT query_id, 'a' FROM art UNION ALL SELECT query_id, 'c' FROM chk UNION ALL SELECT query_id, 'f' FROM fused) GROUP BY query_id", whole=True)
-def leg_counts(spark, d, whole=False):
-    qv = _query_vectors(spark, d)
-    lex = lexical.search(_request_rows(spark, d, whole), _lexical_docs(spark, d, whole), ascii_only=not whole)
-    art = vectors.top_k(qv, table(spark, d, "article_vectors"), 40, "id")
-    chk = vectors.top_k(qv, table(spark, d, "chunk_vectors"), 80, "chunk_id", payload=("article_id",))
-    return ranking.leg_counts(lex, art, chk, ranking.fuse(lex, art, chk))
+@query(f"""WITH {_RANK_CTE} SELECT query_id, article_id, place, coalesce(strftime(try_strptime(published_date, '%Y-%m-%dT%H:%M:%S'), '%d-%m-%Y'), published_date, '') AS shown_date,
+    array_to_string(list_slice(list_filter(coalesce(locations_raw, []), lambda v: v IS NOT NULL AND {sql.trim('v')} <> ''), 1, 3), '¦') AS shown_locations,
+    replace(replace(replace(replace(replace(coalesce(r.title_hi, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#039;') AS shown_title
+    FROM (SELECT *, rank AS place FROM ranked WHERE rank <= 10) r LEFT JOIN (SELECT id, any_value(locations_raw) AS locations_raw FROM articles_canonical GROUP BY id) l ON l.id = r.article_id""")
+def reveal_first(spark, d):
+    """What a client shows of the first ten hits."""
+    r = ranking.reveal(ranking.resort(_ranked(spark, d)))
+    return _flat(r.select("query_id", "article_id", F.col("place").cast("long").alias("place"), "shown_date", "shown_locations", "shown_title"), "shown_locations")
+
+
+@query(f"WITH {_FUSE_CTE} SELECT query_id, count(*) FILTER (WHERE t = 'l') AS lex_n, count(*) FILTER (WHERE t = 'a') AS sem_article_n, count(*) FILTER (WHERE t = 'c') AS sem_chunk_n, count(*) FILTER (WHERE t = 'f') AS cand_n FROM (SELECT query_id, 'l' AS t FROM lex UNION ALL SELECT query_id, 'a' FROM art UNION ALL SELECT query_id, 'c' FROM chk UNION ALL SELECT query_id, 'f' FROM fused) GROUP BY query_id")
+def leg_counts(spark, d):
+    legs = tuple(cut_lineage(x) for x in _legs(spark, d))  # read twice
+    return ranking.leg_counts(*legs, ranking.fuse(*legs))
 
 
 # ---- Logs and labels: labels made of the log, one of three of them wrong
@@ -625,33 +746,55 @@ def fk_cascade(spark, d):
     return feedback.cascade_delete(_labels(spark, d), gone).select("id", "query_id", "label")
 
 
-@query(f"WITH {_RANK_CTE} SELECT query_id, rank, article_id, round(score, 6) AS score FROM ranked WHERE rank <= 200", whole=True)
-def candidate_log(spark, d, whole=False):
-    return feedback.candidate_rows(_ranked(spark, d, whole)).select("query_id", F.col("rank").cast("long").alias("rank"), "article_id", F.round("score", 6).alias("score"))
+@query(f"WITH {_RANK_CTE} SELECT query_id, rank, article_id, round(score, 6) AS score FROM ranked WHERE rank <= 200")
+def candidate_log(spark, d):
+    return feedback.candidate_rows(_ranked(spark, d)).select("query_id", F.col("rank").cast("long").alias("rank"), "article_id", F.round("score", 6).alias("score"))
 
 
 # ---- Everything together
 
 
 def _corpus(spark, d) -> hybrid.Corpus:
+    """The search tables over the given ones; a pipeline stores index rows and postings, here they are made on the spot."""
     canon = _articles(spark, d)
     docs = cut_lineage(canonical.index_documents(canon))
     light = docs.select("id", "published_ts", *[f"{f.lower()}_norm" for f in canonical.MULTI_FIELDS], "article_type", "multimedia_type", "partner_label")
     posts = cut_lineage(lexical.postings(docs, lexical.ALL_FIELDS))
     return hybrid.Corpus(
-        light, posts, lexical.token_statistics(posts), ranking.article_metadata(canon), table(spark, d, "article_vectors"), table(spark, d, "chunk_vectors"), table(spark, d, "chunks"), table(spark, d, "gazetteer"),
+        light, posts, lexical.token_statistics(posts), ranking.article_metadata(table(spark, d, "articles_canonical")), table(spark, d, "article_vectors"), table(spark, d, "chunk_vectors"), table(spark, d, "chunks"), table(spark, d, "gazetteer"),
     )
 
 
-@query()
+_CQ_SQL = f"""cq AS MATERIALIZED (SELECT query_id, mode, {sql.trim('raw')} AS sem, CASE WHEN mode = 'roman' THEN {sql.roman_index('raw')} WHEN {sql.blank(sql.nfkc('raw'))} THEN raw ELSE {sql.normal(sql.nfkc('raw'))} END AS used
+    FROM (SELECT id AS query_id, query_raw AS raw, {sql.mode('query_raw')} AS mode FROM query_log WHERE id % 50 = 0 AND NOT {sql.blank('query_raw')}))"""
+_QE_SQL = sql.embedded("qe", "(SELECT query_id AS key, 'query: ' || sem AS t FROM cq)")
+#: No clause of the automatic filter of the query that the document fails.
+_PASSING_SQL = """NOT EXISTS (SELECT 1 FROM cq JOIN conf ON conf.query = cq.used AND conf.mode = cq.mode WHERE cq.query_id = scored.query_id AND o IS NOT NULL AND NOT list_has_any(vs,
+    CASE conf.field WHEN 'locations' THEN idx.locations_norm WHEN 'contributors' THEN idx.contributors_norm WHEN 'categories' THEN idx.categories_norm ELSE idx.tags_norm END))"""
+_HYBRID_CTE = f"""{_META_SQL}, {_CQ_SQL}, {_entity_cte('SELECT used AS query, mode FROM cq')}, {_lex_cte('SELECT query_id, mode, used AS query FROM cq', passing=_PASSING_SQL)},
+    {_QE_SQL}, qvec AS (SELECT key AS query_id, v FROM qe), {_top_sql('art', _ART_SQL, 40, asked='qvec')}, {_top_sql('chk', f"(SELECT * FROM {_CHK_SQL} WHERE article_id IS NOT NULL)", 80, 'article_id', asked='qvec')},
+    {_FUSED_SQL}, {_ranked_sql('SELECT * FROM asked').replace(_entity_cte('SELECT query, mode FROM req') + ', ', '')}"""
+
+
+@query(
+    f"""WITH {_HYBRID_CTE}, {_TXT_SQL} SELECT query_id, rank, article_id, {sql.non_blank('title_hi')} AS title, round(score, 6) AS score, {_SNIPPET_SQL} AS snippet, total AS total_results,
+    greatest(1, ceil(total / 10.0))::INT AS total_pages, 1 AS page, 10 AS per_page FROM ranked LEFT JOIN txt ON chunk_id = best_chunk_id WHERE rank <= 10"""
+)
 def hybrid_search(spark, d):
     """First pages of every 50th logged query: mode, entities, filters, three legs, fusion, ranking, snippets."""
     requests = table(spark, d, "query_log").where(F.col("id") % 50 == 0).select(F.col("id").alias("query_id"), F.col("query_raw").alias("query"))
     out = hybrid.search(requests, _corpus(spark, d), hybrid.Settings(now_ts=NOW), embed=vectors.hashing_embedding())
-    return out["page"].select("query_id", "rank", "article_id", "title", "score", "snippet", "total_results", "total_pages", "page", "per_page")
+    return out["page"].select("query_id", F.col("rank").cast("long").alias("rank"), "article_id", "title", F.round("score", 6).alias("score"), "snippet", "total_results", "total_pages", "page", "per_page")
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hybrid_search(spark, sf_dir)
+@query(f"""WITH {_CQ_SQL}, {sql.embedded("qe", "(SELECT query_id AS key, 'query: ' || used AS t FROM cq)")}, qvec AS (SELECT key AS query_id, v FROM qe), {_top_sql('chk', f"(SELECT * FROM {_CHK_SQL} WHERE article_id IS NOT NULL)", 10, 'article_id', asked='qvec')}, {_TXT_SQL}
+    SELECT query_id, key AS chunk_id, article_id, round(score, 6) AS score, rank, coalesce(substring(chunk_text, 1, 350), '') AS snippet FROM chk LEFT JOIN txt ON txt.chunk_id = chk.key""")
+def semantic_chunk_search(spark, d):
+    """Chunks nearest to the canonical query (the hybrid search takes the raw one)."""
+    requests = table(spark, d, "query_log").where(F.col("id") % 50 == 0).select(F.col("id").alias("query_id"), F.col("query_raw").alias("query"))
+    r = hybrid.semantic_chunks(requests, table(spark, d, "chunk_vectors"), table(spark, d, "chunks"), vectors.hashing_embedding(), k=10)
+    return r.select("query_id", "chunk_id", "article_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"), "snippet")
 
 
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hybrid_search(spark, sf_dir)

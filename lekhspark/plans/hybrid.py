@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lekhspark.functions import text, unicode
 from lekhspark.operators import canonical, chunking, gazetteer, lexical, ranking, vectors
-from lekhspark.session import cut_lineage
+from lekhspark.session import broadcast_if_small, cut_lineage, one_per_key
 
 
 @dataclass(frozen=True)
@@ -89,6 +89,18 @@ def search(requests: DataFrame, corpus: Corpus, settings: Settings, query_vector
     return {"queries": q, "ranked": ranked, "page": shown, "counts": ranking.leg_counts(lex, art, chk, candidates)}
 
 
+def semantic_chunks(requests: DataFrame, chunk_vectors: DataFrame | vectors.VectorIndex, chunks: DataFrame, embed, k: int = 10, chars: int = 350) -> DataFrame:
+    """``query_id, chunk_id, article_id, score, rank, snippet``: the chunks nearest to each canonical query, with the beginning of their text as it is (blank where the text is missing)."""
+    q = canonical_queries(requests)
+    asked = q.select("query_id", embed(text.prefixed(F.col("query_used"), "query")).alias("vector"))
+    if isinstance(chunk_vectors, DataFrame):
+        chunk_vectors = chunk_vectors.where(F.col("article_id").isNotNull())
+    hits = cut_lineage(vectors.top_k(asked, chunk_vectors, k, "chunk_id", payload=("article_id",)))
+    wanted = broadcast_if_small(hits.select("chunk_id").distinct())
+    texts = one_per_key(chunks.select("chunk_id", "chunk_text").join(wanted, "chunk_id", "left_semi"), "chunk_id")
+    return hits.join(texts, "chunk_id", "left").withColumn("snippet", F.coalesce(F.substring("chunk_text", 1, chars), F.lit(""))).drop("chunk_text")
+
+
 def search_one(spark: SparkSession, query: str, corpus: Corpus, settings: Settings, embed, filter_by: str | None = None, page: int = 1, per_page: int = 10, explain: bool = False) -> dict:
     """One request as a dict with its hits; a blank query is refused."""
     if not query or not query.strip():

@@ -16,12 +16,35 @@ from lekhspark.functions import text
 IMAGE_ALIASES = ("image_featured", "featured_image", "image_url")
 
 
-def read_csv(spark: SparkSession, path: str | Sequence[str], **options) -> DataFrame:
-    """Every column as text; quoted fields may hold line ends, doubled quotes stand for one."""
-    defaults = {"header": True, "inferSchema": False, "multiLine": True, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "encoding": "UTF-8"}
+def read_csv(spark: SparkSession, path: str | Sequence[str], records_span_lines: bool = True, **options) -> DataFrame:
+    """Every column as text; quoted fields may hold line ends, doubled quotes stand for one.
+
+    ``records_span_lines=False``, for exports that keep each record on one line, lets Spark split large files among tasks; otherwise each file is one task.
+    """
+    defaults = {"header": True, "inferSchema": False, "multiLine": records_span_lines, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "encoding": "UTF-8"}
     return spark.read.options(**{**defaults, **options}).csv(list(path) if not isinstance(path, str) else path)
 
 
+def read_checked(spark: SparkSession, path: str | Sequence[str], **options) -> tuple[DataFrame, DataFrame]:
+    """The sound rows of exports in the known columns, and the damaged ones with ``errors`` and ``reason``; rows are numbered in ``src_row``, in the order of a file.
+
+    Records of other length than the header keep their text in ``_corrupt_record``.
+    """
+    from lekhspark.operators import rejects
+
+    header = read_csv(spark, path, **options).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, "_corrupt_record"]])
+    rows = spark.read.schema(schema).options(header=True, multiLine=options.get("records_span_lines", True), quote='"', escape='"', mode="PERMISSIVE", encoding="UTF-8", columnNameOfCorruptRecord="_corrupt_record").csv(list(path) if not isinstance(path, str) else path)
+    rows = rows.toDF(*[c.strip() for c in rows.columns])
+    for c in rejects.EXPORT_COLUMNS:
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(None).cast("string"))
+    checked = rejects.check_rows(rows.withColumn("src_row", F.monotonically_increasing_id()))
+    broken = F.when(F.col("_corrupt_record").isNotNull() & (F.size("errors") == 0), F.array(F.lit("columns: another number of fields than the header"))).otherwise(F.col("errors"))
+    checked = checked.withColumn("errors", broken)
+    return rejects.valid(checked).drop("_corrupt_record"), rejects.rejected(checked)
+
+
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     (df.coalesce(1) if single_file else df).write.mode("overwrite").options(header=True, quoteAll=True, escape='"').csv(path)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,3 +45,33 @@ def next_ids(df: DataFrame, id_col: str, after: int, order: list[Column]) -> Dat
     offsets = df.sparkSession.createDataFrame(starts, "_p int, _s bigint")
     w = Window.partitionBy("_p").orderBy("_o")
     return ranged.join(F.broadcast(offsets), "_p").withColumn(id_col, F.col("_s") + F.row_number().over(w)).drop("_p", "_s", "_o")
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """Writes a table in place of the one it may be made from: first beside it, then by renaming, so that a failed write leaves the old one."""
+    spark = df.sparkSession
+    jvm = spark._jvm.org.apache.hadoop.fs
+    beside, gone = f"{path.rstrip('/')}.{uuid.uuid4().hex}", f"{path.rstrip('/')}.{uuid.uuid4().hex}.old"
+    df.write.parquet(beside)
+    here = jvm.Path(path)
+    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(here):
+        fs.rename(here, jvm.Path(gone))
+    fs.rename(jvm.Path(beside), here)
+    fs.delete(jvm.Path(gone), True)
+    spark.catalog.refreshByPath(path)
+
+
+def append_log(path: str, rows: DataFrame, order: list[Column] | None = None) -> int:
+    """Appends rows to a log table with ids that follow its largest one, in ``order`` (by all columns where none is given); gives the first of them.
+
+    Columns are those of the table; missing ones become null. One writer at a time.
+    """
+    spark = rows.sparkSession
+    table = spark.read.parquet(path)
+    last = table.agg(F.max("id")).first()[0] or 0
+    cols = [c for c in rows.columns if c != "id"]
+    numbered = next_ids(rows.select(*cols), "id", last, order or [F.col(c) for c in cols])
+    have = set(numbered.columns)
+    numbered.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in table.schema.fields]).write.mode("append").parquet(path)
+    return last + 1

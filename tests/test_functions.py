@@ -62,3 +62,28 @@ def test_dates(spark):
 
 def test_column_alias():
     assert text.column_alias(" Image-Featured ") == "image_featured" and re.fullmatch(r"\w+", text.column_alias("a b"))
+
+
+def test_dates_inside_texts(spark):
+    want = {
+        "5th March 2020": "2020-03-05T00:00:00", "March 5, 2020": "2020-03-05T00:00:00", "25/12/2020": "2020-12-25T00:00:00", "12/25/20": "2020-12-25T00:00:00", "3/4/99": "1999-03-04T00:00:00",
+        "Published on 5 Mar 2020 at 10:30 PM": "2020-03-05T22:30:00", "2020-03-05T10:20:30+0530": "2020-03-05T10:20:30+05:30", "2020-03-05T10:20:30.123Z": "2020-03-05T10:20:30+00:00", "Tue, 05 Mar 2020 10:20:30 GMT": "2020-03-05T10:20:30+00:00",
+        "12-Mar-2020": "2020-03-12T00:00:00", "Sept. 4 2021, 12:05 am": "2021-09-04T00:05:00", "1 of May 2021": "2021-05-01T00:00:00", "2020/3/5": "2020-03-05T00:00:00",
+        "31/02/2020": None, "2020-13-45": None, "May 2020": None, "2020-09": None, "hello": None, "": None, None: None, "https://a.example/x-100234/": None, "25:61": None, "5 Mar 2020 25:61": None,
+    }
+    df = spark.createDataFrame([(k,) for k in want], "v string").withColumn("iso", dates.to_iso(F.col("v"))).withColumn("epoch", dates.to_epoch(F.col("iso")))
+    got = {r["v"]: r for r in df.collect()}
+    assert {k: r["iso"] for k, r in got.items()} == want
+    assert got["2020-03-05T10:20:30+0530"]["epoch"] == 1583383830 and got["hello"]["epoch"] == 0
+
+
+def test_markup_by_hand(spark):
+    want = {
+        "<p>a</p><p>b</p>": "a \n\n b", "a<br>b<BR />c": "a \n b \n c", "<ul><li>x</li><li class='k'>y</li></ul>": "- x \n- y", "<script>var a='</p>';</script>z": "z", "<style>p{}</style>z": "z", "a [caption id=1] b": "a b",
+        "<!-- <p> -->c": "c", "&lt;b&gt; &amp;lt;": "<b> &lt;", "&#38;lt;": "&lt;", "&#2325;&#x0915;&eacute;&nbsp;x": "ककé\xa0x", "<h3>t</h3>u": "t u", "a < b": "a < b", "<pre>k</pre>": "k", "  \r\n x \t y ": "x y", None: "", "": "",
+    }
+    df = spark.createDataFrame([(k,) for k in want], "v string")
+    got = {r["v"]: r["t"] for r in df.select("v", text.html_to_text(F.col("v")).alias("t")).collect()}
+    assert got == want
+    bad = spark.createDataFrame([("a <b",), ("a <b> c",), (None,)], "v string").select(text.html_stats(F.col("v")).alias("s")).collect()
+    assert [(r["s"]["ok"], r["s"]["reason"]) for r in bad] == [(False, "unclosed tag"), (True, "parsed"), (True, "null")]

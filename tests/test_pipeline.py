@@ -67,6 +67,11 @@ def test_chunks_agree_with_row_model(spark):
         assert r["chunk_tokens"] <= 15 and r["chunk_id"] == f"{r['article_id']}::c{r['chunk_index']:04d}"
     for i, t, s, c, *_ in rows:
         assert got.get(i, []) == model_chunks(t, s, c, 12, 3, 15)
+    halves = text.Tokenizer(lambda c: F.flatten(F.transform(text.words(c), lambda w: F.array(F.substring(w, 1, 1), F.substring(w, 2, 99)))), join=lambda ts: F.array_join(ts, "~"))
+    some = spark.createDataFrame([("aa bb cc",)], "t string").select(text.truncate_words(F.col("t"), 3, halves).alias("cut"), F.explode(chunking.windows(F.col("t"), 4, 1, halves)).alias("w")).collect()
+    assert tuple(some[0]["cut"]) == ("a~a~b", True, 6) and [r["w"] for r in some] == ["a~a~b~b", "b~c~c"]
+    with pytest.raises(Exception, match="more than 5 tokens"):
+        spark.range(1).select(chunking.capped(F.lit(6), 5)).collect()
     for bad in ((200, 40, 600), (400, 40, 384), (10, 20, 20)):
         with pytest.raises(ValueError):
             chunking.check_sizes(*bad)
@@ -77,10 +82,10 @@ def test_chunk_pack_of_oversized_paragraphs(spark, tmp_path):
     rows = {"1": f"a b\n\n{long}\n\nc d e", "2": "a\n\nb c", "3": None}
     articles(spark, [(i, None, None, c, None, None, None) for i, c in rows.items()]).write.parquet(str(tmp_path / "articles_canonical.parquet"))
     got = {}
-    for r in catalog.QUERIES["chunk_pack_all"](spark, str(tmp_path)).orderBy("id", "pos").collect():
+    for r in catalog.chunk_pack(spark, str(tmp_path)).orderBy("id", "pos").collect():
         got.setdefault(r["id"], []).append((r["n_paragraphs"], r["n_words"]))
     assert got == {i: [(len(x.split("\n\n")), len(x.split())) for x in model_chunks(None, None, c, 200, 40, 384)[1:]] for i, c in rows.items() if c}
-    assert len(got["1"]) > 4 and "1" not in {r["id"] for r in catalog.chunk_pack(spark, str(tmp_path)).collect()}
+    assert len(got["1"]) > 4
 
 
 def test_windows(spark):
@@ -180,7 +185,7 @@ def _distance(a, b):
     return row[-1]
 
 
-def test_whole_lexical_forms_against_brute_force(spark, tmp_path):
+def test_lexical_search_against_brute_force(spark, tmp_path):
     d, rng = str(tmp_path), random.Random(4)
     words = "सुरक्षा सुरक्ष सुरक्षित मिट्टी मिटटी खेती गाँव training trainings beej bej sanrakshan school schools".split()
     some = lambda n: " ".join(rng.choice(words) for _ in range(n))
@@ -202,11 +207,9 @@ def test_whole_lexical_forms_against_brute_force(spark, tmp_path):
         for r in docs:
             if score := sum(w * max((near(t, v) for v in r[f].split()), default=0) for f, w in lexical.MODE_FIELDS[mode].items() for t in set(q.split())):
                 want[i, r["id"]] = score
-    got = {(r["query_id"], r["id"]): r["lexical_score"] for r in catalog.QUERIES["lexical_topk_all"](spark, d).collect()}
+    got = {(r["query_id"], r["id"]): r["lexical_score"] for r in catalog.lexical_topk(spark, d).collect()}
     assert got == want and {50, 100, 150} <= {i for i, _ in want}
-    assert {tuple(r) for r in catalog.QUERIES["fuzzy_tokens_all"](spark, d).collect()} == pairs
-    narrow = {(r["query_id"], r["id"]): r["lexical_score"] for r in catalog.lexical_topk(spark, d).collect()}
-    assert set(narrow) < set(want)
+    assert {tuple(r) for r in catalog.fuzzy_tokens(spark, d).collect()} == pairs
 
 
 def test_gazetteer(spark):
@@ -236,6 +239,12 @@ def test_logs(spark, tmp_path):
     assert sorted(ok) == [1, 4]
     assert sorted(r["id"] for r in feedback.cascade_delete(labels, log.where("id = 1")).collect()) == [2, 4, 5]
     assert feedback.referencing(labels, log).count() == 5
+    sink = str(tmp_path / "labels.parquet")
+    upsert.create_log(spark, sink, upsert.RELEVANCE_LABELS)
+    given = labels.drop("id").withColumn("created_at", F.lit("2024-01-01").cast("timestamp")).withColumn("note", F.lit("n"))
+    for last in (2, 4):
+        assert feedback.append_labels(sink, given, log).count() == 4
+        assert sorted(r["id"] for r in spark.read.parquet(sink).collect()) == list(range(1, last + 1))
     path = str(tmp_path / "log.parquet")
     upsert.create_log(spark, path, upsert.QUERY_LOG)
     upsert.create_log(spark, path, upsert.QUERY_LOG)
@@ -258,6 +267,13 @@ def test_csv_and_images(spark, tmp_path):
     (tmp_path / "gaz.json").write_text(__import__("json").dumps(body["gazetteer"]))
     assert sorted(map(tuple, files.read_gazetteer_json(spark, str(tmp_path / "gaz.json")).collect())) == [("tags", 0, "a", "a"), ("tags", 1, "b", "b")]
     assert files.core_queries(spark).count() == 11
+    cols = canonical.EXPORT_COLUMNS
+    sound = dict.fromkeys(cols, "") | {"ID": "7", "Content": "क", "Permalink": "https://x.example/", "Tags": "a"}
+    lines = [",".join(cols), ",".join(f'"{sound[c]}"' for c in cols), ",".join("x" if c == "ID" else f'"{sound[c]}"' for c in cols), "8,2020-01-01,only three", ",".join(f'"{sound[c]}"' for c in cols) + ",one,more"]
+    (tmp_path / "export.csv").write_text("\n".join(lines) + "\n")
+    for spans in (True, False):
+        good, bad = files.read_checked(spark, str(tmp_path / "export.csv"), records_span_lines=spans)
+        assert [r["ID"] for r in good.collect()] == ["7"] and sorted(r["reason"] for r in bad.collect()) == ["columns", "columns", "value"]
 
 
 def test_stream(spark, tmp_path):
@@ -273,6 +289,26 @@ def test_stream(spark, tmp_path):
     assert sorted((r["query_mode"], r["n"]) for r in spark.table("counts").collect()) == [("dev", 2), ("roman", 1)]
 
 
+def test_stream_by_buckets(spark, tmp_path):
+    path = str(tmp_path / "t")
+    write = logs.upsert_sink(path, ["id"], "v", buckets=4)
+    rows = lambda *xs: spark.createDataFrame(list(xs), "id bigint, v int")
+    with pytest.raises(FileNotFoundError):
+        logs.current(spark, path)
+    write(rows(*[(i, 1) for i in range(20)]), 0)
+    write(rows((3, 2), (3, 5), (4, 0), (99, None)), 1)
+    write(rows((3, 2), (3, 5), (4, 0), (99, None)), 1)  # delivered twice
+    got = {r["id"]: r["v"] for r in logs.current(spark, path).collect()}
+    assert got == {**{i: 1 for i in range(20)}, 3: 5, 99: None}
+    write(rows((3, 9)), 2)
+    (tmp_path / "t" / "batch=2" / "_SUCCESS").unlink()  # a batch that broke off
+    assert {r["id"]: r["v"] for r in logs.current(spark, path).collect()} == got
+    write(rows((3, 9)), 2)
+    assert {r["id"]: r["v"] for r in logs.current(spark, path).collect()} == {**got, 3: 9}
+    write(rows((3, 7)), 3)
+    assert len({p.name for p in (tmp_path / "t").glob("batch=*/bucket=*")}) == 4 and len(list((tmp_path / "t").glob("batch=*/bucket=*"))) < 8
+
+
 def test_search_end_to_end(spark, tmp_path):
     cols = canonical.EXPORT_COLUMNS
     base = dict.fromkeys(cols)
@@ -288,3 +324,62 @@ def test_search_end_to_end(spark, tmp_path):
     with pytest.raises(ValueError):
         hybrid.search_one(spark, " ", corpus, hybrid.Settings(now_ts=1), embed)
     assert hybrid.health()["ok"] and text.WS
+    query_log, candidate_log = str(tmp_path / "q"), str(tmp_path / "c")
+    upsert.create_log(spark, query_log, upsert.QUERY_LOG)
+    upsert.create_log(spark, candidate_log, upsert.CANDIDATE_LOG)
+    result = hybrid.search(spark.createDataFrame([(7, "बाल सुरक्षा"), (9, "library")], "query_id bigint, query string"), corpus, hybrid.Settings(now_ts=1), embed=embed)
+    for last in (2, 4):
+        assert len(feedback.append_search(query_log, candidate_log, result, F.lit("2024-01-01").cast("timestamp")).collect()) == 2
+        q, c = spark.read.parquet(query_log).collect(), spark.read.parquet(candidate_log).collect()
+        assert sorted(r["id"] for r in q) == list(range(1, last + 1)) and {r["query_id"] for r in c} == {r["id"] for r in q} and len({r["id"] for r in c}) == len(c)
+    near = hybrid.semantic_chunks(spark.createDataFrame([(1, "village library")], "query_id bigint, query string"), corpus.chunk_vectors, corpus.chunks, embed, k=2).collect()
+    assert near[0]["rank"] in (1, 2) and len(near) == 2
+
+
+def test_vector_index(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 64))
+    x = (centres[rng.integers(0, 20, 3000)] + rng.normal(size=(3000, 64))).astype(np.float32)
+    rows = [(f"k{i:04d}", v.tolist(), "x") for i, v in enumerate(x)]
+    df = spark.createDataFrame([*rows, *rows[:50], ("n", None, ""), ("z", [0.0] * 64, ""), ("s", [1.0], "")], "id string, vector array<float>, Cell string")
+    queries = spark.createDataFrame([(i, x[i * 37].tolist()) for i in range(40)], "query_id bigint, vector array<float>")
+    exact = vectors.top_k(queries, df, 40, "id").collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for i in (0, 7):
+        want = np.lexsort((np.arange(3000), -np.round(u.astype(float) @ u[i * 37].astype(float), 6)))[:40]
+        assert {r["id"] for r in exact if r["query_id"] == i} >= {f"k{j:04d}" for j in want[:35]}
+    index = vectors.build_index(df, "id")
+    assert index.rows.count() == df.count() and index.rows.where("cell = -1").count() == 3
+    index.write(str(tmp_path / "ix"), "id")
+    stored = vectors.read_index(spark, str(tmp_path / "ix"))
+    got = vectors.top_k(queries, stored, 40, "id", probes=6).collect()
+    found = {(r["query_id"], r["id"]) for r in got}
+    assert len(found & {(r["query_id"], r["id"]) for r in exact}) >= 0.9 * len(exact)
+    everything = vectors.top_k(queries, stored, 40, "id", probes=1000).collect()
+    assert sorted(map(tuple, everything)) == sorted(map(tuple, exact))
+    assert vectors.top_k(queries.limit(0), stored, 3, "id").count() == vectors.top_k(queries, vectors.build_index(df.limit(0), "id"), 3, "id").count() == 0
+    s = np.round(rng.integers(0, 3, (50, 200)) / 2, 3)  # many ties
+    assert (vectors._best(s, 7) == np.argsort(-s, axis=1, kind="stable")[:, :7]).all()
+
+
+def test_collections(spark, tmp_path):
+    path = str(tmp_path / "points")
+    vectors.create_collection(spark, path, "id string, n int", 2)
+    assert vectors.collection_dims(spark, path) == 2
+    t = spark.createDataFrame([("1", 5, [1.0, 2.0]), ("2", None, [1.0, 0.0]), ("3", 1, [1.0])], "id string, n int, vector array<float>")
+    points = t.select(F.col("id").cast("decimal(20,0)").alias("point_id"), "id", "n", "vector")
+    assert vectors.upsert_points(spark, path, points).first() == (2, 1, ["3"])
+    assert vectors.upsert_points(spark, path, points.where("id = '1'").withColumn("n", F.lit(6))).first() == (1, 0, [])
+    assert sorted((r["id"], r["n"]) for r in spark.read.parquet(path).collect()) == [("1", 6), ("2", None)] and vectors.collection_dims(spark, path) == 2
+    assert [r["point_id"] for r in vectors.vector_points(t, "id", 2, numeric_key=True).orderBy("point_id").collect()] == [1, 2]
+    with pytest.raises(Exception, match="no number"):
+        vectors.vector_points(t.withColumn("id", F.lit("x")), "id", 2, numeric_key=True).collect()
+
+
+def test_many_gazetteer_values_in_blocks(spark):
+    gaz = spark.createDataFrame([(f, i, v, v) for f in ("tags", "locations") for i, v in enumerate(["red barn", "red hill", "red", "blue hill", "hill", "barn"])], "field string, ord int, value string, value_roman string")
+    q = spark.createDataFrame([("red barn hill", "roman"), ("blue", "mixed")], "query_used string, query_mode string")
+    want = sorted(map(tuple, gazetteer.detect(q, gaz).collect()))
+    assert len(want) >= 8 and sorted(map(tuple, gazetteer.detect(q, gaz, most=3).collect())) == want
