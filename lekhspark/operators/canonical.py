@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lekhspark.functions import dates, text, unicode
 from lekhspark.operators.rejects import EXPORT_COLUMNS
-from lekhspark.session import settle_names
+from lekhspark.operators.vectors import ingest_report
+from lekhspark.session import cut_lineage, one_per_key, settle_names
+from lekhspark.sources.upsert import replace_table, upsert
 
 MULTI_FIELDS = ("Categories", "Locations", "Tags", "Contributors")
 
@@ -96,6 +99,34 @@ def concat_exports(*exports: DataFrame, key: str = "ID", order: tuple[str, ...]
     return both.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == 1).drop("_n", "_file")
 
 
+# The fields of the search index; those that are NOT NULL are required.
+INDEX_SCHEMA = (
+    "id string NOT NULL, url string NOT NULL, published_date string, published_ts bigint NOT NULL, title_hi string NOT NULL, summary_hi string, content_hi string, "
+    "title_roman_norm string, summary_roman_norm string, content_roman_norm string, categories_norm array<string>, locations_norm array<string>, tags_norm array<string>, contributors_norm array<string>, "
+    "article_type string, multimedia_type string, partner_label string, content_mixed_norm string"
+)
+
+
+def create_index(spark, path: str) -> dict:
+    """An empty index table in place of any there is; gives its declared schema for export."""
+    schema = T.StructType.fromDDL(INDEX_SCHEMA)
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+    return schema.jsonValue()
+
+
+def upsert_index(spark, path: str, docs: DataFrame) -> DataFrame:
+    """Documents replace those of the same id; one row with how many were written and refused (a required field is null), and a few refused ids."""
+    schema = T.StructType.fromDDL(INDEX_SCHEMA)
+    fits = F.lit(True)
+    for f in schema.fields:
+        if not f.nullable:
+            fits = fits & F.col(f.name).isNotNull()
+    report = cut_lineage(ingest_report(docs.select(F.col("id").alias("key"), fits.alias("ok"))))
+    new = one_per_key(docs.where(fits).select(*schema.names), "id")
+    replace_table(upsert(spark.read.parquet(path), new, ["id"]), path)
+    return report
+
+
 def index_documents(canon: DataFrame) -> DataFrame:
     """The search index's rows: required fields never null, romanized and mixed fields, lists without nulls."""
     blank = lambda c: F.when(~text.is_nullish(F.col(c)), F.col(c)).otherwise("")

@@ -131,6 +131,12 @@ class Layout:
 STAGES = ("canonical", "gazetteer", "index_documents", "postings", "vocabulary", "chunks", "article_vectors", "chunk_vectors")
 
 
+def open_corpus(spark: SparkSession, layout: Layout) -> Corpus:
+    """The tables a pipeline has written; a missing one is Spark's error."""
+    read = lambda name: spark.read.parquet(layout.path(name))
+    return Corpus(read("index_documents"), read("postings"), read("vocabulary"), ranking.article_metadata(read("canonical")), read("article_vectors"), read("chunk_vectors"), read("chunks"), read("gazetteer"))
+
+
 def run_pipeline(spark: SparkSession, raw: DataFrame, layout: Layout, embed=None, rebuild: bool = False) -> Corpus:
     """Raw export to searchable tables; a stage whose table exists is skipped unless ``rebuild``."""
     embed = embed or vectors.hashing_embedding()
@@ -145,6 +151,7 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, layout: Layout, embed=None
             build().write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
 
+    # Every stage reads what the stages before it have stored.
     canon = stage("canonical", lambda: canonical.canonical(raw))
     gaz = stage("gazetteer", lambda: gazetteer.build(canon))
     docs = stage("index_documents", lambda: canonical.index_documents(canon))

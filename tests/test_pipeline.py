@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lekhspark import cli
 from lekhspark.functions import text
 from lekhspark.operators import canonical, chunking, feedback, gazetteer, lexical, quality, ranking, vectors
 from lekhspark.plans import catalog, hybrid
@@ -332,6 +333,16 @@ def test_search_end_to_end(spark, tmp_path):
         assert len(feedback.append_search(query_log, candidate_log, result, F.lit("2024-01-01").cast("timestamp")).collect()) == 2
         q, c = spark.read.parquet(query_log).collect(), spark.read.parquet(candidate_log).collect()
         assert sorted(r["id"] for r in q) == list(range(1, last + 1)) and {r["query_id"] for r in c} == {r["id"] for r in q} and len({r["id"] for r in c}) == len(c)
+    call = lambda *a: cli.main([*a, "--root", str(tmp_path), "--now", "1700000000"], spark, embed)
+    assert call("search", "--query", "बाल सुरक्षा", "--per-page", "2", "--report", str(tmp_path / "r" / "x.json"))["results"][0]["article_id"] == "0" and (tmp_path / "r" / "x.json").exists()
+    assert call("lexical", "--query", "library", "--sort-by", "published_ts:desc")["found"] == 1
+    assert call("semantic", "--query", "village library")["hits"][0]["rank"] == 1
+    assert call("canonical", "--query", "Bihaar Yojnaa")["q"] == "bihar yojana"
+    ix = str(tmp_path / "ix.parquet")
+    assert len(canonical.create_index(spark, ix)["fields"]) == 18
+    assert canonical.upsert_index(spark, ix, corpus.docs.withColumn("url", F.when(F.col("id") != "1", F.lit("u")))).first() == (2, 1, ["1"])
+    assert canonical.upsert_index(spark, ix, corpus.docs.where("id = '0'").withColumn("url", F.lit("v"))).first() == (1, 0, [])
+    assert sorted((r["id"], r["url"]) for r in spark.read.parquet(ix).collect()) == [("0", "v"), ("2", "u")]
     near = hybrid.semantic_chunks(spark.createDataFrame([(1, "village library")], "query_id bigint, query string"), corpus.chunk_vectors, corpus.chunks, embed, k=2).collect()
     assert near[0]["rank"] in (1, 2) and len(near) == 2
 
