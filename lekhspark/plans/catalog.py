@@ -5,6 +5,7 @@ Searches take as queries every row of the query log, or every vector, whose id i
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 from lekhspark.functions import dates, text, unicode
 from lekhspark.operators import canonical, chunking, feedback, gazetteer, lexical, multivalue, quality, ranking, rejects, vectors
 from lekhspark.plans import hybrid, sql
-from lekhspark.session import cut_lineage, one_per_key, table
-from lekhspark.sources.upsert import latest, upsert
+from lekhspark.session import cut_lineage, ensure_checkpoint_dir, one_per_key, table
+from lekhspark.sources import files
+from lekhspark.sources.upsert import RELEVANCE_LABELS, create_log, latest, upsert
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -751,6 +753,93 @@ def candidate_log(spark, d):
     return feedback.candidate_rows(_ranked(spark, d)).select("query_id", F.col("rank").cast("long").alias("rank"), "article_id", F.round("score", 6).alias("score"))
 
 
+# ---- Sources and sinks: written to the shared folder and read again
+
+
+def _scratch(spark, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+_EXPORTED = ("ID", "Title", "Content", "Permalink", "Tags", "wph_summary")
+
+
+@query("SELECT src_row::VARCHAR AS src_row, " + ", ".join(f"CASE WHEN {c} <> '' THEN {sql.sub(c, '\\r\\n?', chr(10))} END AS {c}" for c in _EXPORTED) + " FROM articles")
+def csv_round_trip(spark, d):
+    """Every article written as CSV and read again: quotes, commas and line ends inside fields survive (line ends as \\n), blanks become null."""
+    path = _scratch(spark, "csv")
+    files.write_csv(table(spark, d, "articles").select("src_row", *_EXPORTED), path)
+    back = files.read_csv(spark, path)
+    return back.select("src_row", *[F.regexp_replace(F.when(F.col(c) != "", F.col(c)), "\\r\\n?", "\n").alias(c) for c in _EXPORTED])
+
+
+@query("SELECT ID, Permalink AS image_url, src_row FROM (SELECT trim(ID) AS ID, trim(Permalink) AS Permalink, src_row, row_number() OVER (PARTITION BY trim(ID) ORDER BY src_row DESC) AS n FROM articles WHERE trim(ID) <> '' AND trim(Permalink) <> '') WHERE n = 1")
+def featured_images(spark, d):
+    """The side table of images, the address standing in for one; the last row of an ID wins."""
+    a = table(spark, d, "articles").select("src_row", "ID", F.col("Permalink").alias("Featured-Image"))
+    last = files.featured_images(a, order_col="src_row")
+    rows = a.groupBy(text.trim_all(F.col("ID")).alias("id")).agg(F.max(F.when(text.trim_all(F.col("Featured-Image")) != "", F.col("src_row"))).alias("src_row"))
+    return last.join(rows, "id").select(F.col("id").alias("ID"), "image_url", "src_row")
+
+
+@query("SELECT field, ord, value, value_roman FROM gazetteer")
+def gazetteer_round_trip(spark, d):
+    """The gazetteer in its export form, written as JSON and read again."""
+    path = _scratch(spark, "gazetteer")
+    files.gazetteer_map(table(spark, d, "gazetteer")).select(F.to_json("gazetteer").alias("value")).write.text(path)
+    return files.read_gazetteer_json(spark, path)
+
+
+@query("SELECT * FROM (VALUES (1, 'महिला सशक्तिकरण'), (2, 'बिहार स्वास्थ्य'), (3, 'आशा कार्यकर्ताओं का प्रशिक्षण बिहार'), (4, 'शिक्षा कार्यक्रम'), (5, 'किशोरियों के लिए योजना'), (6, 'rural health workers training'), (7, 'csr education impact'), (8, 'mahila yojana bihar'), (9, 'जलवायु परिवर्तन कृषि'), (10, 'स्थानीय शासन पंचायत'), (11, 'आदिवासी समुदाय अधिकार')) AS t(query_id, query)")
+def core_queries(spark, d):
+    return files.core_queries(spark).withColumn("query_id", F.col("query_id").cast("int"))
+
+
+@query(f"""WITH {_LABELS_CTE}, good AS (SELECT query_id, article_id, label FROM labels WHERE CASE WHEN article_id IS NULL THEN label = 0 ELSE label IN (0, 1) END AND query_id IN (SELECT id FROM query_log))
+    SELECT row_number() OVER (ORDER BY query_id, article_id NULLS FIRST, label) AS id, query_id, article_id, label FROM good""")
+def label_append(spark, d):
+    """Labels appended to their log: wrong ones are refused, the others get dense ids."""
+    path = _scratch(spark, "labels")
+    create_log(spark, path, RELEVANCE_LABELS)
+    given = _labels(spark, d).drop("id").withColumns({"created_at": F.lit("2024-01-01").cast("timestamp"), "note": F.lit(None).cast("string")})
+    feedback.append_labels(path, given, table(spark, d, "query_log"))
+    return spark.read.parquet(path).select("id", "query_id", "article_id", "label")
+
+
+@query(
+    f"""WITH {_LABELS_CTE}, good AS (SELECT query_id, article_id, max(label) AS label FROM labels WHERE article_id IS NOT NULL GROUP BY ALL) SELECT query_id, count(*) AS n_labels, sum(label)::BIGINT AS n_relevant FROM good GROUP BY query_id"""
+)
+def label_summary(spark, d):
+    """Labels read back by query."""
+    none = spark.createDataFrame([], "query_id bigint, article_id string, rank int")
+    return feedback.label_summary(_labels(spark, d), none).select("query_id", "n_labels", "n_relevant")
+
+
+@query(
+    f"""SELECT id, round(latin, 6) AS latin_pct, round(dev, 6) AS dev_pct, substring(content_hi, 1, 200) AS snippet FROM (SELECT id, content_hi, {sql.count('content_hi', r'\p{Latin}')}::DOUBLE / length(content_hi) AS latin,
+    {sql.count('content_hi', r'\p{Devanagari}')}::DOUBLE / length(content_hi) AS dev FROM articles_canonical WHERE NOT {sql.blank('content_hi')}) WHERE latin > 0.10 ORDER BY id, snippet LIMIT 25"""
+)
+def contaminated_sample(spark, d):
+    """The first 25 such articles by id."""
+    return quality.contaminated_sample(table(spark, d, "articles_canonical"))
+
+
+@query("SELECT article_id, chunk_index, chunk_id, chunk_tokens, chunk_text FROM (SELECT DISTINCT article_id, chunk_index, chunk_id, chunk_tokens, chunk_text FROM chunks) ORDER BY article_id, chunk_index, chunk_id LIMIT 10")
+def chunk_samples(spark, d):
+    """The first ten chunks."""
+    return quality.chunk_samples(table(spark, d, "chunks"))
+
+
+_RAW_OR_BLANK = "coalesce(query_raw, '')"
+
+
+@query(
+    f"SELECT id, array_to_string({sql.tokens(_spaced('query_raw'))}, '¦') AS tokens, 'query: ' || {sql.trim(_RAW_OR_BLANK)} AS prefixed FROM query_log"
+)
+def loose_tokens(spark, d):
+    q = F.col("query_raw")
+    return table(spark, d, "query_log").select("id", F.array_join(text.loose_tokens(q), "¦").alias("tokens"), text.prefixed(q, "query").alias("prefixed"))
+
+
 # ---- Everything together
 
 

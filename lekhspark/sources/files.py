@@ -46,7 +46,7 @@ def read_checked(spark: SparkSession, path: str | Sequence[str], **options) -> t
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
-    (df.coalesce(1) if single_file else df).write.mode("overwrite").options(header=True, quoteAll=True, escape='"').csv(path)
+    (df.coalesce(1) if single_file else df).write.mode("overwrite").options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
