@@ -53,7 +53,8 @@ def leg_counts(lexical: DataFrame, articles: DataFrame, chunks: DataFrame, candi
 
 def article_metadata(canon: DataFrame, images: DataFrame | None = None) -> DataFrame:
     """What hits show of an article and the ranker compares; lists are never null. Repeated articles stay repeated: ``with_metadata`` settles those it needs."""
-    lists = [text.clean_list(F.col(f"{f}_{kind}")).alias(f"{f}{suffix}") for f in LISTS for kind, suffix in (("raw", ""), ("norm", "_norm"))]
+    as_list = lambda c: text.as_list(F.col(c), canon.schema[c].dataType.typeName() == "array")
+    lists = [as_list(f"{f}_{kind}").alias(f"{f}{suffix}") for f in LISTS for kind, suffix in (("raw", ""), ("norm", "_norm"))]
     out = canon.select(F.col("id").cast("string").alias("article_id"), *[text.non_blank(F.col(c)).alias(n) for c, n in (("url", "url"), ("title_hi", "title"), ("summary_hi", "summary"), ("published_date", "published_date"), ("partner_label", "partner_label"))], F.coalesce("published_ts", F.lit(0)).alias("published_ts"), *lists)
     out = out.withColumn("primary_category", F.get("categories", F.lit(0)))
     if images is None:

@@ -100,10 +100,16 @@ def read_index(spark, path: str) -> VectorIndex:
     return VectorIndex(spark.read.parquet(f"{path}/rows"), np.array([r["mark"] for r in marks], np.float32))
 
 
-def build_index(vectors: DataFrame, key_col: str, vec_col: str = "vector", dims: int = 64, sample_rows: int = SAMPLE_ROWS, cells_per_root: float = CELLS_PER_ROOT) -> VectorIndex:
-    """Every row of ``vectors`` with its cell. Landmarks are fitted on the ``sample_rows`` vectors with the smallest hash of their key, four or more for each cell."""
+def build_index(vectors: DataFrame, key_col: str, vec_col: str = "vector", dims: int | None = None, sample_rows: int = SAMPLE_ROWS, cells_per_root: float = CELLS_PER_ROOT) -> VectorIndex:
+    """Every row of ``vectors`` with its cell. Landmarks are fitted on the ``sample_rows`` vectors with the smallest hash of their key, four or more for each cell.
+
+    ``dims``: the size of the vectors that count; by default the most frequent one.
+    """
     vectors = settle_names(vectors, (key_col, vec_col, "cell")).withColumnsRenamed({"cell": "cell_extra"})
     names = vectors.columns
+    if dims is None:
+        sizes = vectors.where(F.size(vec_col) > 0).groupBy(F.size(vec_col).alias("d")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "d").first()
+        dims = sizes["d"] if sizes else 1
     drawn = vectors.where(F.size(vec_col) == dims).select(F.col(vec_col).alias("v")).orderBy(F.xxhash64(F.col(key_col).cast("string")), F.col(key_col)).limit(sample_rows).collect()
     x = np.array([[np.nan if e is None else e for e in r["v"]] for r in drawn], np.float64).reshape(-1, dims)
     x = np.unique(_unit(x)[0], axis=0) if len(x) else x
@@ -194,9 +200,9 @@ def top_k(queries: DataFrame, vectors: DataFrame | VectorIndex, k: int, key_col:
     return top.select("query_id", *[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "score", "rank")
 
 
-def article_text(title: Column, summary: Column, max_tokens: int = 384) -> Column:
+def article_text(title: Column, summary: Column, max_tokens: int = 384, tokenizer: text.Tokenizer = text.WORDS) -> Column:
     """What an article's vector is made of: title and summary, cut to size, as a passage; with the truncation flag."""
-    cut = text.truncate_words(text.join_non_blank(title, summary), max_tokens)
+    cut = text.truncate_words(text.join_non_blank(title, summary), max_tokens, tokenizer)
     return F.struct(text.prefixed(cut["text"], "passage").alias("text"), cut["was_truncated"].alias("was_truncated"), cut["tokens"].alias("tokens"))
 
 
@@ -232,15 +238,15 @@ def hashing_embedding(dims: int = 64):
     return embed
 
 
-def embed_articles(canon: DataFrame, embed, max_tokens: int = 384) -> DataFrame:
+def embed_articles(canon: DataFrame, embed, max_tokens: int = 384, tokenizer: text.Tokenizer = text.WORDS) -> DataFrame:
     """The article-vector table."""
-    t = canon.withColumn("_t", article_text(F.col("title_hi"), F.col("summary_hi"), max_tokens))
+    t = canon.withColumn("_t", article_text(F.col("title_hi"), F.col("summary_hi"), max_tokens, tokenizer))
     return t.select("id", "url", "published_date", "published_ts", embed(F.col("_t.text")).alias("vector"), F.col("_t.was_truncated").alias("was_truncated"))
 
 
-def embed_chunks(chunks: DataFrame, embed, max_tokens: int = 384) -> DataFrame:
+def embed_chunks(chunks: DataFrame, embed, max_tokens: int = 384, tokenizer: text.Tokenizer = text.WORDS) -> DataFrame:
     """The chunk-vector table."""
-    t = chunks.withColumn("_t", text.truncate_words(F.col("chunk_text"), max_tokens))
+    t = chunks.withColumn("_t", text.truncate_words(F.col("chunk_text"), max_tokens, tokenizer))
     names = ["chunk_id", "article_id", "chunk_index", "url", "published_date", "published_ts", "title_hi", "chunk_tokens"]
     return t.select(*names, embed(text.prefixed(F.col("_t.text"), "passage")).alias("vector"), F.col("_t.was_truncated").alias("was_truncated"))
 

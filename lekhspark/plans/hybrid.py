@@ -27,6 +27,8 @@ class Corpus:
     chunk_vectors: DataFrame
     chunks: DataFrame
     gazetteer: DataFrame
+    article_index: vectors.VectorIndex | None = None
+    chunk_index: vectors.VectorIndex | None = None
 
 
 @dataclass(frozen=True)
@@ -40,6 +42,8 @@ class Settings:
     cap: int = ranking.CANDIDATE_CAP
     filter_semantic: bool = False
     ascii_typos: bool = False
+    #: Cells of the vector indexes that each query visits; 0 compares all vectors.
+    probes: int = 0
 
 
 def canonical_queries(requests: DataFrame, compose: bool = True) -> DataFrame:
@@ -75,8 +79,13 @@ def search(requests: DataFrame, corpus: Corpus, settings: Settings, query_vector
     lex = cut_lineage(lexical.search(flagged, corpus.docs, settings.lexical_k, ascii_only=settings.ascii_typos, posts=corpus.postings, vocabulary=corpus.vocabulary))
     if query_vectors is None:
         query_vectors = q.select("query_id", embed(text.prefixed(F.col("query_semantic"), "query")).alias("vector"))
-    art = vectors.top_k(query_vectors, corpus.article_vectors, settings.article_k, "id")
-    chk = vectors.top_k(query_vectors, corpus.chunk_vectors.where(F.col("article_id").isNotNull()), settings.chunk_k, "chunk_id", payload=("article_id",))
+    by_article, by_chunk = corpus.article_vectors, corpus.chunk_vectors.where(F.col("article_id").isNotNull())
+    if settings.probes:
+        if corpus.article_index is None or corpus.chunk_index is None:
+            raise ValueError("the corpus has no vector indexes")
+        by_article, by_chunk = corpus.article_index, vectors.VectorIndex(corpus.chunk_index.rows.where(F.col("article_id").isNotNull()), corpus.chunk_index.marks)
+    art = vectors.top_k(query_vectors, by_article, settings.article_k, "id", probes=settings.probes or 1)
+    chk = vectors.top_k(query_vectors, by_chunk, settings.chunk_k, "chunk_id", payload=("article_id",), probes=settings.probes or 1)
     if settings.filter_semantic:
         filters = q.select("query_id", F.col("filter_by_final").alias("filter_by"))
         art = lexical.passing(filters, art, corpus.docs)
@@ -128,7 +137,7 @@ class Layout:
 
 
 #: Stages in order with what each needs.
-STAGES = ("canonical", "gazetteer", "index_documents", "postings", "vocabulary", "chunks", "article_vectors", "chunk_vectors")
+STAGES = ("canonical", "gazetteer", "index_documents", "postings", "vocabulary", "chunks", "article_vectors", "chunk_vectors", "article_index", "chunk_index")
 
 
 def open_corpus(spark: SparkSession, layout: Layout) -> Corpus:
@@ -137,8 +146,8 @@ def open_corpus(spark: SparkSession, layout: Layout) -> Corpus:
     return Corpus(read("index_documents"), read("postings"), read("vocabulary"), ranking.article_metadata(read("canonical")), read("article_vectors"), read("chunk_vectors"), read("chunks"), read("gazetteer"))
 
 
-def run_pipeline(spark: SparkSession, raw: DataFrame, layout: Layout, embed=None, rebuild: bool = False) -> Corpus:
-    """Raw export to searchable tables; a stage whose table exists is skipped unless ``rebuild``."""
+def run_pipeline(spark: SparkSession, raw: DataFrame, layout: Layout, embed=None, rebuild: bool = False, index: bool = False) -> Corpus:
+    """Raw export to searchable tables, with vector indexes if ``index``; a stage whose table exists is skipped unless ``rebuild``."""
     embed = embed or vectors.hashing_embedding()
 
     def exists(path: str) -> bool:
@@ -160,4 +169,9 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, layout: Layout, embed=None
     chunks = stage("chunks", lambda: chunking.chunk_articles(canon))
     art = stage("article_vectors", lambda: vectors.embed_articles(canon, embed))
     chk = stage("chunk_vectors", lambda: vectors.embed_chunks(chunks, embed))
-    return Corpus(docs, posts, words, ranking.article_metadata(canon), art, chk, chunks, gaz)
+    indexes = []
+    for name, table, key in (("article_index", art, "id"), ("chunk_index", chk, "chunk_id")) if index else ():
+        if rebuild or not exists(f"{layout.path(name)}/marks"):
+            vectors.build_index(table, key).write(layout.path(name), key)
+        indexes.append(vectors.read_index(spark, layout.path(name)))
+    return Corpus(docs, posts, words, ranking.article_metadata(canon), art, chk, chunks, gaz, *indexes)

@@ -325,6 +325,11 @@ def test_search_end_to_end(spark, tmp_path):
     with pytest.raises(ValueError):
         hybrid.search_one(spark, " ", corpus, hybrid.Settings(now_ts=1), embed)
     assert hybrid.health()["ok"] and text.WS
+    indexed = hybrid.run_pipeline(spark, raw.limit(0), layout, embed, index=True)
+    again = hybrid.search_one(spark, "बाल सुरक्षा", indexed, hybrid.Settings(now_ts=1_700_000_000, probes=50), embed, per_page=2, explain=True)
+    assert again["results"] == out["results"]
+    with pytest.raises(ValueError):
+        hybrid.search_one(spark, "x", corpus, hybrid.Settings(now_ts=1, probes=2), embed)
     query_log, candidate_log = str(tmp_path / "q"), str(tmp_path / "c")
     upsert.create_log(spark, query_log, upsert.QUERY_LOG)
     upsert.create_log(spark, candidate_log, upsert.CANDIDATE_LOG)
