@@ -42,7 +42,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lekhspark.llm.arrow import Shared
-from lekhspark.session import broadcast_if_small, settle_names
+from lekhspark.operators.vectors import fit_landmarks
+from lekhspark.session import broadcast_if_small, cut_lineage, settle_names
 
 DIMS, K, TABLES, PROBES = 64, 5, 1, 8
 SAMPLE_ROWS, MAX_SAMPLE, CELLS_PER_ROOT = 16_384, 262_144, 0.3
@@ -76,20 +77,6 @@ def classes(df: DataFrame, key_col: str, vec_col: str, dims: int, k: int) -> Dat
     return few.groupBy("vec").agg(keys.alias("keys")).select(F.element_at("keys", 1).alias("id"), F.slice("keys", 2, k).alias("others"), "vec")
 
 
-def fit_landmarks(sample: np.ndarray, cells: int, seed: int, rounds: int = 8) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    x = _unit(sample).astype(np.float32)
-    c = x[rng.choice(len(x), min(cells, len(x)), replace=False)].copy()
-    for _ in range(rounds):
-        near = np.concatenate([(x[i : i + 2048] @ c.T).argmax(1) for i in range(0, len(x), 2048)])
-        total = np.zeros_like(c)
-        np.add.at(total, near, x)
-        size = np.linalg.norm(total, axis=1)
-        alone = size < 1e-6
-        c = np.where(alone[:, None], x[rng.choice(len(x), len(c))], total / np.maximum(size, 1e-6)[:, None])
-    return c.astype(np.float32)
-
-
 def parts_of(marks: np.ndarray, weight: np.ndarray, size: int = PART_CELLS) -> np.ndarray:
     """The part of each cell: cells are halved along their widest direction until ``size`` or fewer are left."""
     part = np.empty(len(marks), np.int32)
@@ -255,7 +242,7 @@ def neighbours(
     x = np.unique(x, axis=0)
     cells = min(cells, max(8, len(x) // 4), len(x))
     visit = min(probes, cells)
-    plans = [plan_table(x, fit_landmarks(x, cells, seed), visit, rows, part_rows, part_cells) for seed in range(tables)]
+    plans = [plan_table(x, fit_landmarks(_unit(x), cells, seed), visit, rows, part_rows, part_cells) for seed in range(tables)]
     shared = Shared(spark, pickle.loads, pickle.dumps(plans, protocol=5))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,11 +291,20 @@ def members(near: DataFrame, k: int = K, least: float = -1.0) -> DataFrame:
 
 
 def further_members(df: DataFrame, key_col: str, vec_col: str = "vector", k: int = K, dims: int = DIMS) -> DataFrame:
-    """``a, b, cos, rank`` of the keys that ``members`` leaves out: those of a class behind its ``k + 1`` smallest, whose neighbours are its ``k`` smallest."""
-    df = settle_names(df, (key_col, vec_col))
-    full = classes(df, key_col, vec_col, dims, k).where(F.size("others") == k)
+    """``a, b, cos, rank`` of the keys that ``members`` leaves out: those of a class behind its ``k + 1`` smallest, whose neighbours are its ``k`` smallest.
+
+    Vectors are counted by their hash; only rows of keys that hold one of more than ``k + 1`` keys are looked at further.
+    """
+    df = settle_names(df, (key_col, vec_col)).select(F.col(key_col).cast("string").alias("key"), F.col(vec_col).cast("array<float>").alias("vec")).where(F.col("key").isNotNull())
+    same = F.xxhash64(F.transform("vec", lambda x: x + F.lit(0.0).cast("float")))  # 0 and -0 are one number
+    crowded = cut_lineage(df.where(F.size("vec") == dims).select("key", same.alias("same")).distinct().groupBy("same").agg(F.count("*").alias("n")).where(F.col("n") > k + 1).select("same"))
+    if crowded.isEmpty():
+        return df.sparkSession.createDataFrame([], "a string, b string, cos double, rank int")
+    keys = df.withColumn("same", same).join(broadcast_if_small(crowded), "same", "left_semi").select("key").distinct()
+    df = df.join(keys, "key", "left_semi")
+    full = classes(df, "key", "vec", dims, k).where(F.size("others") == k)
     kept = broadcast_if_small(full.select("vec", F.array_insert("others", 1, F.col("id")).alias("kept")), 100_000)
-    rest = _per_key(df, key_col, vec_col, dims).join(kept, "vec").where(F.col("key") > F.element_at("kept", -1))
+    rest = _per_key(df, "key", "vec", dims).join(kept, "vec").where(F.col("key") > F.element_at("kept", -1))
     near = rest.select(F.col("key").alias("a"), F.posexplode(F.slice("kept", 1, k)).alias("at", "b"))
     return near.select("a", "b", F.lit(1.0).alias("cos"), (F.col("at") + 1).alias("rank"))
 

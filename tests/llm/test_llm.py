@@ -231,7 +231,7 @@ def test_split_parts_give_the_same_neighbours(spark):
     near = lambda **kw: {r["id"]: [(n["id"], n["cos"]) for n in r["near"]] for r in knn.neighbours(df, "id", **kw).collect()}
     whole, split = near(part_cells=4), near(part_cells=4, part_rows=60)
     assert whole == split and len(whole) == 900
-    plan = knn.plan_table(x, knn.fit_landmarks(x, 12, 0), 8, 900, 60, 4)
+    plan = knn.plan_table(x, knn.fit_landmarks(knn._unit(x), 12, 0), 8, 900, 60, 4)
     assert plan["points"].max() > 2 and plan["queries"].max() > 2
     close = knn.neighbours(df, "id", least=0.9).collect()
     want = {i: [x for x in n if x[1] >= 0.9] for i, n in whole.items()}
@@ -248,14 +248,20 @@ def test_every_copy_has_its_neighbours(spark, tmp_path):
     x[200:206] = x[200]  # just as many as a class keeps
     x[210:217] = x[210]
     rows = [(f"k{i:05d}", v.tolist()) for i, v in enumerate(x)]
+    x[100:110, :3] = 0.0
+    x[100:110] = x[100]
+    rows[100:110] = [(f"k{i:05d}", [0.0 if i % 2 else -0.0] * 3 + x[100].tolist()[3:]) for i in range(100, 110)]
+    more = [("k00050", [-9.0] + x[0].tolist()[1:])]  # a smaller vector of one of the copies' keys: that counts
     df = spark.createDataFrame([*rows, *rows[:3], ("n", [0.0] * 64)], "id string, vector array<float>")
+    other = spark.createDataFrame([*rows, *more], "id string, vector array<float>")
+    assert "k00050" not in {r["a"] for r in knn.further_members(other, "id").collect()} and knn.further_members(other, "id").count() == 5 * (99 - 6 + 1 + 4)
     df.write.parquet(str(tmp_path / "article_vectors.parquet"))
     df.limit(0).withColumnRenamed("id", "chunk_id").write.parquet(str(tmp_path / "chunk_vectors.parquet"))
     got = {}
     for r in queries.p7_neighbours(spark, str(tmp_path)).collect():
         got.setdefault(r["a"], []).append((r["rank"], r["b"]))
     assert set(got) == {k for k, _ in rows} and all(sorted(n for n, _ in near) == [1, 2, 3, 4, 5] for near in got.values())
-    for group in (range(100), range(200, 206), range(210, 217)):
+    for group in (range(100), range(100, 110), range(200, 206), range(210, 217)):
         for i in group:
             assert [b for _, b in sorted(got[f"k{i:05d}"])] == [f"k{j:05d}" for j in group if j != i][:5]
 
