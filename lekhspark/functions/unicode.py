@@ -101,36 +101,18 @@ HK_CONSONANTS = dict(
 )
 HK_MARKS = {"ं": "M", "ः": "H", "ँ": "~", "ऽ": "'", "।": "|", "॥": "||", "ॐ": "OM"} | {chr(0x966 + d): str(d) for d in range(10)}
 _VIRAMA, _NUKTA = "्", "़"
-_WITH_NUKTA = re.compile("[\u0929\u0931\u0934\u0958-\u095f]")
+# Noncharacters: the first stands for the vowel a consonant carries by itself, the second leads a sign that takes its place.
+_OWN, _TAKEN = "\ufdd0", "\ufdd1"
+_ROMAN = {**HK_VOWELS, **HK_MARKS, **{c: r + _OWN for c, r in HK_CONSONANTS.items()}, **{c: _TAKEN + r for c, r in HK_SIGNS.items()}, _VIRAMA: _TAKEN, _NUKTA: ""}
+_ROMAN |= {c: _ROMAN[unicodedata.normalize("NFD", c)[0]] for c in map(chr, (0x929, 0x931, 0x934, *range(0x958, 0x960)))}
+_ROMAN_TABLE = str.maketrans(_ROMAN)
 
 
 def to_roman_text(s: str) -> str:
-    """Devanagari to Harvard-Kyoto: a consonant carries ``a`` unless a vowel sign or a virama follows; other characters stay."""
-    out: list[str] = []
-    bare = False  # a consonant still waits for its vowel
-    if "ऀ" <= max(s, default=""):
-        s = _WITH_NUKTA.sub(lambda m: unicodedata.normalize("NFD", m[0]), s)
-    for ch in s:
-        if ch in HK_CONSONANTS:
-            if bare:
-                out.append("a")
-            out.append(HK_CONSONANTS[ch])
-            bare = True
-        elif ch == _NUKTA:
-            continue
-        elif ch == _VIRAMA:
-            bare = False
-        elif ch in HK_SIGNS:
-            out.append(HK_SIGNS[ch])
-            bare = False
-        else:
-            if bare:
-                out.append("a")
-                bare = False
-            out.append(HK_VOWELS.get(ch) or HK_MARKS.get(ch) or ch)
-    if bare:
-        out.append("a")
-    return "".join(out)
+    """Devanagari to Harvard-Kyoto: a consonant carries ``a`` unless a vowel sign or a virama follows; nuktas go, other characters stay."""
+    if s.isascii():
+        return s
+    return s.translate(_ROMAN_TABLE).replace(_OWN + _TAKEN, "").replace(_TAKEN, "").replace(_OWN, "a")
 
 
 to_roman = _text_udf(to_roman_text)
