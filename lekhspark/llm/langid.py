@@ -31,7 +31,6 @@ import itertools
 import json
 import math
 import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
