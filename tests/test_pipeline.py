@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from lekhspark import cli
 from lekhspark.functions import text
 from lekhspark.operators import canonical, chunking, feedback, gazetteer, lexical, quality, ranking, vectors
 from lekhspark.plans import catalog, hybrid
+from lekhspark.session import ensure_checkpoint_dir
 from lekhspark.sources import files, upsert
 from lekhspark.streaming import logs
 
@@ -177,6 +179,53 @@ def test_filters_of_many_queries(spark):
         lexical.search(q.withColumn("filter_by", F.lit("nofield:=1")), docs).count()
 
 
+def _kept_bytes(spark):
+    """Of what is checkpointed now."""
+    return sum(f.stat().st_size for f in Path(ensure_checkpoint_dir(spark).removeprefix("file:")).rglob("*") if f.is_file())
+
+
+def _many_matches(spark, n=3_000, asked=40):
+    """Articles and requests that nearly all match each other, with repeated times, and the matches by brute force in their order of rank."""
+    rng = random.Random(8)
+    words = [f"word{i}x" for i in range(0, 400, 7)]
+    rows = [(f"{i % (n - 5)}", rng.choice([None, 1, 2, 3]) if i < n - 5 else 1, " ".join(rng.choice(words) for _ in range(3)), " ".join(rng.choice(words) for _ in range(40))) for i in range(n)]
+    docs = spark.createDataFrame(rows, "id string, published_ts bigint, title_hi string, content_hi string")
+    requests = [(i, " ".join(rng.choice(words) for _ in range(3))) for i in range(asked)]
+    texts, ts, dates = {}, {}, {}
+    for i, t, title, content in rows:
+        dates[i] = t if i not in dates else None if t is None or dates[i] is None else min(t, dates[i])  # of rows that differ the smallest
+        held = texts.setdefault(i, (set(), set()))
+        held[0].update(title.split())
+        held[1].update(content.split())
+        ts[i] = max((x for x in (ts.get(i), t) if x is not None), default=None)
+    near = {(a, b): 1.0 if a == b else 0.5 if _distance(a, b) == 1 else 0.0 for a in words for b in words}
+    want = {}
+    for q, query in requests:
+        for i, held in texts.items():
+            if score := sum(w * max((near[t, v] for v in held[f]), default=0) for f, w in ((0, 6.0), (1, 1.0)) for t in set(query.split())):
+                want.setdefault(q, []).append((i, score))
+    for hits in want.values():
+        hits.sort(key=lambda h: (-h[1], -(ts[h[0]] or 0), h[0]))
+    return docs, spark.createDataFrame([(*r, "dev") for r in requests], "query_id bigint, query string, mode string"), want, dates, sum(len(r[2]) + len(r[3]) for r in rows)
+
+
+def test_search_keeps_less_than_its_texts(spark):
+    docs, asked, want, dates, size = _many_matches(spark)
+    before = _kept_bytes(spark)
+    best = lexical.search(asked, docs, k=30)
+    dated = lexical.search_page(asked, docs, per_page=7, page=3, sort_by="published_ts:desc")
+    got = {}
+    for r in best.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["id"], r["lexical_score"]))
+    assert got == {q: hits[:30] for q, hits in want.items()}
+    shown = {}
+    for r in dated.orderBy("query_id", "place").collect():
+        shown.setdefault(r["query_id"], []).append((r["id"], r["place"], r["found"]))
+    order = {q: sorted(hits, key=lambda h: (dates[h[0]] is None, -(dates[h[0]] or 0))) for q, hits in want.items()}
+    assert shown == {q: [(h[0], 15 + n, len(hits)) for n, h in enumerate(hits[14:21])] for q, hits in order.items()}
+    assert _kept_bytes(spark) - before < size  # of both searches; the tokens alone take several times the texts as rows
+
+
 def _distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
