@@ -448,3 +448,10 @@ def test_many_gazetteer_values_in_blocks(spark):
     q = spark.createDataFrame([("red barn hill", "roman"), ("blue", "mixed")], "query_used string, query_mode string")
     want = sorted(map(tuple, gazetteer.detect(q, gaz).collect()))
     assert len(want) >= 8 and sorted(map(tuple, gazetteer.detect(q, gaz, most=3).collect())) == want
+
+
+def test_requests_need_a_usable_vector(spark, tmp_path):
+    one = [1.0] + [0.0] * 63
+    rows = [("50", None), ("100", [0.0] * 64), ("150", one), ("200", [float("nan"), *one[1:]]), ("250", [None, *one[:-1]]), ("300", one[:5]), ("350", [0.0] * 64), ("350", one), ("51", one)]
+    spark.createDataFrame(rows, "id string, vector array<float>").write.parquet(f"{tmp_path}/article_vectors.parquet")
+    assert {(r["query_id"], tuple(r["vector"])) for r in catalog._query_vectors(spark, str(tmp_path)).collect()} == {(150, tuple(one)), (350, tuple(one))}
