@@ -1,6 +1,7 @@
 import random
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -282,6 +283,42 @@ def test_vectors(spark):
     assert vectors.vector_points(v, "id", 2).count() == 5
 
 
+def _shuffled_rows(df):
+    """Rows that each shuffle of the plan, which has run, has written."""
+    plan = df._jdf.queryExecution().executedPlan().executedPlan()
+    leaves = (plan.plan() if plan.getClass().getSimpleName() == "ResultQueryStageExec" else plan).collectLeaves()
+    stages = [leaves.apply(i) for i in range(leaves.size())]
+    return [x.shuffle().metrics().apply("shuffleRecordsWritten").value() for x in stages if x.getClass().getSimpleName() == "ShuffleQueryStageExec"]
+
+
+def test_vectors_of_many_batches(spark):
+    """Each task's best are shuffled, once, however many batches it has; a repeated key counts by its best row."""
+    rng = np.random.default_rng(3)
+    keys = [f"k{i % 370:03d}" for i in range(400)]
+    x = rng.normal(size=(400, 6)).round(1)
+    x[200:205] = x[7]  # ties
+    asked = rng.normal(size=(9, 6))
+    v = spark.createDataFrame([(key, f"p{key}", row) for key, row in zip(keys, x.tolist())], "id string, of string, vector array<double>").repartition(2).persist()
+    q = spark.createDataFrame(list(enumerate(asked.tolist())), "query_id bigint, vector array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:
+        top = vectors.top_k(q, v, 5, "id", payload=("of",))
+        got = sorted((r["query_id"], r["rank"], r["id"], r["of"], r["score"]) for r in top.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        v.unpersist()
+    s = np.round((asked / np.linalg.norm(asked, axis=1)[:, None]) @ (x / np.linalg.norm(x, axis=1)[:, None]).T, 9)
+    want = []
+    for i, row in enumerate(s):
+        best = {}
+        for key, score in zip(keys, row):
+            best[key] = max(score, best.get(key, -2))
+        want += [(i, n, key, f"p{key}", score) for n, (key, score) in enumerate(sorted(best.items(), key=lambda b: (-b[1], b[0]))[:5], 1)]
+    assert [g[:4] for g in got] == [w[:4] for w in want]
+    assert [g[4] for g in got] == pytest.approx([w[4] for w in want], abs=2e-9)
+    assert _shuffled_rows(top) == [2 * 9 * 5]
+
+
 def test_logs(spark, tmp_path):
     log = spark.createDataFrame([(1,), (2,)], "id bigint")
     labels = spark.createDataFrame([(1, 1, "a", 1), (2, 9, "a", 1), (3, 1, "a", 2), (4, 2, None, 0), (5, 2, None, 1), (6, 1, "a", None)], "id bigint, query_id bigint, article_id string, label int")
