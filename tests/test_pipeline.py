@@ -438,6 +438,29 @@ def test_search_end_to_end(spark, tmp_path):
     assert near[0]["rank"] in (1, 2) and len(near) == 2
 
 
+def test_equal_requests_are_worked_on_once(spark, monkeypatch):
+    docs = spark.createDataFrame([("1", 5, "village library", "books", ["culture"]), ("2", 9, "farm soil", "library of seeds", ["soil"])], "id string, published_ts bigint, title_hi string, content_hi string, tags_norm array<string>")
+    docs = docs.withColumns({"title_roman_norm": F.col("title_hi"), "content_roman_norm": F.col("content_hi")})
+    lists = [F.array().cast("array<string>").alias(f"{f}_{kind}") for f in ranking.LISTS for kind in ("raw", "norm") if (f, kind) != ("tags", "norm")]
+    texts = [F.lit(None).cast("string").alias(c) for c in ("url", "summary_hi", "published_date", "partner_label")]
+    meta = ranking.article_metadata(docs.select("*", *lists, *texts))
+    embed = vectors.hashing_embedding(16)
+    chunks = docs.select(F.concat("id", F.lit("::c0")).alias("chunk_id"), F.col("id").alias("article_id"), F.col("content_hi").alias("chunk_text"))
+    corpus = hybrid.Corpus(docs, None, None, meta, docs.select("id", embed("title_hi").alias("vector")), chunks.select("chunk_id", "article_id", embed("chunk_text").alias("vector")), chunks, spark.createDataFrame([], "field string, ord int, value string, value_roman string"))
+    asked = []
+    find = lexical.search
+    monkeypatch.setattr(hybrid.lexical, "search", lambda q, *a, **kw: asked.append(q.count()) or find(q, *a, **kw))
+    requests = spark.createDataFrame([(4, "library", 1), (5, "library", 1), (6, "soil", 1), (7, "library", 2)], "query_id bigint, query string, per_page int")
+    out = hybrid.search(requests, corpus, hybrid.Settings(now_ts=1), embed=embed)
+    assert asked == [3]
+    of = lambda name, *cols: {i: sorted(tuple(r[c] for c in cols) for r in rows) for i in (4, 5, 6, 7) if (rows := [r for r in out[name].collect() if r["query_id"] == i])}
+    page, ranked = of("page", "rank", "article_id", "title", "score", "snippet", "total_pages"), of("ranked", "rank", "article_id", "title", "tags", "score")
+    assert [len(page[i]) for i in (4, 5, 6, 7)] == [1, 1, 1, 2] and page[4] == page[5] and page[4][0][:3] == (1, "1", "village library") and page[6][0][1] == "2"
+    assert ranked[4] == ranked[5] == ranked[7] and len(ranked[4]) == 2
+    assert of("counts", "lex_n", "cand_n")[5] == of("counts", "lex_n", "cand_n")[7] == [(2, 2)]
+    assert sorted(r["query_id"] for r in out["queries"].collect()) == [4, 5, 6, 7]
+
+
 def test_vector_index(spark, tmp_path):
     import numpy as np
 
