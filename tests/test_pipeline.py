@@ -263,6 +263,19 @@ def test_lexical_search_against_brute_force(spark, tmp_path):
     assert {tuple(r) for r in catalog.fuzzy_tokens(spark, d).collect()} == pairs
 
 
+def test_joined_field_is_not_split_again(spark):
+    c = spark.createDataFrame([("1", "2020-01-02T00:00:00", "गाँव", "", "बाल सुरक्षा farm"), ("2", None, "x", "soil", " library सुरक्षा\n"), ("2", None, "x", "soil", "seeds")], "id string, published_date string, title_hi string, summary_hi string, content_hi string")
+    lists = [F.array().cast("array<string>").alias(f"{f.lower()}_norm") for f in canonical.MULTI_FIELDS]
+    docs = canonical.index_documents(c.select("*", *lists, *[F.lit(None).cast("string").alias(x) for x in ("url", "article_type", "multimedia_type", "partner_label")]))
+    q = spark.createDataFrame([(1, "farm surakSA", "mixed"), (2, "bAl सुरक्षा seeds", "mixed"), (3, "library", "roman")], "query_id bigint, query string, mode string")
+    split = []
+    real = lexical.text.tokens
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(lexical.text, "tokens", lambda x: split.append(str(x)) or real(x))
+        got = sorted(lexical.search(q, docs, joined=True).collect())
+    assert not [x for x in split if "content_mixed_norm" in x] and got == sorted(lexical.search(q, docs).collect()) and len(got) >= 4
+
+
 def test_gazetteer(spark):
     canon = spark.createDataFrame([(["सोनपुर", "hill"], ["a"], ["mahila vikaas"], [" x ", None])], "locations_norm array<string>, categories_norm array<string>, tags_norm array<string>, contributors_norm array<string>")
     gaz = gazetteer.build(canon)
