@@ -528,3 +528,27 @@ def test_requests_need_a_usable_vector(spark, tmp_path):
     rows = [("50", None), ("100", [0.0] * 64), ("150", one), ("200", [float("nan"), *one[1:]]), ("250", [None, *one[:-1]]), ("300", one[:5]), ("350", [0.0] * 64), ("350", one), ("51", one)]
     spark.createDataFrame(rows, "id string, vector array<float>").write.parquet(f"{tmp_path}/article_vectors.parquet")
     assert {(r["query_id"], tuple(r["vector"])) for r in catalog._query_vectors(spark, str(tmp_path)).collect()} == {(150, tuple(one)), (350, tuple(one))}
+
+
+def test_snippets_shuffle_what_is_shown(spark, tmp_path, monkeypatch):
+    """The ranker's features and the articles' texts aren't kept for hits that only get a snippet."""
+    data, seen, given = "/root/testdata/sf0.001", [], ranking.with_snippets
+    monkeypatch.setattr(ranking, "with_snippets", lambda hits, *a: seen.append(hits.columns) or given(hits, *a))
+    catalog.search_snippets(spark, data)
+    assert [set(x) for x in seen] == [{"query_id", "article_id", "rank", "best_chunk_id"}]
+
+
+def test_batches_of_texts_and_vectors_are_small(spark, monkeypatch):
+    """Token lists are made of a slice of documents at a time and vectors compared likewise; the session's setting stays."""
+    name, sizes, best = "spark.sql.execution.arrow.maxRecordsPerBatch", [], lexical.cut_lineage
+    before = spark.conf.get(name)
+    monkeypatch.setattr(lexical, "cut_lineage", lambda df: sizes.append((df.columns, spark.conf.get(name))) or best(df))
+    docs = spark.range(3000).select(F.col("id").cast("string").alias("id"), F.lit(1).cast("bigint").alias("published_ts"), F.concat(F.lit("नदी w"), "id").alias("title_hi"))
+    asked = spark.createDataFrame([(1, "w2999", "dev")], "query_id bigint, query string, mode string")
+    assert [(r["id"], r["rank"]) for r in lexical.search(asked, docs, typos=False).collect()] == [("2999", 1)]
+    assert [n for columns, n in sizes if columns == ["words", "rows"]] == [str(lexical.SLICE)]
+    assert spark.conf.get(name) == before
+    v = spark.range(6000).coalesce(1).select(F.col("id").cast("string").alias("id"), F.array(F.cos(F.col("id") / 6000), F.sin(F.col("id") / 6000)).alias("vector"))
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [float(np.cos(0.5)), float(np.sin(0.5))])], "query_id bigint, vector array<double>")
+    got = {(r["query_id"], r["rank"]): r["id"] for r in vectors.top_k(q, v, 3, "id", decimals=12).collect()}
+    assert [got[1, n] for n in (1, 2, 3)] == ["0", "1", "2"] and got[2, 1] == "3000" and {got[2, 2], got[2, 3]} == {"2999", "3001"}
