@@ -2,6 +2,7 @@ import random
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -263,6 +264,51 @@ def test_lexical_search_against_brute_force(spark, tmp_path):
     assert {tuple(r) for r in catalog.fuzzy_tokens(spark, d).collect()} == pairs
 
 
+def test_pages_by_date_of_the_whole_log(spark, tmp_path, monkeypatch):
+    d, rng = str(tmp_path), random.Random(5)
+    words = "सुरक्षा मिट्टी खेती गाँव training beej school".split()
+    null = dict.fromkeys(("url", "article_type", "multimedia_type", "partner_label", "summary_hi", "content_hi"))
+    rows = [{"id": str(i), **null, "title_hi": " ".join(rng.choice(words) for _ in range(3)), "published_date": f"2020-01-0{rng.randint(1, 9)}T00:00:00", "published_ts": 0, **{f"{f.lower()}_norm": [] for f in canonical.MULTI_FIELDS}} for i in range(90)]
+    texts = ", ".join(f"{c} string" for c in ("id", *null, "title_hi", "published_date"))
+    spark.createDataFrame(rows, f"{texts}, published_ts bigint, " + ", ".join(f"{f.lower()}_norm array<string>" for f in canonical.MULTI_FIELDS)).write.parquet(d + "/articles_canonical.parquet")
+    log = [(i, rng.choice(words[:4]) if i % 3 else f"{words[i % 4]} school", "mixed") for i in range(40, 61)] + [(61, None, "dev"), (62, " ", "dev")]
+    spark.createDataFrame(log, "id bigint, query_used string, query_mode string").write.parquet(d + "/query_log.parquet")
+    want = set()
+    for i, q, _ in log[:21]:
+        hits = [(-int(r["published_date"][9]), -sum(t in r["title_hi"].split() for t in q.split()), r["id"]) for r in rows if set(q.split()) & set(r["title_hi"].split())]
+        want |= {(i, x[2], len(hits), 11 + n) for n, x in enumerate(sorted(hits)[10:20])}
+    monkeypatch.setattr(lexical, "SORTED_BLOCK", 3, raising=False)  # several blocks of requests
+    got = [tuple(r) for r in catalog.lexical_page_by_date(spark, d).collect()]
+    assert set(got) == want and len(got) == len(want) and {i for i, *_ in got} == set(range(40, 61))
+
+
+@pytest.mark.parametrize("pairs, wanted", [(65_536, 8_192), (20, 10)])
+def test_hits_in_a_fields_order_are_those_of_all_scores(monkeypatch, pairs, wanted):
+    monkeypatch.setattr(lexical, "PAIRS", pairs)
+    monkeypatch.setattr(lexical, "WANTED", wanted)
+    rng, n, k = random.Random(6), 300, 7
+    words, fields = [f"w{i}" for i in range(80)], ("title_hi", "content_hi", "title_roman_norm")
+    lists = {f"t{f}": pa.array([rng.sample(range(80), rng.randint(0, 3)) for _ in range(n)], pa.list_(pa.int32())) for f in range(3)}
+    some = lambda values, kind: pa.array([rng.choice(values) for _ in range(n)], kind)
+    b = pa.record_batch({"id": pa.array([str(i) for i in range(n)]), "ts": some([None, 1, 2], pa.int64()), "s": some([None, *range(9)], pa.int64()), "v_tags": some([["a"], ["b"]], None), **lists})
+    asked = [(rng.choice(["dev", "mixed", "roman"]), rng.sample([*words, "none"], rng.randint(1, 5)), rng.choice([None, [[("tags", "=", ["a"], None)]]])) for _ in range(60)]
+    matches = [(w, w, 1.0) for w in words] + [(words[i], words[i + 1], 0.5) for i in range(0, 78, 3)]
+    for down in (True, False):
+        by = lexical._order(b["s"], down)
+        order = np.lexsort((lexical._order(b["id"], False), lexical._order(b["ts"], True), by))
+        place, limits, count = np.argsort(order), np.array([rng.choice([n, n, 50]) for _ in asked]), np.zeros(len(asked), np.int64)
+        got, want, found = {}, {}, np.zeros(len(asked), np.int64)
+        for numbers, s in lexical._Scorer(asked, matches, fields).scores(b, pa.array(words)):
+            for i, scores in zip(numbers, s):
+                found[i] = (scores > 0).sum()
+                want[i] = sorted((by[x], -scores[x], place[x]) for x in np.flatnonzero(scores) if place[x] < limits[i])[:k]
+        for numbers, at, scores in lexical._SortedScorer(asked, matches, fields).first(b, pa.array(words), order, np.searchsorted(by[order], by[order], "right"), limits, k, count):
+            for i, p, x in zip(numbers, at, scores):
+                got.setdefault(i, []).append((by[order[p]], -x, p))
+        assert {i: sorted(x) for i, x in got.items()} == {i: x for i, x in want.items() if x} and len(got) > 40
+        assert count.tolist() == found.tolist()
+
+
 def test_joined_field_is_not_split_again(spark):
     c = spark.createDataFrame([("1", "2020-01-02T00:00:00", "गाँव", "", "बाल सुरक्षा farm"), ("2", None, "x", "soil", " library सुरक्षा\n"), ("2", None, "x", "soil", "seeds")], "id string, published_date string, title_hi string, summary_hi string, content_hi string")
     lists = [F.array().cast("array<string>").alias(f"{f.lower()}_norm") for f in canonical.MULTI_FIELDS]
