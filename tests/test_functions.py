@@ -1,3 +1,4 @@
+import random
 import re
 import unicodedata
 
@@ -20,6 +21,20 @@ def test_scripts(spark, s, n, dev, latin, mode):
     assert one(spark, s, text.query_mode) == mode
 
 
+def test_roman_index_takes_few_passes(spark):
+    """As the ten steps it is stated in; each pattern is a pass over every text, and the searches romanize all contents."""
+    steps = ((r"[^a-z0-9\s]+", " "), (r"\s+", " "), *[(x + "{2,}", x) for x in "aiueo"], ("v", "w"), (r"\b(?:yojna|yojana|yojnaa)\b", "yojana"), (r"\s+", " "))
+    rng, parts = random.Random(3), ["a", "aa", "ii", "e", "oo", "uu", "v", "V", " ", "  ", "\n", "\x0b", "\u00a0", "-", "_", "yojna", "yojana", "yojnaa", "yoojna", "Yojnaaa", "9", "क", "é", "x"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(2_000)]
+    got = spark.createDataFrame([(t,) for t in texts], "c string").select("c", text.roman_index(F.col("c")).alias("x")).collect()
+    for t, x in got:
+        want = t.lower()
+        for pattern, to in steps:
+            want = re.sub(pattern, to, want, flags=re.ASCII)
+        assert x == want.strip(" "), t
+    assert len(text.ROMAN_INDEX_STEPS) <= 3
+
+
 def test_roman_and_tokens(spark):
     assert one(spark, "Bihaar Yojnaa Vikaas!!", text.roman_index) == "bihar yojana wikas"
     assert one(spark, "Bihaaar  Yojnaa", text.roman_loose) == "bihaar yojnaa"
