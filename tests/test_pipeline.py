@@ -309,6 +309,16 @@ def test_hits_in_a_fields_order_are_those_of_all_scores(monkeypatch, pairs, want
         assert count.tolist() == found.tolist()
 
 
+def test_pages_keep_no_tokens_of_joined_fields(spark, monkeypatch):
+    rows = [(str(i), i % 4, "x", "soil" if i % 3 else "soil farm", "beej farm" if i % 2 else "surakSA") for i in range(12)]
+    docs = spark.createDataFrame(rows, "id string, published_ts bigint, title_hi string, content_hi string, content_roman_norm string").withColumn("content_mixed_norm", F.concat_ws(" ", "content_hi", "content_roman_norm"))
+    q = spark.createDataFrame([(1, "farm soil", "mixed"), (2, "beej surakSB", "mixed"), (3, "farm", "roman")], "query_id bigint, query string, mode string")
+    kept, real = [], lexical._packed
+    monkeypatch.setattr(lexical, "_packed", lambda rows, n: kept.append({c for c in rows.columns if c[0] == "t" and c[1:].isdigit()}) or real(rows, n))
+    got, want = (sorted(lexical.search_page(q, docs, per_page=5, sort_by="published_ts:desc", joined=x).collect()) for x in (True, False))
+    assert got == want and len(got) == 15 and len(kept[1] - kept[0]) == 1
+
+
 def test_joined_field_is_not_split_again(spark):
     c = spark.createDataFrame([("1", "2020-01-02T00:00:00", "गाँव", "", "बाल सुरक्षा farm"), ("2", None, "x", "soil", " library सुरक्षा\n"), ("2", None, "x", "soil", "seeds")], "id string, published_date string, title_hi string, summary_hi string, content_hi string")
     lists = [F.array().cast("array<string>").alias(f"{f.lower()}_norm") for f in canonical.MULTI_FIELDS]
